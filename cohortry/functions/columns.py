@@ -66,6 +66,31 @@ def json_scalar(doc: Column, path: str) -> Column:
     return F.when(~nested, F.try_variant_get(doc, path, "string"))
 
 
+def json_texts(df: DataFrame, name: str, parent: str, keys: list[str]) -> list[Column]:
+    """Texts of the scalars `keys` of the object `parent` in the documents of column `name`.
+
+    A typed parse finds them in one pass, but shows a nested value as its text too; only where a
+    text looks like one is the document parsed in full to tell.
+    """
+    if isinstance(df.schema[name].dataType, T.VariantType):
+        return [json_scalar(F.col(name), f"$.{parent}.{key}").alias(key) for key in keys]
+    inner = ",".join(f"{key}:string" for key in keys)
+    parsed = F.from_json(F.col(name), f"struct<{parent}:struct<{inner}>>")
+    return [_checked(parsed[parent][key], F.col(name), f"$.{parent}.{key}").alias(key) for key in keys]
+
+
+def json_text(df: DataFrame, name: str, path: str) -> Column:
+    """Text of the scalar at `path` in the documents of column `name`."""
+    if isinstance(df.schema[name].dataType, T.VariantType):
+        return json_scalar(F.col(name), path)
+    return _checked(F.get_json_object(F.col(name), path), F.col(name), path)
+
+
+def _checked(text: Column, doc: Column, path: str) -> Column:
+    nested = text.startswith("{") | text.startswith("[")
+    return F.when(nested, json_scalar(F.try_parse_json(doc), path)).otherwise(text)
+
+
 def json_number(doc: Column, path: str, kind: str) -> Column:
     """Scalar at `path` cast to `kind`; null when the text is not such a number."""
     return F.try_variant_get(doc, path, "string").try_cast(kind)

@@ -1,17 +1,20 @@
-"""Written intermediate tables, and joins that broadcast only what was measured to be small."""
+"""Written intermediate tables.
+
+No join in this package carries a broadcast hint. The planner broadcasts a side if its size is
+below `spark.sql.autoBroadcastJoinThreshold`; it knows the size of a table it reads, and that is
+what staging a derived table gives it. A larger side is shuffled, and adaptive execution splits
+the partitions of hot keys.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-LOOKUP_BYTES = 64 << 20
-ROWS_OVERHEAD = 16  # bytes per field besides the text itself
 
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -46,27 +49,9 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    size = F.lit(ROWS_OVERHEAD * len(df.columns)).cast("long")
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
-    return size
-
-
-def lookup(df: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
-    """Mark `df` for broadcast if its measured size is within `max_bytes`.
-
-    Beyond that it comes back unmarked: the join shuffles on its key and adaptive execution splits
-    hot keys. `df` should be cheap to read twice; stage it first if it is not.
-    """
-    size = df.agg(F.sum(_row_bytes(df))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
-
-
 def without_users(df: DataFrame, excluded: DataFrame | None) -> DataFrame:
     """Drop the rows of excluded users, and rows without a user."""
     known = df.filter(F.col("user_id").isNotNull())
     if excluded is None:
         return known
-    return known.join(lookup(excluded.select("user_id")), "user_id", "left_anti")
+    return known.join(excluded.select("user_id"), "user_id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.columns import as_json, json_scalar, plain_date, strip
+from cohortry.functions.columns import json_texts, plain_date, strip
 from cohortry.operators.scores import market_orders, with_event
 from cohortry.rules import Rules
 
@@ -17,15 +17,20 @@ def shared_address_buyers(orders: DataFrame, rules: Rules) -> DataFrame:
         & F.col("user_id").isNotNull()
         & F.col("shipping_information").isNotNull()
     )
-    shipping = paid.select("user_id", as_json(orders, "shipping_information").alias("doc")).select(
+    shipping = paid.select(
         "user_id",
-        strip(json_scalar(F.col("doc"), "$.information.address")).alias("address"),
-        strip(json_scalar(F.col("doc"), "$.information.detail_address")).alias("code"),
+        *json_texts(orders, "shipping_information", "information", ["address", "detail_address"]),
+    ).select(
+        "user_id",
+        strip(F.col("address")).alias("address"),
+        strip(F.col("detail_address")).alias("code"),
     )
+    # The tests stay inside the aggregate: as a filter they would be pushed down to the documents,
+    # and every document parsed once per test.
+    named = F.when((F.col("address") != "") & (F.col("code") != ""), F.col("code"))
     return (
-        shipping.filter((F.col("address") != "") & (F.col("code") != ""))
-        .groupBy("user_id", "address")
-        .agg(F.count_distinct("code").alias("codes"))
+        shipping.groupBy("user_id", "address")
+        .agg(F.count_distinct(named).alias("codes"))
         .filter(F.col("codes") >= rules.agent_min_codes)
         .select(F.col("user_id").cast("string").alias("user_id"))
         .distinct()

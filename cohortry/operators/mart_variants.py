@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import ratio
-from cohortry.functions.staging import lookup, without_users
+from cohortry.functions.staging import without_users
 from cohortry.operators.options import OPTION, label_options
 from cohortry.operators.rollup import V1_PRIORITY, artist_labels, user_labels
 from cohortry.operators.scores import market_orders, with_event
@@ -59,13 +59,13 @@ def _stats(options: DataFrame, rows: str, vc: str) -> DataFrame:
 
 def option_stats_v2(purchases: DataFrame, events: DataFrame, counts: DataFrame) -> DataFrame:
     """Quantities of options with random versions, counted once per matching SKU."""
-    options = _per_option(purchases, events).join(lookup(counts), OPTION)
+    options = _per_option(purchases, events).join(counts, OPTION)
     return _stats(options, "variety_rows", "vc")
 
 
 def option_stats_v1(purchases: DataFrame, events: DataFrame, counts: DataFrame) -> DataFrame:
     """Quantities of all options but those with child SKUs only; unknown versions count as one."""
-    options = _per_option(purchases, events).join(lookup(counts), OPTION, "left")
+    options = _per_option(purchases, events).join(counts, OPTION, "left")
     filled = options.withColumns(
         {
             "parent_rows": F.coalesce(F.col("parent_rows"), F.lit(1)),
@@ -86,7 +86,7 @@ def bulk_ticket_buyers_v2(
     options = known.groupBy("user_id", *OPTION).agg(F.sum("total_qty").alias("qty"))
     rows = F.coalesce(F.col("ticket_rows"), F.lit(1 if unmatched_is_ticket else 0))
     return (
-        options.join(lookup(counts), OPTION, "left")
+        options.join(counts, OPTION, "left")
         .filter((rows > 0) & (F.col("qty") * rows >= min_qty))
         .select("user_id")
         .distinct()

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.columns import as_json, json_items, json_number, json_scalar
-from cohortry.functions.staging import lookup, stage
+from cohortry.functions.columns import (
+    as_json,
+    json_items,
+    json_number,
+    json_scalar,
+    json_text,
+)
+from cohortry.functions.staging import stage
 from cohortry.rules import NO_WINNER_ID, OFFER_TYPES, SHOP_OFFER, Rules
 
 
@@ -21,7 +27,7 @@ def winners(groups: DataFrame, orders: DataFrame) -> DataFrame:
     numbers = stage(won.select("order_number").distinct(), "won-orders")
     return (
         orders.select("order_number", "user_id")
-        .join(lookup(numbers), "order_number", "left_semi")
+        .join(numbers, "order_number", "left_semi")
         .select(F.col("user_id").cast("string").alias("user_id"))
         .filter(F.col("user_id").isNotNull())
         .distinct()
@@ -30,9 +36,7 @@ def winners(groups: DataFrame, orders: DataFrame) -> DataFrame:
 
 def order_lines(orders: DataFrame, rules: Rules) -> DataFrame:
     """One row per order, offer and option. The price of a line is its whole amount."""
-    status = F.coalesce(
-        F.col("payment_status"), json_scalar(as_json(orders, "payment_data"), "$.status")
-    )
+    status = F.coalesce(F.col("payment_status"), json_text(orders, "payment_data", "$.status"))
     offers = orders.select(
         F.col("id").alias("order_id"),
         "user_id",
@@ -91,7 +95,7 @@ def paid_b2c_lines(lines: DataFrame, offers: DataFrame, rules: Rules) -> DataFra
         F.col("order_no_prefix") == rules.business_prefix
     )
     return (
-        paid.join(lookup(offers), "offer_id", "left")
+        paid.join(offers, "offer_id", "left")
         .filter(~settles_business)
         .select(
             F.col("user_id").cast("string").alias("user_id"),

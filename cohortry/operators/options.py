@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import ratio
-from cohortry.functions.staging import lookup
 from cohortry.rules import (
     BEGINNER,
     CHALLENGER,
@@ -41,7 +40,7 @@ def _sku_rows(items: DataFrame, skus: DataFrame, how: str) -> DataFrame:
         "sku_code",
     )
     kinds = skus.select("sku_code", "sku_type", F.col("virtual_child_sku_count").alias("vc"))
-    return options.join(lookup(kinds), "sku_code", how).select(*OPTION, "sku_type", "vc")
+    return options.join(kinds, "sku_code", how).select(*OPTION, "sku_type", "vc")
 
 
 def option_sku_matches(items: DataFrame, skus: DataFrame) -> DataFrame:
@@ -99,7 +98,7 @@ def option_purchases(lines: DataFrame) -> DataFrame:
 
 def match_options(purchases: DataFrame, catalog: DataFrame) -> DataFrame:
     """Purchases with the versions and ticket mark of their option. Both sides have one row a key."""
-    return purchases.join(lookup(catalog), OPTION, "left")
+    return purchases.join(catalog, OPTION, "left")
 
 
 def option_stats(matched: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def label_options(
         .otherwise(BEGINNER)
     )
     return (
-        stats.join(lookup(known), "user_id", "left")
+        stats.join(known, "user_id", "left")
         .withColumn("option_label", label)
         .drop("_certain")
     )

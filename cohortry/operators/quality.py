@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import ratio
-from cohortry.functions.staging import lookup
 from cohortry.operators.options import OPTION, has_variety
 
 
@@ -17,7 +16,7 @@ def fanout_check(lines: DataFrame, matches: DataFrame) -> DataFrame:
     """
     rows = matches.filter(has_variety()).groupBy(*OPTION).agg(F.count("*").alias("sku_rows"))
     bought = lines.groupBy(*OPTION).agg(F.sum("order_qty").alias("option_qty"))
-    return bought.join(lookup(rows), OPTION).select(
+    return bought.join(rows, OPTION).select(
         *OPTION,
         "sku_rows",
         "option_qty",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import local_date, ratio
 from cohortry.functions.ranks import ntile_scores
-from cohortry.functions.staging import lookup, without_users
+from cohortry.functions.staging import without_users
 from cohortry.rules import Rules
 
 
@@ -30,7 +30,7 @@ def market_orders(orders: DataFrame, markets: Sequence[str], source: str | None)
 
 def with_event(orders: DataFrame, events: DataFrame, how: str = "left") -> DataFrame:
     """Add the artist and album of each line's event."""
-    return orders.join(lookup(events.select("event_id", "artist_id", "album_name")), "event_id", how)
+    return orders.join(events.select("event_id", "artist_id", "album_name"), "event_id", how)
 
 
 def eligible_orders(

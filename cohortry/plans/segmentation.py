@@ -80,14 +80,16 @@ class Segmentation:
 
     # Purchase labels
 
-    def paid_lines(self) -> DataFrame:
-        return nested.paid_b2c_lines(
-            nested.order_lines(self.sources.commerce_orders, self.rules),
-            nested.offer_lookup(
-                self.sources.event_data, self.sources.products, self.sources.artists
-            ),
-            self.rules,
+    @cached_property
+    def offers(self) -> DataFrame:
+        table = nested.offer_lookup(
+            self.sources.event_data, self.sources.products, self.sources.artists
         )
+        return stage(table, "offers")
+
+    def paid_lines(self) -> DataFrame:
+        lines = nested.order_lines(self.sources.commerce_orders, self.rules)
+        return nested.paid_b2c_lines(lines, self.offers, self.rules)
 
     @cached_property
     def sku_matches(self) -> DataFrame:
@@ -104,9 +106,7 @@ class Segmentation:
 
     @cached_property
     def winners(self) -> DataFrame:
-        return stage(
-            nested.winners(self.sources.winner_groups, self.sources.commerce_orders), "winners"
-        )
+        return nested.winners(self.sources.winner_groups, self.sources.commerce_orders)
 
     @cached_property
     def bulk_buyers(self) -> DataFrame:

@@ -7,6 +7,7 @@ the documents that the operators then decode.
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def _order_mart(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Data
 
 def _documents(lineitem: DataFrame) -> DataFrame:
     returned = lineitem.filter(F.col("l_returnflag") == "R").select(
-        F.col("l_orderkey").alias("o_orderkey"),
+        F.col("l_orderkey").alias("id"),
         "l_suppkey",
         F.struct(
             F.col("l_partkey").alias("id"),
@@ -114,14 +115,14 @@ def _documents(lineitem: DataFrame) -> DataFrame:
         F.floor(F.monotonically_increasing_id() / DOCUMENT_ROWS).alias("part"),
     )
     offers = (
-        returned.repartition("o_orderkey", "part")
-        .groupBy("o_orderkey", "part", "l_suppkey")
+        returned.repartition("id", "part")
+        .groupBy("id", "part", "l_suppkey")
         .agg(F.collect_list("option").alias("buying_option_list"))
     )
     offer = F.struct(
         F.col("l_suppkey").alias("id"), _text("E", "l_suppkey").alias("code"), "buying_option_list"
     )
-    return offers.groupBy("o_orderkey", "part").agg(
+    return offers.groupBy("id", "part").agg(
         F.to_json(F.collect_list(offer)).alias("ordered_data")
     )
 
@@ -133,7 +134,7 @@ def _commerce_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.concat(F.lit("K"), (F.col("o_orderkey") % 5).cast("string")).alias("detail_address"),
     )
     paid = F.when(F.col("o_orderkey") % 2 == 0, "CONFIRMED").otherwise("CANCELED")
-    return orders.join(_documents(lineitem), "o_orderkey", "left").select(
+    header = orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("user_id"),
         _order_number().alias("order_number"),
@@ -143,8 +144,8 @@ def _commerce_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         .alias("payment_status"),
         F.to_json(F.struct(paid.alias("status"))).alias("payment_data"),
         F.to_json(F.struct(address.alias("information"))).alias("shipping_information"),
-        "ordered_data",
     )
+    return header.join(_documents(lineitem), "id", "left")
 
 
 def _winner_groups(events: DataFrame, orders: DataFrame) -> DataFrame:
@@ -189,41 +190,67 @@ def _skus(part: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def _event_mart(supplier: DataFrame) -> DataFrame:
+    key = F.col("s_suppkey")
+    return supplier.select(
+        _text("E", "s_suppkey").alias("event_id"),
+        F.when(key % 20 != 0, key % 25).alias("artist_id"),
+        F.concat(F.lit("A"), (key % 7).cast("string")).alias("album_name"),
+    )
+
+
+def _event_data(supplier: DataFrame) -> DataFrame:
+    key = F.col("s_suppkey")
+    return supplier.select(
+        key.alias("id"),
+        F.when(key % 20 != 0, key % 3).alias("product_event_type"),
+        (key + 1000).alias("product_id"),
+    )
+
+
+def _products(supplier: DataFrame) -> DataFrame:
+    key = F.col("s_suppkey")
+    return supplier.select(
+        (key + 1000).alias("id"), F.when(key % 10 != 0, key % 25).alias("artist_id")
+    )
+
+
+def _artists(supplier: DataFrame) -> DataFrame:
+    ids = supplier.select((F.col("s_suppkey") % 25).alias("id")).distinct()
+    return ids.filter(F.col("id") != 24).select("id", _text("Artist ", "id").alias("name"))
+
+
+def _internal_accounts(customer: DataFrame) -> DataFrame:
+    staff = customer.filter(F.col("c_custkey") % 97 == 0)
+    return staff.select(F.col("c_custkey").cast("string").alias("user_id"))
+
+
+# Logical name -> how it is made, and from which tables.
+_RECIPES = {
+    "users": (_users, "customer", "orders"),
+    "user_info": (_user_info, "customer", "nation"),
+    "order_mart": (_order_mart, "orders", "lineitem", "part"),
+    "event_mart": (_event_mart, "supplier"),
+    "commerce_orders": (_commerce_orders, "orders", "lineitem"),
+    "winner_groups": (_winner_groups, "events", "orders"),
+    "event_data": (_event_data, "supplier"),
+    "products": (_products, "supplier"),
+    "artists": (_artists, "supplier"),
+    "items": (_items, "lineitem"),
+    "skus": (_skus, "part"),
+    "internal_accounts": (_internal_accounts, "customer"),
+}
+
+
 def star_sources(spark: SparkSession, root: str) -> Sources:
     """All input tables from the star-schema parquet files below `root`."""
 
+    @cache
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{root}/{name}.parquet")
 
-    customer, orders, lineitem = table("customer"), table("orders"), table("lineitem")
-    part, supplier, events = table("part"), table("supplier"), table("events")
-    key = F.col("s_suppkey")
-    return Sources(
-        users=_users(customer, orders),
-        user_info=_user_info(customer, table("nation")),
-        order_mart=_order_mart(orders, lineitem, part),
-        event_mart=supplier.select(
-            _text("E", "s_suppkey").alias("event_id"),
-            F.when(key % 20 != 0, key % 25).alias("artist_id"),
-            F.concat(F.lit("A"), (key % 7).cast("string")).alias("album_name"),
-        ),
-        commerce_orders=_commerce_orders(orders, lineitem),
-        winner_groups=_winner_groups(events, orders),
-        event_data=supplier.select(
-            key.alias("id"),
-            F.when(key % 20 != 0, key % 3).alias("product_event_type"),
-            (key + 1000).alias("product_id"),
-        ),
-        products=supplier.select(
-            (key + 1000).alias("id"), F.when(key % 10 != 0, key % 25).alias("artist_id")
-        ),
-        artists=supplier.select((key % 25).alias("id"))
-        .distinct()
-        .filter(F.col("id") != 24)
-        .select("id", F.concat(F.lit("Artist "), F.col("id").cast("string")).alias("name")),
-        items=_items(lineitem),
-        skus=_skus(part),
-        internal_accounts=customer.filter(F.col("c_custkey") % 97 == 0).select(
-            F.col("c_custkey").cast("string").alias("user_id")
-        ),
-    )
+    def load(name: str) -> DataFrame:
+        make, *needs = _RECIPES[name]
+        return make(*[table(need) for need in needs])
+
+    return Sources(load)

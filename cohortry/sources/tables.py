@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+NAMES = (
+    "users",
+    "user_info",
+    "order_mart",
+    "event_mart",
+    "commerce_orders",
+    "winner_groups",
+    "event_data",
+    "products",
+    "artists",
+    "items",
+    "skus",
+    "internal_accounts",
+)
+
 
-@dataclass(frozen=True)
 class Sources:
     """Input tables. JSON columns may be text or variant; ids may be numbers or text.
 
@@ -29,25 +42,27 @@ class Sources:
     internal_accounts  user_id (text)
     """
 
-    users: DataFrame
-    user_info: DataFrame
-    order_mart: DataFrame
-    event_mart: DataFrame
-    commerce_orders: DataFrame
-    winner_groups: DataFrame
-    event_data: DataFrame
-    products: DataFrame
-    artists: DataFrame
-    items: DataFrame
-    skus: DataFrame
-    internal_accounts: DataFrame
+    def __init__(self, load: Callable[[str], DataFrame]):
+        """`load` opens a table by logical name; it is called when the table is first used."""
+        self._load = load
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in NAMES:
+            raise AttributeError(name)
+        setattr(self, name, self._load(name))
+        return getattr(self, name)
+
+    @classmethod
+    def from_frames(cls, frames: Mapping[str, DataFrame]) -> Sources:
+        """Data frames at hand, by logical name."""
+        return cls(frames.__getitem__)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, names: Mapping[str, str]) -> Sources:
         """Tables or views of the session catalog, by logical name."""
-        return cls(**{f.name: spark.table(names[f.name]) for f in fields(cls)})
+        return cls(lambda name: spark.table(names[name]))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> Sources:
         """One parquet folder per logical name below `root`."""
-        return cls(**{f.name: spark.read.parquet(f"{root}/{f.name}") for f in fields(cls)})
+        return cls(lambda name: spark.read.parquet(f"{root}/{name}"))
