@@ -106,7 +106,9 @@ class Segmentation:
 
     @cached_property
     def winners(self) -> DataFrame:
-        return nested.winners(self.sources.winner_groups, self.sources.commerce_orders)
+        return stage(
+            nested.winners(self.sources.winner_groups, self.sources.commerce_orders), "winners"
+        )
 
     @cached_property
     def bulk_buyers(self) -> DataFrame:
@@ -134,9 +136,12 @@ class Segmentation:
     def main_artist(self) -> DataFrame:
         return rollup.main_artist(self.purchases)
 
+    def build_dimension(self) -> DataFrame:
+        return rollup.user_dimension(self.final_dimension(), self.main_artist())
+
     @cached_property
     def dimension(self) -> DataFrame:
-        return rollup.user_dimension(self.final_dimension(), self.main_artist())
+        return stage(self.build_dimension(), "dimension")
 
     # Older label rules, from the order mart
 
@@ -196,20 +201,36 @@ class Segmentation:
 
     # Merged tables
 
-    def segment(self) -> DataFrame:
+    def build_segment(self) -> DataFrame:
         return crm.user_segment(self.score, self.dimension, self.rules)
 
+    @cached_property
+    def segment(self) -> DataFrame:
+        return stage(self.build_segment(), "segment")
+
     def profile(self) -> DataFrame:
         return crm.user_profile(self.sources.users, self.sources.user_info, self.rules)
 
     def purchase_stats(self) -> DataFrame:
         return crm.purchase_stats(self.sources.order_mart, self.excluded, self.rules)
 
-    def crm_users(self) -> DataFrame:
+    def build_crm(self) -> DataFrame:
         return crm.crm_users(
             self.profile(), self.score, self.dimension, self.purchase_stats(), self.rules
         )
 
+    @cached_property
+    def crm_users(self) -> DataFrame:
+        return stage(self.build_crm(), "crm")
+
+    def kpi_totals(self) -> DataFrame:
+        """Overall totals: scores and spend of every user, excluded ones too."""
+        everyone = Segmentation(self.sources, self.rules, exclude=False)
+        customers = crm.crm_users(
+            self.profile(), everyone.score, self.dimension, everyone.purchase_stats(), self.rules
+        )
+        return reports.kpi_totals(customers)
+
 
 def run(
     sources: Sources,
@@ -223,10 +244,11 @@ def run(
     """
     job = Segmentation(sources, rules)
     # Later tables read the stored ones instead of computing them again.
-    job.score = write(job.score.drop("total_rounds", "total_artists", "rfm_total_raw"), "user_rfm_score")
-    job.dimension = write(job.dimension, "user_rfm_dimension")
-    write(job.segment(), "user_rfm_segment")
-    customers = write(job.crm_users(), "crm_users")
+    columns = ["user_id", "r_raw", "f_raw", "m_raw", "r_score", "f_score", "m_score"]
+    job.score = write(job.score.select(*columns), "user_rfm_score")
+    job.dimension = write(job.build_dimension(), "user_rfm_dimension")
+    write(job.build_segment(), "user_rfm_segment")
+    customers = write(job.build_crm(), "crm_users")
     drop_stages(customers.sparkSession)
     return reports.segment_check(customers)
 
