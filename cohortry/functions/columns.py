@@ -43,7 +43,9 @@ def local_date(df: DataFrame, name: str, tz: str) -> Column:
 
 
 def plain_date(df: DataFrame, name: str) -> Column:
-    """Calendar date of column `name` in UTC."""
+    """Calendar date of column `name` in UTC. A bare cast where possible: scans can filter by it."""
+    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.to_date(name)
     return local_date(df, name, "UTC")
 
 

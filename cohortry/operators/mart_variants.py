@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from cohortry.functions.columns import ratio
 from cohortry.functions.staging import without_users
 from cohortry.operators.options import OPTION, label_options
-from cohortry.operators.rollup import V1_PRIORITY, artist_labels, user_labels
+from cohortry.operators.rollup import (
+    V1_PRIORITY,
+    artist_labels,
+    main_artist_columns,
+    top_artist,
+    user_labels,
+)
 from cohortry.operators.scores import market_orders, with_event
 from cohortry.rules import COLLECTOR, Rules
 
@@ -105,9 +111,15 @@ def user_purchases_v2(purchases: DataFrame) -> DataFrame:
     )
 
 
-def artist_purchases_v2(purchases: DataFrame, events: DataFrame) -> DataFrame:
-    """Purchases with the event's artist, in the shape `main_artist` takes."""
-    return with_event(purchases, events).withColumnRenamed("ip_name", "artist_name")
+def main_artist_v2(purchases: DataFrame, events: DataFrame) -> DataFrame:
+    """The artist each user spent most on, by the event's artist, under the mart's artist name."""
+    spent = (
+        with_event(purchases, events)
+        .filter(F.col("artist_id").isNotNull())
+        .groupBy("user_id", "artist_id")
+        .agg(F.max("ip_name").alias("artist_name"), F.sum("total_revenue").alias("gmv"))
+    )
+    return main_artist_columns(top_artist(spent))
 
 
 def final_dimension_v1(stats: DataFrame, winners: DataFrame, rules: Rules) -> DataFrame:

@@ -78,6 +78,12 @@ def offer_lookup(event_data: DataFrame, products: DataFrame, artists: DataFrame)
     )
 
 
+def artist_names(offers: DataFrame) -> DataFrame:
+    """Name of every artist with an offer."""
+    known = offers.filter(F.col("artist_id").isNotNull())
+    return known.groupBy("artist_id").agg(F.max("artist_name").alias("artist_name"))
+
+
 def paid_b2c_lines(lines: DataFrame, offers: DataFrame, rules: Rules) -> DataFrame:
     """Paid lines of retail orders, with offer type and artist.
 

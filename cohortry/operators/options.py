@@ -85,10 +85,11 @@ def sku_row_counts(items: DataFrame, skus: DataFrame) -> DataFrame:
 def option_purchases(lines: DataFrame) -> DataFrame:
     """Order lines summed per user, artist and option: the grain every label rule starts from.
 
-    The only shuffle of the lines; partial sums first, so repeated buyers travel as one row.
+    The only shuffle of the lines; partial sums first, so repeated buyers travel as one row. Only
+    numbers are aggregated: a text such as the artist's name would turn the hash aggregate into a
+    sort of all lines, and follows from the artist anyway.
     """
     return lines.groupBy("user_id", "artist_id", *OPTION).agg(
-        F.max("artist_name").alias("artist_name"),
         F.sum("order_qty").alias("total_qty"),
         F.sum("total_revenue").alias("total_revenue"),
         F.max("order_qty").alias("max_qty"),

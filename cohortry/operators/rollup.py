@@ -85,22 +85,30 @@ def final_dimension(
     )
 
 
-def main_artist(purchases: DataFrame) -> DataFrame:
-    """The artist each user spent most on; of equal ones the lowest id."""
+def top_artist(spent: DataFrame) -> DataFrame:
+    """The row of highest `gmv` per user; of equal ones the lowest artist id. Null comes last."""
+    order = F.struct(F.col("gmv").isNull(), -F.col("gmv"), F.col("artist_id"))
+    rest = [name for name in spent.columns if name != "user_id"]
+    top = spent.groupBy("user_id").agg(F.min_by(F.struct(*rest), order).alias("top"))
+    return top.select("user_id", "top.*")
+
+
+def main_artist(purchases: DataFrame, names: DataFrame) -> DataFrame:
+    """The artist each user spent most on."""
     spent = (
         purchases.filter(F.col("artist_id").isNotNull())
         .groupBy("user_id", "artist_id")
-        .agg(F.max("artist_name").alias("artist_name"), F.sum("total_revenue").alias("gmv"))
-    )
-    order = F.struct(F.col("gmv").isNull(), -F.col("gmv"), F.col("artist_id"))
-    top = spent.groupBy("user_id").agg(
-        F.min_by(F.struct("artist_id", "artist_name", "gmv"), order).alias("top")
+        .agg(F.sum("total_revenue").alias("gmv"))
     )
+    return main_artist_columns(top_artist(spent).join(names, "artist_id", "left"))
+
+
+def main_artist_columns(top: DataFrame) -> DataFrame:
     return top.select(
         "user_id",
-        F.col("top.artist_id").alias("main_artist_id"),
-        F.col("top.artist_name").alias("main_artist_name"),
-        F.col("top.gmv").alias("main_artist_gmv"),
+        F.col("artist_id").alias("main_artist_id"),
+        F.col("artist_name").alias("main_artist_name"),
+        F.col("gmv").alias("main_artist_gmv"),
     )
 
 

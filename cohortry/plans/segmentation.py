@@ -134,7 +134,7 @@ class Segmentation:
         )
 
     def main_artist(self) -> DataFrame:
-        return rollup.main_artist(self.purchases)
+        return rollup.main_artist(self.purchases, nested.artist_names(self.offers))
 
     def build_dimension(self) -> DataFrame:
         return rollup.user_dimension(self.final_dimension(), self.main_artist())
@@ -186,9 +186,7 @@ class Segmentation:
         )
 
     def main_artist_v2(self) -> DataFrame:
-        return rollup.main_artist(
-            mart_variants.artist_purchases_v2(self.mart_purchases, self.sources.event_mart)
-        )
+        return mart_variants.main_artist_v2(self.mart_purchases, self.sources.event_mart)
 
     def option_stats_v1(self) -> DataFrame:
         bought = mart_variants.mart_purchases(

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import TABLES, difference, duck
 from cohortry.functions import inputs, staging
+from cohortry.operators import options
 from cohortry.plans import Segmentation, run
 from cohortry.plans.segmentation import parquet_writer
 from cohortry.sources import Sources
@@ -148,5 +149,5 @@ def test_no_user_table_moves_to_one_task(spark):
     for df in (job.build_dimension(), job.build_segment(), job.build_crm(), job.rfm_base()):
         assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
     lines = job.paid_lines()
-    plan = lines._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in plan and "BatchEvalPython" not in plan
+    plan = options.option_purchases(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "EvalPython" not in plan

@@ -1,4 +1,4 @@
-from cohortry.operators import mart_variants, rollup
+from cohortry.operators import mart_variants, nested, rollup
 from tests.conftest import rows
 
 C, A, P, S, B = "Challenger", "Album Collector", "Poca Collector", "Shopper", "Beginner"
@@ -64,11 +64,13 @@ def test_first_rule_set(frame, rules):
 
 def test_main_artist(frame):
     purchases = frame(
-        [("a", 1, "x", 5), ("a", 2, "y", 3), ("a", 2, "y", 3), ("b", 9, "p", 4), ("b", 4, "q", 4),
-         ("c", 1, "x", None), ("c", 2, None, 1), ("d", None, "z", 50), ("e", 3, "k", None)],
-        "user_id string, artist_id long, artist_name string, total_revenue long",
+        [("a", 1, 5), ("a", 2, 3), ("a", 2, 3), ("b", 9, 4), ("b", 4, 4), ("c", 1, None), ("c", 7, 1),
+         ("d", None, 50), ("e", 3, None)],
+        "user_id string, artist_id long, total_revenue long",
     )
-    artist = rollup.main_artist(purchases)
-    assert rows(artist) == [("a", 2, "y", 6), ("b", 4, "q", 4), ("c", 2, None, 1), ("e", 3, "k", None)]
+    offers = frame([(a, f"n{a}") for a in (1, 2, 3, 4, 9, 9)] + [(7, None), (None, None)],
+                   "artist_id long, artist_name string")
+    artist = rollup.main_artist(purchases, nested.artist_names(offers))
+    assert rows(artist) == [("a", 2, "n2", 6), ("b", 4, "n4", 4), ("c", 7, None, 1), ("e", 3, "n3", None)]
     labels = frame([("a", C), ("d", B)], "user_id string, dimension_label string")
-    assert rows(rollup.user_dimension(labels, artist)) == [("a", C, 2, "y", 6), ("d", B, None, None, None)]
+    assert rows(rollup.user_dimension(labels, artist)) == [("a", C, 2, "n2", 6), ("d", B, None, None, None)]
