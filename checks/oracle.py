@@ -464,6 +464,7 @@ FINAL = {
     "main_artist": "SELECT * FROM main",
     "main_artist_v2": "SELECT * FROM main2",
     "user_dimension": "SELECT * FROM dimension",
+    "user_dimension_v2": "SELECT * FROM final_label2 LEFT JOIN main2 USING (user_id)",
     "user_segment": "SELECT * FROM segment",
     "user_profile": "SELECT * FROM profile",
     "purchase_stats": "SELECT * FROM retail WHERE user_id NOT IN (SELECT user_id FROM excluded)",

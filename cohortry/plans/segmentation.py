@@ -22,17 +22,25 @@ from cohortry.rules import Rules
 from cohortry.sources import Sources
 
 
+# Stores a table under a name and returns it as read back.
+Writer = Callable[[DataFrame, str], DataFrame]
+
+
 class Segmentation:
     """Every intermediate table of one run, built when first asked for.
 
     Tables that several others read are staged: order documents are parsed once and the order
-    lines shuffled once. With `exclude=False` no user is left out, as for overall totals.
+    lines shuffled once. With `exclude=False` no user is left out, as for overall totals. `labels`
+    names the rule set of the dimension table: "v3", or "v2" from the order mart.
     """
 
-    def __init__(self, sources: Sources, rules: Rules, exclude: bool = True):
+    def __init__(self, sources: Sources, rules: Rules, exclude: bool = True, labels: str = "v3"):
+        if labels not in ("v2", "v3"):
+            raise ValueError(f"unknown label rules {labels!r}")
         self.sources = sources
         self.rules = rules
         self.exclude = exclude
+        self.labels = labels
 
     # Exclusions
 
@@ -137,6 +145,8 @@ class Segmentation:
         return rollup.main_artist(self.purchases, nested.artist_names(self.offers))
 
     def build_dimension(self) -> DataFrame:
+        if self.labels == "v2":
+            return self.dimension_v2()
         return rollup.user_dimension(self.final_dimension(), self.main_artist())
 
     @cached_property
@@ -188,6 +198,9 @@ class Segmentation:
     def main_artist_v2(self) -> DataFrame:
         return mart_variants.main_artist_v2(self.mart_purchases, self.sources.event_mart)
 
+    def dimension_v2(self) -> DataFrame:
+        return rollup.user_dimension(self.final_dimension_v2(), self.main_artist_v2())
+
     def option_stats_v1(self) -> DataFrame:
         bought = mart_variants.mart_purchases(
             self.sources.order_mart, None, self.rules.score_markets, self.rules.order_source
@@ -233,14 +246,15 @@ class Segmentation:
 def run(
     sources: Sources,
     rules: Rules,
-    write: Callable[[DataFrame, str], DataFrame],
+    write: Writer,
+    labels: str = "v3",
 ) -> DataFrame:
     """Build the score, dimension, segment and customer tables, each replacing the last run's.
 
-    `write` stores a table under a name and returns it as read back: see `parquet_writer` and
-    `table_writer`. Returns the check summary of the new customer table.
+    See `parquet_writer` and `table_writer` for `write`. Returns the check summary of the new
+    customer table.
     """
-    job = Segmentation(sources, rules)
+    job = Segmentation(sources, rules, labels=labels)
     # Later tables read the stored ones instead of computing them again.
     columns = ["user_id", "r_raw", "f_raw", "m_raw", "r_score", "f_score", "m_score"]
     job.score = write(job.score.select(*columns), "user_rfm_score")
@@ -251,7 +265,34 @@ def run(
     return reports.segment_check(customers)
 
 
-def parquet_writer(root: str) -> Callable[[DataFrame, str], DataFrame]:
+def write_reports(
+    segment: DataFrame,
+    customers: DataFrame,
+    personas: DataFrame,
+    actions: DataFrame,
+    write: Writer,
+) -> dict[str, DataFrame]:
+    """Store the reports on a stored segment and customer table; each replaces the last one."""
+    summary = write(reports.segment_summary(segment), "report_summary")
+    tables = {
+        "detail": reports.segment_detail(segment),
+        "score_distribution": reports.score_distribution(segment),
+        "top_artists": reports.top_main_artists(segment),
+        "total_users": reports.total_users(summary),
+        "personas": reports.persona_scorecard(summary, personas),
+        "actions": reports.persona_actions(segment, actions),
+        "rfm_bands": reports.rfm_bands(segment),
+        "recency_bands": reports.recency_bands(segment),
+        "dimension_share": reports.dimension_share(customers),
+        "by_signup_service": reports.by_signup_service(customers),
+        "by_country": reports.by_country(customers),
+        "main_artists": reports.main_artist_top(customers),
+    }
+    stored = {name: write(table, f"report_{name}") for name, table in tables.items()}
+    return {"summary": summary, **stored}
+
+
+def parquet_writer(root: str) -> Writer:
     """Store tables as parquet folders below `root`."""
 
     def write(df: DataFrame, name: str) -> DataFrame:
@@ -261,7 +302,7 @@ def parquet_writer(root: str) -> Callable[[DataFrame, str], DataFrame]:
     return write
 
 
-def table_writer(database: str) -> Callable[[DataFrame, str], DataFrame]:
+def table_writer(database: str) -> Writer:
     """Store tables in a database of the session catalog."""
 
     def write(df: DataFrame, name: str) -> DataFrame:

@@ -5,14 +5,17 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.compare import TABLES, difference, duck
 from cohortry.functions import inputs, staging
-from cohortry.operators import options
+from cohortry.operators import options, scores
+from cohortry.operators.personas import default_actions, default_personas
 from cohortry.plans import Segmentation, run
-from cohortry.plans.segmentation import parquet_writer
+from cohortry.plans.segmentation import parquet_writer, table_writer, write_reports
 from cohortry.sources import Sources
+from cohortry.sources.tables import NAMES
 from cohortry.sources.star import STAR_RULES, star_sources
 
 ROOT = "/root/testdata/sf0.001"
@@ -101,6 +104,68 @@ def test_job_writes_and_replaces_its_tables(spark, tmp_path):
     assert not os.path.exists(staging.stage_root(spark).removeprefix("file://"))
 
 
+def test_catalog_tables_reports_and_older_rules(spark, tmp_path):
+    tables = star_sources(spark, ROOT)
+    for name in NAMES:
+        getattr(tables, name).createOrReplaceTempView(f"in_{name}")
+    named = Sources.from_catalog(spark, {name: f"in_{name}" for name in NAMES})
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS mart LOCATION '{tmp_path}/mart.db'")
+    write = table_writer("mart")
+    summary = run(named, STAR_RULES, write, labels="v2").collect()
+    assert sum(r["user_cnt"] for r in summary) == 131
+    assert "N/A" in {r["dimension_label"] for r in spark.table("mart.user_rfm_dimension").collect()}
+    for _ in range(2):
+        stored = write_reports(
+            spark.table("mart.user_rfm_segment"),
+            spark.table("mart.crm_users"),
+            default_personas(spark),
+            default_actions(spark),
+            write,
+        )
+    assert spark.table("mart.report_total_users").first()[0] == 131
+    assert stored["personas"].count() == 5 and stored["by_country"].count() > 1
+    spark.sql("DROP DATABASE mart CASCADE")
+
+
+def test_hot_keys_are_split_in_line_joins(spark):
+    """Adaptive execution splits the hot partitions of every join that has to move order lines."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    id = F.col("id")
+    mart = staging.stage(
+        spark.range(0, 400_000, 1, 4).select(
+            F.when(id % 3 == 0, 0).otherwise(F.xxhash64("id") % 50_000).cast("string").alias("user_id"),
+            id.alias("order_no"),
+            F.concat(F.lit("E"), F.when(id % 5 < 2, 0).otherwise(id % 997)).alias("event_id"),
+            F.xxhash64("id").alias("total_revenue"),
+            F.lit("B2C").alias("market_type"),
+            F.lit("new").alias("data_source"),
+        ),
+        "hot",
+    )
+    events = spark.range(997).select(
+        F.concat(F.lit("E"), id).alias("event_id"),
+        (id % 50).alias("artist_id"),
+        F.concat(F.lit("A"), id % 7).alias("album_name"),
+    )
+    excluded = spark.range(5, 50_000, 97).select(id.cast("string").alias("user_id"))
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        lines = scores.eligible_orders(mart, events, excluded, ["B2C"], "new")
+        done = lines.agg(F.count("*"), F.sum(F.xxhash64(*lines.columns) % 1000))
+        assert done.collect()[0][0] == mart.join(excluded, "user_id", "left_anti").count()
+        plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("SortMergeJoin(skew=true)") == 2
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+
+
 def test_sources_open_only_what_is_used(frame):
     asked = []
 
