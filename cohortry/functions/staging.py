@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
+_written: list[str] = []
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -40,13 +43,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables. Call when nothing reads them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged within the block at its end, also when it fails."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        for name in _written[start:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _written[start:]
 
 
 def without_users(df: DataFrame, excluded: DataFrame | None) -> DataFrame:

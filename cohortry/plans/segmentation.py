@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from cohortry.functions.staging import drop_stages, stage, without_users
+from cohortry.functions.staging import stage, temporary_stages, without_users
 from cohortry.operators import (
     crm,
     exclusions,
@@ -255,13 +255,13 @@ def run(
     customer table.
     """
     job = Segmentation(sources, rules, labels=labels)
-    # Later tables read the stored ones instead of computing them again.
     columns = ["user_id", "r_raw", "f_raw", "m_raw", "r_score", "f_score", "m_score"]
-    job.score = write(job.score.select(*columns), "user_rfm_score")
-    job.dimension = write(job.build_dimension(), "user_rfm_dimension")
-    write(job.build_segment(), "user_rfm_segment")
-    customers = write(job.build_crm(), "crm_users")
-    drop_stages(customers.sparkSession)
+    with temporary_stages(sources.users.sparkSession):
+        # Later tables read the stored ones instead of computing them again.
+        job.score = write(job.score.select(*columns), "user_rfm_score")
+        job.dimension = write(job.build_dimension(), "user_rfm_dimension")
+        write(job.build_segment(), "user_rfm_segment")
+        customers = write(job.build_crm(), "crm_users")
     return reports.segment_check(customers)
 
 

@@ -88,7 +88,10 @@ def test_hot_keys_without_broadcast(spark, hot_root):
 def test_job_writes_and_replaces_its_tables(spark, tmp_path):
     out = str(tmp_path)
     tables = star_sources(spark, ROOT)
+    folder = staging.stage_root(spark).removeprefix("file://")
+    before = os.listdir(folder) if os.path.isdir(folder) else []
     first = run(tables, STAR_RULES, parquet_writer(out)).collect()
+    assert os.listdir(folder) == before  # nothing staged is left behind, nothing else is lost
     again = run(tables, STAR_RULES, parquet_writer(out)).collect()
     assert first == again and sum(r["user_cnt"] for r in first) == 131
     score = spark.read.parquet(f"{out}/user_rfm_score")
@@ -100,8 +103,6 @@ def test_job_writes_and_replaces_its_tables(spark, tmp_path):
     assert customers.select("user_id").distinct().count() == customers.count()
     labels = spark.read.parquet(f"{out}/user_rfm_dimension")
     assert labels.select("user_id").distinct().count() == labels.count() == 135
-    # Nothing staged is left behind.
-    assert not os.path.exists(staging.stage_root(spark).removeprefix("file://"))
 
 
 def test_catalog_tables_reports_and_older_rules(spark, tmp_path):
