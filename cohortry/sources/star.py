@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.functions.staging import stage
 from cohortry.rules import Rules
 from cohortry.sources.tables import Sources
 
@@ -103,9 +104,9 @@ def _order_mart(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Data
     )
 
 
-def _documents(lineitem: DataFrame) -> DataFrame:
-    returned = lineitem.filter(F.col("l_returnflag") == "R").select(
-        F.col("l_orderkey").alias("id"),
+def _documents(lines: DataFrame) -> DataFrame:
+    placed = lines.select(
+        "id",
         "l_suppkey",
         F.struct(
             F.col("l_partkey").alias("id"),
@@ -115,7 +116,7 @@ def _documents(lineitem: DataFrame) -> DataFrame:
         F.floor(F.monotonically_increasing_id() / DOCUMENT_ROWS).alias("part"),
     )
     offers = (
-        returned.repartition("id", "part")
+        placed.repartition("id", "part")
         .groupBy("id", "part", "l_suppkey")
         .agg(F.collect_list("option").alias("buying_option_list"))
     )
@@ -145,7 +146,12 @@ def _commerce_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.to_json(F.struct(paid.alias("status"))).alias("payment_data"),
         F.to_json(F.struct(address.alias("information"))).alias("shipping_information"),
     )
-    return header.join(_documents(lineitem), "id", "left")
+    lines = lineitem.filter(F.col("l_returnflag") == "R").withColumn("id", F.col("l_orderkey"))
+    # Not one outer join: adaptive execution can split the many documents of one order only in an
+    # inner join, and the orders without lines need but one row per order of the lines.
+    filled = _documents(lines).drop("part").join(header, "id")
+    empty = header.join(lines.select("id").distinct(), "id", "left_anti")
+    return filled.unionByName(empty, allowMissingColumns=True)
 
 
 def _winner_groups(events: DataFrame, orders: DataFrame) -> DataFrame:
@@ -225,6 +231,9 @@ def _internal_accounts(customer: DataFrame) -> DataFrame:
     return staff.select(F.col("c_custkey").cast("string").alias("user_id"))
 
 
+# Joined line by line and read by several operators: stored once, as they would be in a warehouse.
+_STORED = ("order_mart", "commerce_orders")
+
 # Logical name -> how it is made, and from which tables.
 _RECIPES = {
     "users": (_users, "customer", "orders"),
@@ -251,6 +260,7 @@ def star_sources(spark: SparkSession, root: str) -> Sources:
 
     def load(name: str) -> DataFrame:
         make, *needs = _RECIPES[name]
-        return make(*[table(need) for need in needs])
+        made = make(*[table(need) for need in needs])
+        return stage(made, name) if name in _STORED else made
 
     return Sources(load)
