@@ -1,27 +1,29 @@
 """Benchmark passages in training documents, by a distributed positional inverted index.
 
 Test items are cut into phrases of `WIDTH` words. A first pass counts the test terms in the corpus;
-each phrase is then looked up by its two rarest terms only. A second pass stores the postings of
-those terms: (term, document, position) with the few words around. A phrase can begin at a posting's
-position less the term's offset in the phrase; the offset-adjusted lists of its two terms are
-intersected, and the rest of the phrase is compared with the words around the posting.
-
-The terms are sent to the scans in blocks of at most `BLOCK_TERMS`, the bound of every broadcast.
-Corpus texts are never shuffled. All steps are DataFrame expressions.
+each phrase is then looked up by its two rarest terms only. The index is partitioned by document:
+the postings (term, position) of a document lie with it. A second pass takes the postings of the
+rarest terms; a phrase can begin at a posting's position less the term's offset in the phrase. The
+offset-adjusted lists of its two terms are intersected there, the rest of the phrase is compared,
+and the postings that are left are stored.
+
+Terms and phrases are sent to the scans in blocks of at most `BLOCK` rows, the bound of every
+broadcast. Neither texts nor postings that match nothing are shuffled. All steps are DataFrame
+expressions.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage
 from cohortry.llm.native import plain_words, row_id
 
 WIDTH = 10
-BLOCK_TERMS = 100_000
+BLOCK = 100_000
 
 
 def phrases(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -34,11 +36,11 @@ def phrases(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return runs.select("item_id", F.array_join("words", " ").alias("phrase"), "words").distinct()
 
 
-def _blocks(terms: DataFrame, scan) -> DataFrame:
-    """`scan` for each block of a staged table of terms, as one table."""
-    count = max(1, -(-terms.count() // BLOCK_TERMS))
+def _blocks(table: DataFrame, key: str, scan) -> DataFrame:
+    """`scan` for each block of a staged table, as one table."""
+    count = max(1, -(-table.count() // BLOCK))
     parts = [
-        scan(F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(count)) == k)))
+        scan(F.broadcast(table.filter(F.pmod(F.xxhash64(key), F.lit(count)) == k)))
         for k in range(count)
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -47,12 +49,19 @@ def _blocks(terms: DataFrame, scan) -> DataFrame:
 def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each of `terms` occurs in the documents."""
     tokens = documents.select(F.explode(plain_words(F.col("text"))).alias("term"))
-    found = _blocks(terms, lambda block: tokens.join(block, "term").groupBy("term").agg(F.count("*").alias("n")))
+    found = _blocks(
+        terms,
+        "term",
+        lambda block: tokens.join(block, "term").groupBy("term").agg(F.count("*").alias("n")),
+    )
     return terms.join(found, "term", "left").fillna(0, ["n"])
 
 
 def lookups(test: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase, words, term, place, rank): the two rarest terms of each phrase."""
+    """(phrase, words, term, place, other, other_place): the two rarest terms of each phrase.
+
+    `place` is a term's offset in the phrase; `other` is null for a phrase of one word.
+    """
     placed = test.select("phrase", "words").distinct().select(
         "phrase", "words", F.posexplode("words").alias("place", "term")
     )
@@ -60,66 +69,53 @@ def lookups(test: DataFrame, counts: DataFrame) -> DataFrame:
     return (
         placed.join(counts, "term")
         .withColumn("rank", F.row_number().over(rarest))
-        .filter("rank <= 2")
-        .drop("n")
+        .withColumn("other", F.lead("term").over(rarest))
+        .withColumn("other_place", F.lead("place").over(rarest))
+        .filter("rank = 1")
+        .drop("n", "rank")
     )
 
 
-def postings(documents: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """(term, rid, pos, around, left): where `terms` occur, with up to `reach` words to each side.
-
-    `left` is the number of words in `around` that come before the term.
-    """
-    texts = documents.select(row_id().alias("rid"), plain_words(F.col("text")).alias("all"))
-    tokens = texts.select("rid", "all", F.posexplode("all").alias("pos", "term"))
-    left = F.least(F.col("pos"), F.lit(reach))
-    around = F.slice("all", F.col("pos") - left + 1, left + reach + 1)
-    return _blocks(
-        terms,
-        lambda block: tokens.join(block, "term").select(
-            "term", "rid", "pos", around.alias("around"), left.alias("left")
-        ),
-    ).distinct()
-
-
-def _index(documents: DataFrame, test: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+def _postings(documents: DataFrame, test: DataFrame, matching) -> DataFrame:
+    """Postings (rid, pos) of the rarest terms with their phrases, as far as they are `matching`."""
     terms = stage(test.select(F.explode("words").alias("term")).distinct(), "test-terms")
     keys = stage(lookups(test, stage(term_counts(documents, terms), "term-counts")), "lookups")
-    wanted = stage(keys.select("term").distinct(), "lookup-terms")
-    return keys, stage(postings(documents, wanted, reach), "postings")
+    texts = documents.select(row_id().alias("rid"), plain_words(F.col("text")).alias("all"))
+    tokens = texts.select("rid", "all", F.posexplode("all").alias("pos", "term"))
+    return _blocks(keys, "phrase", lambda block: matching(tokens.join(block, "term"))).distinct()
 
 
-def phrase_matches(documents: DataFrame, test: DataFrame, width: int = WIDTH) -> DataFrame:
+def phrase_matches(documents: DataFrame, test: DataFrame) -> DataFrame:
     """(rid, phrase, begin, length) of every exact occurrence of the phrases of `test`."""
-    keys, index = _index(documents, test, width - 1)
-    begin = (F.col("pos") - F.col("place")).alias("begin")
-    lists = index.join(keys, "term").filter("place <= pos")
-    first = lists.filter("rank = 1").select(
-        "rid", "phrase", "words", begin, "around", (F.col("left") - F.col("place") + 1).alias("from")
-    )
-    second = lists.filter("rank = 2").select("rid", "phrase", begin)
+    begin = F.col("pos") - F.col("place")
+    other = F.get("all", begin + F.col("other_place"))
     size = F.size("words")
-    several = first.filter(size > 1).join(second, ["rid", "phrase", "begin"], "left_semi")
-    single = first.filter(size == 1)
-    same = F.slice("around", F.col("from"), size) == F.col("words")
-    return (
-        several.unionByName(single.select(several.columns))
-        .filter(same)
-        .select("rid", "phrase", "begin", size.alias("length"))
-    )
+    same = F.slice("all", F.greatest(begin, F.lit(0)) + 1, size) == F.col("words")
+
+    def matching(found: DataFrame) -> DataFrame:
+        met = (begin >= 0) & (F.col("other").isNull() | (other == F.col("other")))
+        return found.filter(met & same).select(
+            "rid", "phrase", begin.alias("begin"), size.alias("length")
+        )
+
+    return _postings(documents, test, matching)
 
 
-def proximity_matches(
-    documents: DataFrame, test: DataFrame, width: int = WIDTH, slop: int = 5
-) -> DataFrame:
-    """(rid, phrase, pos): all words of a phrase, in any order, within `width` + `slop` words.
+def proximity_matches(documents: DataFrame, test: DataFrame, slop: int = 5) -> DataFrame:
+    """(rid, phrase, pos): all words of a phrase, in any order, near its rarest term.
 
-    `pos` is the position of the phrase's rarest term; the others lie at most `width` - 1 + `slop`
-    words from it.
+    `pos` is the position of that term; the others lie at most the phrase's length less one and
+    `slop` words from it.
     """
-    keys, index = _index(documents, test, width - 1 + slop)
-    near = index.join(keys.filter("rank = 1"), "term")
-    return near.filter(F.size(F.array_except("words", "around")) == 0).select("rid", "phrase", "pos")
+    reach = F.size("words") - 1 + slop
+    left = F.greatest(F.col("pos") - reach, F.lit(0))
+    around = F.slice("all", left + 1, F.col("pos") - left + reach + 1)
+
+    def matching(found: DataFrame) -> DataFrame:
+        near = F.size(F.array_except("words", around)) == 0
+        return found.filter(near).select("rid", "phrase", "pos")
+
+    return _postings(documents, test, matching)
 
 
 def _covered(matches: DataFrame) -> DataFrame:
@@ -146,7 +142,7 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = WIDTH) ->
 
 def _contamination(documents: DataFrame, items: DataFrame, width: int) -> DataFrame:
     test = stage(phrases(items, width), "phrases")
-    matches = stage(phrase_matches(documents, test, width), "matches")
+    matches = stage(phrase_matches(documents, test), "matches")
     named = (
         matches.select("rid", "phrase")
         .distinct()
@@ -177,7 +173,7 @@ def _contamination(documents: DataFrame, items: DataFrame, width: int) -> DataFr
 
 def without_contaminated(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `documents`, all columns, in which no phrase of an item occurs."""
-    hit = phrase_matches(documents, stage(phrases(items, width), "phrases"), width).select("rid").distinct()
+    hit = phrase_matches(documents, stage(phrases(items, width), "phrases")).select("rid").distinct()
     marked = documents.withColumn("__rid", row_id())
     return marked.join(
         stage(hit, "hits"), F.col("__rid") == F.col("rid"), "left_anti"
