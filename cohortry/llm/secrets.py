@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.functions.staging import stage
 from cohortry.llm.native import row_id
 
 REACH = 200
@@ -125,7 +126,7 @@ def linked_weak(found: DataFrame, reach: int = REACH) -> DataFrame:
 
 def secret_spans(documents: DataFrame, reach: int = REACH) -> DataFrame:
     """(rid, kind, begin, end): strong parts, and weak parts that are linked."""
-    found = parts(documents, [*KINDS, "break"])
+    found = stage(parts(documents, [*KINDS, "break"]), "parts")
     return found.filter(F.col("kind").isin(*STRONG)).unionByName(linked_weak(found, reach))
 
 
