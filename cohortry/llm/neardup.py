@@ -10,13 +10,12 @@
 3. Candidates of a posting list are counted on whole signatures, and those above the match
    threshold are confirmed on the full sets.
 
-A list of n classes is not expanded into n * n pairs. It is first compared with two of its members
-only; members found to be in one component are never compared again, and once little is left
-outside the largest component, exactly the pairs across components are. Shingles that no other
-member of an open list has cannot be common to any pair, which bounds the similarity of a pair
-beforehand: edited copies that are too far from everything leave the lists without a comparison.
-No pair that could join two components is left out, so the components are those of all links
-between candidates.
+A list of n classes is not expanded into n * n pairs. It is first compared with a few of its members
+only. Members found to be in one component are not compared again; of the pairs across components,
+those are that share one of their rarest shingles early enough, and enough of the rarest ones, for
+the wanted similarity to be possible at all (these bounds are exact). Copies that edits have moved too
+far from everything thus meet nothing, however large their list. No pair that could join two
+components is left out, so the components are those of all links between candidates.
 """
 
 from __future__ import annotations
@@ -36,10 +35,10 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 32
 MISS = 1e-6
-STAR_ROUNDS = 4
-#: Pairs across components are made once they are at most so many per posting.
-PAIRS_PER_POSTING = 64
-NARROWINGS = 2
+#: Members of a list that all others are compared with first.
+HUBS = 2
+#: Shingles, beyond those that must hold a common one, by which pairs are sifted.
+SIFTED = 32
 
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix(np.arange(101, COORDINATES + 101, dtype=np.uint64))
@@ -236,85 +235,62 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def unshared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, alone): number of shingles of each member that no other member has."""
-    shingles = sets.join(members, "key", "left_semi").select("key", F.explode("shingles").alias("s"))
-    alone = (
-        shingles.groupBy("s")
-        .agg(F.count("*").alias("n"), F.min("key").alias("key"))
-        .filter("n = 1")
+def early_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(s, rank, key, n, size, rarest): the rarest shingles of each member, rank 0 first, as far as
+    they can be the first one common with a similar member. Those that only one member has are left
+    out. `rarest` has its `size` rarest ones, shortened, less those it has alone."""
+    shingles = sets.join(members.select("key"), "key").select("key", F.explode("shingles").alias("s"))
+    shared = shingles.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    ordered = (
+        shingles.join(shared, "s")
         .groupBy("key")
-        .agg(F.count("*").alias("alone"))
+        .agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shared"))
+        .join(members.select("key", "n"), "key")
+    )
+    alone = F.col("n") - F.size("shared")
+    size = F.least(F.col("n"), F.floor(F.col("n") * (100 - percent) / 100) + 1 + SIFTED)
+    rarest = F.slice("shared", F.lit(1), F.greatest(F.col("size") - F.col("alone"), F.lit(0)).cast("int"))
+    short = F.transform(rarest, lambda x: F.hash(x["s"]))
+    return (
+        ordered.withColumns({"alone": alone, "size": size})
+        .withColumn("rarest", short)
+        .select("key", "n", "alone", "size", "rarest", F.posexplode("shared").alias("k", "x"))
+        .withColumn("rank", F.col("alone") + F.col("k"))
+        .filter(100 * (F.col("n") - F.col("rank")) >= percent * F.col("n"))
+        .select("key", "n", "size", "rarest", "rank", F.col("x.s").alias("s"))
     )
-    return members.join(alone, "key", "left").fillna(0, ["alone"])
 
 
 class _Grouping:
-    """Components of the classes in some posting lists, refined round by round."""
+    """Components of the classes in some posting lists."""
 
     def __init__(self, lists: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, confirm):
-        sized = lists.join(classes.select("key", "n"), "key")
-        self.lists = sized.withColumn("alone", F.lit(0).cast("long"))
+        self.lists = lists
+        self.classes = classes
         self.sets = sets
         self.percent = percent
         self.confirm = confirm
         self.components = lists.select("key").distinct().withColumn("component", F.col("key"))
-        self.tested: DataFrame | None = None
 
-    def open_lists(self, seed: int) -> DataFrame:
-        """Postings of lists with several components, each with two members of its list."""
-        posted = self.lists.join(self.components, "key")
-        member = F.struct("key", "component", "n", "alone")
+    def open_lists(self, lists: DataFrame, name: str, hubs: int) -> DataFrame:
+        """Rows of lists with several components, each with some members of its list."""
+        posted = lists.join(self.components, "key")
+        picked = [F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(k))) for k in range(hubs)]
         heads = (
-            posted.groupBy("code")
+            posted.groupBy(name)
             .agg(
-                F.count("*").alias("size"),
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
-                F.min_by(member, F.xxhash64("key", F.lit(seed))).alias("first"),
-                F.min_by(member, F.xxhash64("key", F.lit(seed + 1))).alias("second"),
+                F.array(*picked).alias("hubs"),
             )
             .filter("low != high")
-            .select("code", "size", "first", "second")
+            .select(name, "hubs")
         )
-        return posted.join(heads, "code")
+        return posted.join(heads, name)
 
-    def possible(self, a: str, b: str) -> Column:
-        """Can two members be similar enough, with at most their shared shingles in common?"""
-        common = F.least(
-            F.col(f"{a}n") - F.col(f"{a}alone"), F.col(f"{b}n") - F.col(f"{b}alone")
-        )
-        return 100 * common >= self.percent * (F.col(f"{a}n") + F.col(f"{b}n") - common)
-
-    def narrow(self) -> None:
-        """Keep open lists only, and of them the members that may still be linked with another.
-
-        A member that leaves takes its shingles along, so more of what others have is theirs alone.
-        """
-        postings = self.open_lists(0).select("code", "key", "n")
-        for _ in range(NARROWINGS):
-            postings = stage(postings.select("code", "key", "n"), "open")
-            alone = unshared(postings.select("key").distinct(), self.sets)
-            least = postings.groupBy("code").agg(F.min("n").alias("least"))
-            common = F.col("n") - F.col("alone")
-            union = F.col("n") - common + F.greatest("least", common)
-            postings = (
-                postings.join(alone, "key")
-                .join(least, "code")
-                .filter(100 * common >= self.percent * union)
-                .select("code", "key", "n", "alone")
-            )
-        self.lists = stage(postings, "open")
-
-    def test(self, pairs: DataFrame) -> bool:
-        """Confirm pairs not tested before and merge the components they link; any found?"""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs.distinct(), "pairs")
-        links = stage(self.confirm(pairs), "links")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        if links.isEmpty():
-            return False
+    def test(self, pairs: DataFrame) -> None:
+        """Confirm pairs and merge the components they link."""
+        links = stage(self.confirm(pairs.distinct()), "links")
         ends = links
         for end in ("a", "b"):
             ends = ends.join(
@@ -332,45 +308,49 @@ class _Grouping:
             ),
             "components",
         )
-        return True
 
-    def test_hubs(self, seed: int) -> bool:
-        hubs = self.open_lists(seed).withColumn("hub", F.explode(F.array("first", "second")))
-        apart = (F.col("component") != F.col("hub.component")) & self.possible("", "hub.")
-        return self.test(hubs.filter(apart).select(*_ordered(F.col("key"), F.col("hub.key"))))
+    def test_hubs(self) -> None:
+        found = self.open_lists(self.lists, "code", HUBS)
+        hubs = found.withColumn("hub", F.explode(F.array_distinct("hubs")))
+        apart = F.col("component") != F.col("hub.component")
+        self.test(hubs.filter(apart).select(*_ordered(F.col("key"), F.col("hub.key"))))
 
     def test_across(self) -> None:
-        """All pairs across components that may be linked, each from one of its common lists."""
-        known = stage(self.open_lists(0).drop("second", "size"), "known")
-        codes = known.groupBy("key").agg(F.collect_list("code").alias("codes"))
-        known = known.join(codes, "key")
-        rest = known.filter("component != first.component").select(
-            *[F.col(c).alias(f"x_{c}") for c in ("code", "key", "component", "n", "alone", "codes")]
+        """All pairs across components whose early shingles allow for a link."""
+        members = stage(
+            self.open_lists(self.lists, "code", 1)
+            .select("key")
+            .distinct()
+            .join(self.classes.select("key", "n"), "key"),
+            "members",
         )
+        early = stage(early_shingles(members, self.sets, self.percent), "early-shingles")
+        known = stage(
+            self.open_lists(early, "s", 1)
+            .withColumn("main", F.col("hubs")[0]["component"])
+            .drop("hubs"),
+            "known",
+        )
+        rest = known.filter("component != main").select(
+            *[F.col(c).alias(f"x_{c}") for c in ("s", "key", "component", "n", "rank", "size", "rarest")]
+        )
+        both = self.percent * (F.col("n") + F.col("x_n"))
+        # A similar pair lacks at most so many of either's shingles, so of its rarest ones too.
+        lacking = (100 + self.percent) * F.greatest("n", "x_n") - both
+        overlap = F.size(F.array_intersect("rarest", "x_rarest"))
         across = known.join(
             rest,
-            (F.col("code") == F.col("x_code"))
+            (F.col("s") == F.col("x_s"))
             & (F.col("component") != F.col("x_component"))
-            & ((F.col("component") == F.col("first.component")) | (F.col("key") < F.col("x_key")))
-            & self.possible("", "x_")
-            & (F.array_min(F.array_intersect("codes", "x_codes")) == F.col("code")),
+            & ((F.col("component") == F.col("main")) | (F.col("key") < F.col("x_key")))
+            & ((100 + self.percent) * (F.col("n") - F.col("rank")) >= both)
+            & ((100 + self.percent) * (F.col("x_n") - F.col("x_rank")) >= both)
+            & ((100 + self.percent) * (F.least("size", "x_size") - overlap) <= lacking),
         )
         self.test(across.select(*_ordered(F.col("key"), F.col("x_key"))))
 
     def run(self) -> DataFrame:
-        self.test_hubs(0)
-        for turn in range(1, STAR_ROUNDS):
-            self.narrow()
-            left = (
-                self.open_lists(0)
-                .filter("component != first.component")
-                .agg(F.sum("size").alias("pairs"), F.count("*").alias("postings"))
-                .first()
-            )
-            if (left["pairs"] or 0) <= PAIRS_PER_POSTING * left["postings"]:
-                break
-            if not self.test_hubs(2 * turn):
-                break
+        self.test_hubs()
         self.test_across()
         return self.components
 
@@ -409,10 +389,7 @@ def near_duplicates(
         .mapInArrow(_set_maker(width), "key binary, shingles array<long>")
     )
     sets = stage(
-        found.join(wanted.select("key"), "key", "left_semi")
-        .groupBy("key")
-        .agg(F.any_value("shingles").alias("shingles")),
-        "sets",
+        found.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets"
     )
     signed = classes.select("key", "n", "sig")
     components = _Grouping(
