@@ -38,7 +38,7 @@ MISS = 1e-6
 #: Members of a list that all others are compared with first.
 HUBS = 2
 #: Shingles, beyond those that must hold a common one, by which pairs are sifted.
-SIFTED = 32
+SIFTED = 96
 
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix(np.arange(101, COORDINATES + 101, dtype=np.uint64))
