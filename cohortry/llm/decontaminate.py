@@ -175,6 +175,5 @@ def without_contaminated(documents: DataFrame, items: DataFrame, width: int = WI
     """The rows of `documents`, all columns, in which no phrase of an item occurs."""
     hit = phrase_matches(documents, stage(phrases(items, width), "phrases")).select("rid").distinct()
     marked = documents.withColumn("__rid", row_id())
-    return marked.join(
-        stage(hit, "hits"), F.col("__rid") == F.col("rid"), "left_anti"
-    ).drop("__rid")
+    found = stage(hit.withColumnRenamed("rid", "__hit"), "hits")
+    return marked.join(found, F.col("__rid") == F.col("__hit"), "left_anti").drop("__rid")
