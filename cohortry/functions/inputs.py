@@ -31,6 +31,6 @@ def fit_shuffles(spark: SparkSession, input_bytes: int) -> None:
 
     Adaptive execution merges the ones that turn out small, so only the upper side needs care.
     """
-    wanted = min(input_bytes // PARTITION_BYTES, 50_000)
+    wanted = input_bytes // PARTITION_BYTES
     if wanted > int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get(PARTITIONS)):
         spark.conf.set(INITIAL_PARTITIONS, wanted)

@@ -157,12 +157,17 @@ def keys_at_ranks(
     targets = [Target(value, rank, 0, rows) for value in values for rank in wanted]
     if not targets:
         return {}
-    seed = 0
+    seed, unchanged = 0, 0
     while any(t.size > range_rows for t in targets):
         wide = [t for t in targets if t.size > range_rows]
+        before = sum(t.size for t in wide)
         proposal = _propose(df, keys, wide, sample_rows, seed)
         targets = [t for t in targets if t.size <= range_rows]
-        targets += _narrow(df, keys, wide, proposal)
+        narrowed = _narrow(df, keys, wide, proposal)
+        unchanged = unchanged + 1 if sum(t.size for t in narrowed) == before else 0
+        if unchanged == 4:
+            raise ValueError(f"over {range_rows} rows share a value and {id}; ids must be unique")
+        targets += narrowed
         seed += 1
     return _read_off(df, keys, targets)
 

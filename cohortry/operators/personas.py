@@ -1,4 +1,4 @@
-"""Default persona and action tables for the reports. Any table of the same shape will do."""
+"""Neutral persona and action rows for the registered reports; users bring tables of their own."""
 
 from __future__ import annotations
 
@@ -6,38 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.rules import ALBUM_COLLECTOR, BEGINNER, CHALLENGER, POCA_COLLECTOR, SHOPPER
 
+LABELS = (CHALLENGER, ALBUM_COLLECTOR, POCA_COLLECTOR, SHOPPER, BEGINNER)
+
 # label, persona, description
-PERSONAS = (
-    (CHALLENGER, "The bettor", "Buys far more copies than there are versions, to win a draw"),
-    (ALBUM_COLLECTOR, "The shelf filler", "Buys a few copies each from several artists"),
-    (POCA_COLLECTOR, "The completist", "Buys close to one copy of every version"),
-    (SHOPPER, "The shopper", "Buys goods outside of events"),
-    (BEGINNER, "The newcomer", "Buys little and still looks around"),
-)
+PERSONAS = tuple((label, f"Persona of {label}", f"Users labelled {label}") for label in LABELS)
 
 # label, number, action
-ACTIONS = (
-    (CHALLENGER, 1, "Extra draw entries above a spend"),
-    (CHALLENGER, 2, "Early access to new events"),
-    (CHALLENGER, 3, "Limited goods for spend over several rounds"),
-    (CHALLENGER, 4, "Show the odds for the quantity bought"),
-    (ALBUM_COLLECTOR, 1, "Bundles across artists"),
-    (ALBUM_COLLECTOR, 2, "Release calendar of followed artists"),
-    (ALBUM_COLLECTOR, 3, "Shared shipping for small orders"),
-    (ALBUM_COLLECTOR, 4, "Similar artists to discover"),
-    (POCA_COLLECTOR, 1, "Discount on the full set"),
-    (POCA_COLLECTOR, 2, "Stock alert for missing versions"),
-    (POCA_COLLECTOR, 3, "Badge for a completed set"),
-    (POCA_COLLECTOR, 4, "Preview of the next round's versions"),
-    (SHOPPER, 1, "Introduce events of the artists bought"),
-    (SHOPPER, 2, "Coupon for a first event order"),
-    (SHOPPER, 3, "Restock news"),
-    (SHOPPER, 4, "Goods that go with past orders"),
-    (BEGINNER, 1, "Starter offers for one or two copies"),
-    (BEGINNER, 2, "Events of artists looked at"),
-    (BEGINNER, 3, "Reward for a first full set"),
-    (BEGINNER, 4, "Reminder when a liked artist opens an event"),
-)
+ACTIONS = tuple((label, k, f"Action {k} for {label}") for label in LABELS for k in (1, 2))
 
 
 def default_personas(spark: SparkSession) -> DataFrame:

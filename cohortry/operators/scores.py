@@ -155,7 +155,8 @@ def entropy_weights(scored: DataFrame) -> DataFrame:
         entropy = F.log(total) - F.try_divide(F.col(f"{name}_log"), total)
         return 1.0 - F.try_divide(entropy, F.log(F.lit(bounds["n"])))
 
-    spreads = sums.select(*[spread(name).alias(name) for name in names])
+    # A column that is the same for all tells nobody apart and weighs nothing.
+    spreads = sums.select(*[F.coalesce(spread(name), F.lit(0.0)).alias(name) for name in names])
     everything = F.col("r_raw") + F.col("f_raw") + F.col("m_raw")
     return spreads.select(
         *[F.try_divide(F.col(name), everything).alias("w_" + name[0]) for name in names]

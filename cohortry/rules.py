@@ -37,7 +37,7 @@ class Rules:
     # Which mart orders count.
     score_markets: tuple[str, ...] = ("B2C", "B2B")
     retail_markets: tuple[str, ...] = ("B2C",)
-    order_source: str | None = "new_commerce_db"
+    order_source: str | None = None
 
     # When a raw order line counts as paid.
     paid_payments: tuple[str, ...] = ("CONFIRMED", "PARTIAL_CANCELED")

@@ -204,7 +204,7 @@ def test_new_inputs_are_noticed_and_large_ones_widen_shuffles(spark, tmp_path):
     assert spark.conf.get(inputs.INITIAL_PARTITIONS, None) is None
     try:
         inputs.fit_shuffles(spark, 100 << 40)
-        assert spark.conf.get(inputs.INITIAL_PARTITIONS) == "50000"
+        assert spark.conf.get(inputs.INITIAL_PARTITIONS) == str((100 << 40) // inputs.PARTITION_BYTES)
     finally:
         spark.conf.unset(inputs.INITIAL_PARTITIONS)
 

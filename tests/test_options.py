@@ -135,7 +135,7 @@ def test_older_rules_count_a_line_per_sku(frame, catalogue, spark):
     choices = [*OPTIONS, "nowhere", None]
     mart = frame(
         [(f"u{i % 5}", None if i % 17 == 0 else "E", choices[i % len(choices)], f"ip{i % 3}", i % 4, i * 10,
-          "B2C" if i % 3 else "B2B", "new_commerce_db" if i % 7 else "old") for i in range(200)],
+          "B2C" if i % 3 else "B2B", "new" if i % 7 else "old") for i in range(200)],
         MART,
     )
     events = frame([("E", 1, "x"), ("E", 2, "x")], "event_id string, artist_id long, album_name string")
@@ -148,8 +148,8 @@ def test_older_rules_count_a_line_per_sku(frame, catalogue, spark):
         "LEFT JOIN s ON i.sku_code = s.sku_code"
     )
     counts = options.sku_row_counts(items, skus)
-    retail = mart_variants.mart_purchases(mart, None, ["B2C"], "new_commerce_db")
-    both = mart_variants.mart_purchases(mart, None, ["B2C", "B2B"], "new_commerce_db")
+    retail = mart_variants.mart_purchases(mart, None, ["B2C"], "new")
+    both = mart_variants.mart_purchases(mart, None, ["B2C", "B2B"], "new")
 
     def want(keep, markets, vc):
         return rows(spark.sql(

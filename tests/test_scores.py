@@ -90,3 +90,12 @@ def test_weights(frame):
     assert sum(weights) == pytest.approx(1.0)
     # Spend sets one user apart from the rest, days since login spread evenly.
     assert weights["w_m"] > weights["w_f"] > weights["w_r"] > 0
+
+
+def test_constant_column_weighs_nothing(spark):
+    scored = spark.createDataFrame(
+        [(1, 1, 1.0, 5.0), (2, 2, 1.0, 9.0), (3, 7, 1.0, 30.0)],
+        "user_id long, r_raw long, f_raw double, m_raw double",
+    )
+    weights = scores.entropy_weights(scored).first()
+    assert weights["w_f"] == 0 and abs(weights["w_r"] + weights["w_m"] - 1) < 1e-9
