@@ -29,7 +29,7 @@ def spark():
 
 @pytest.fixture
 def rules():
-    return Rules(as_of=date(2025, 6, 30), run_ts=datetime(2025, 6, 30, 3, 0))
+    return Rules(as_of=date(2025, 6, 30), run_ts=datetime(2025, 6, 30, 3, 0), order_source="new")
 
 
 @pytest.fixture
