@@ -49,16 +49,25 @@ def plain_date(df: DataFrame, name: str) -> Column:
     return local_date(df, name, "UTC")
 
 
-def as_json(df: DataFrame, name: str) -> Column:
-    """Column `name` as a variant: parsed once if it holds text, null if the text is not JSON."""
+def json_items(df: DataFrame, name: str) -> Column:
+    """Elements of the array in column `name`, for `json_object`; null if it holds no array.
+
+    Elements of a document of text are texts, each parsed on its own: an odd one costs nothing
+    but itself, and a document may be as long as a text may.
+    """
     if isinstance(df.schema[name].dataType, T.VariantType):
-        return F.col(name)
-    return F.try_parse_json(F.col(name))
+        return F.try_variant_get(name, "$", "array<variant>")
+    return F.from_json(F.col(name), "array<string>")
 
 
-def json_items(doc: Column, path: str = "$") -> Column:
-    """The array at `path` as array<variant>; null when there is no array there."""
-    return F.try_variant_get(doc, path, "array<variant>")
+def json_object(df: DataFrame, name: str, schema: str) -> Column:
+    """The element in column `name` as a struct of texts and arrays of texts.
+
+    What is missing or of another kind is null. Of equal keys the last one counts. Numbers keep
+    the text they are written with, but in a variant, which stores `1.0` as 1.
+    """
+    is_variant = isinstance(df.schema[name].dataType, T.VariantType)
+    return F.from_json(F.to_json(name) if is_variant else F.col(name), schema)
 
 
 def json_scalar(doc: Column, path: str) -> Column:
@@ -93,6 +102,9 @@ def _checked(text: Column, doc: Column, path: str) -> Column:
     return F.when(nested, json_scalar(F.try_parse_json(doc), path)).otherwise(text)
 
 
-def json_number(doc: Column, path: str, kind: str) -> Column:
-    """Scalar at `path` cast to `kind`; null when the text is not such a number."""
-    return F.try_variant_get(doc, path, "string").try_cast(kind)
+def scalar_of(df: DataFrame, name: str, text: Column, path: str) -> Column:
+    """`text` as found by `json_object` at `path` of column `name`; null for a nested value."""
+    doc = F.col(name)
+    if isinstance(df.schema[name].dataType, T.VariantType):
+        doc = F.to_json(doc)
+    return _checked(text, doc, path)

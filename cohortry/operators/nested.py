@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.columns import (
-    as_json,
-    json_items,
-    json_number,
-    json_scalar,
-    json_text,
-)
+from cohortry.functions.columns import json_items, json_object, json_text, scalar_of
 from cohortry.functions.staging import stage
 from cohortry.rules import NO_WINNER_ID, OFFER_TYPES, SHOP_OFFER, Rules
 
 
+OFFER = "struct<id:string, code:string, buying_option_list:array<string>>"
+OPTION = "struct<id:string, quantity:string, price:string>"
+WINNER = "struct<user:struct<id:string>, information:struct<order:struct<order_number:string>>>"
+
+
 def winners(groups: DataFrame, orders: DataFrame) -> DataFrame:
     """Users whose order is named in a winner list. Entries without a winner do not count."""
-    entries = groups.select(F.explode(json_items(as_json(groups, "winner_list"))).alias("entry"))
+    entries = groups.select(F.explode(json_items(groups, "winner_list")).alias("entry"))
+    parsed = json_object(entries, "entry", WINNER)
+    number_path = "$.information.order.order_number"
+    number = parsed["information"]["order"]["order_number"]
     won = entries.select(
-        json_scalar(F.col("entry"), "$.user.id").alias("winner"),
-        json_scalar(F.col("entry"), "$.information.order.order_number").alias("order_number"),
+        scalar_of(entries, "entry", parsed["user"]["id"], "$.user.id").alias("winner"),
+        scalar_of(entries, "entry", number, number_path).alias("order_number"),
     ).filter((F.col("winner") != NO_WINNER_ID) & F.col("order_number").isNotNull())
     # Staged: the list is parsed once, and its size decides how the orders are searched.
     numbers = stage(won.select("order_number").distinct(), "won-orders")
@@ -35,7 +37,10 @@ def winners(groups: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def order_lines(orders: DataFrame, rules: Rules) -> DataFrame:
-    """One row per order, offer and option. The price of a line is its whole amount."""
+    """One row per order, offer and option. The price of a line is its whole amount.
+
+    A document that is null or no array has no lines; `unread_documents` counts those with text.
+    """
     status = F.coalesce(F.col("payment_status"), json_text(orders, "payment_data", "$.status"))
     offers = orders.select(
         F.col("id").alias("order_id"),
@@ -43,23 +48,34 @@ def order_lines(orders: DataFrame, rules: Rules) -> DataFrame:
         "order_status",
         status.alias("payment_status"),
         F.left("order_number", F.lit(1)).alias("order_no_prefix"),
-        F.explode(json_items(as_json(orders, "ordered_data"))).alias("offer"),
+        F.explode(json_items(orders, "ordered_data")).alias("offer"),
     )
+    offer = json_object(offers, "offer", OFFER)
     options = offers.select(
         "order_id",
         "user_id",
         "order_status",
         "payment_status",
         "order_no_prefix",
-        json_number(F.col("offer"), "$.id", "bigint").alias("offer_id"),
-        json_scalar(F.col("offer"), "$.code").alias("offer_code"),
-        F.explode(json_items(F.col("offer"), "$.buying_option_list")).alias("option"),
+        offer["id"].try_cast("bigint").alias("offer_id"),
+        scalar_of(offers, "offer", offer["code"], "$.code").alias("offer_code"),
+        F.explode(offer["buying_option_list"]).alias("option"),
     )
+    option = F.from_json("option", OPTION)
     return options.select(
         *[name for name in options.columns if name != "option"],
-        json_number(F.col("option"), "$.id", "bigint").alias("option_id"),
-        json_number(F.col("option"), "$.quantity", "bigint").alias("order_qty"),
-        json_number(F.col("option"), "$.price", rules.price_type).alias("total_revenue"),
+        option["id"].try_cast("bigint").alias("option_id"),
+        option["quantity"].try_cast("bigint").alias("order_qty"),
+        option["price"].try_cast(rules.price_type).alias("total_revenue"),
+    )
+
+
+def unread_documents(orders: DataFrame) -> DataFrame:
+    """How many order documents there are, and how many are not null but hold no array."""
+    written = F.col("ordered_data").isNotNull()
+    return orders.agg(
+        F.count_if(written).alias("documents"),
+        F.count_if(written & json_items(orders, "ordered_data").isNull()).alias("unread"),
     )
 
 

@@ -33,6 +33,50 @@ def test_order_lines_of_odd_documents(frame, rules):
     ]
 
 
+REPEATED = (
+    '[{"id":7,"code":"E6","code":"E7","buying_option_list":[{"id":1,"id":2,"quantity":1.0},'
+    '{"id":3,"quantity":"4"}]},{"id":8,"code":"E8","buying_option_list":[{"id":5,"quantity":6}]},'
+    '{"id":9,"code":"E9","buying_option_list":"[{}]"},"{}",[{"id":1}]]'
+)
+
+
+def test_repeated_keys_and_written_fractions(frame, rules):
+    """The last of equal keys counts, neighbours stay, and 1.0 is no whole number."""
+    table = frame([order(0, REPEATED), order(1, '[{"id":1'), order(2, "{}"), order(3, None)], ORDERS)
+    got = rows(nested.order_lines(table, rules), "offer_id", "offer_code", "option_id", "order_qty")
+    assert got == [(7, "E7", 2, None), (7, "E7", 3, 4), (8, "E8", 5, 6)]
+    assert tuple(nested.unread_documents(table).first()) == (3, 2)
+
+
+def test_repeated_key_in_a_winner_list(frame):
+    entry = '{"user":{"id":%s},"information":{"order":{"order_number":"%s"}}%s}'
+    groups = frame(
+        [("[" + ",".join([entry % ("5", "C1", ""), entry % ('1,"id":6', "C2", ',"x":1,"x":2')]) + "]",)],
+        "winner_list string",
+    )
+    orders = frame([("C1", 11), ("C2", 12)], "order_number string, user_id long")
+    assert rows(nested.winners(groups, orders)) == [("11",), ("12",)]
+
+
+def test_a_document_is_parsed_once_into_elements(frame, rules):
+    plan = nested.order_lines(frame([], ORDERS), rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(ArrayType(StringType") == 1 and "SinglePartition" not in plan
+
+
+def test_a_document_above_the_size_of_a_variant(spark, rules):
+    n = 1_500_000
+    option = F.concat(F.lit('{"id":1,"quantity":2,"price":3,"note":"'), F.repeat(F.lit("x"), 60), F.lit('"}'))
+    data = F.concat(
+        F.lit('[{"id":1,"code":"E","buying_option_list":['),
+        F.array_join(F.array_repeat(option, n), ","),
+        F.lit("]}]"),
+    )
+    table = spark.createDataFrame([order(0, None)], ORDERS).withColumn("ordered_data", data)
+    sums = nested.order_lines(table, rules).agg(F.count("*"), F.sum("order_qty"), F.max(F.length(data)))
+    got = sums.first()
+    assert got[0] == n and got[1] == 2 * n and got[2] > 128 << 20
+
+
 def test_payment_status_falls_back_to_the_document(frame, rules):
     one = json.dumps([{"id": 1, "buying_option_list": [{"id": 1}]}])
     table = frame(
