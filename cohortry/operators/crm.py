@@ -77,17 +77,21 @@ def user_profile(users: DataFrame, info: DataFrame, rules: Rules) -> DataFrame:
 def purchase_stats(orders: DataFrame, excluded: DataFrame | None, rules: Rules) -> DataFrame:
     """First and last day, orders, spend and active months of retail buyers.
 
-    Users are dropped after the aggregate, when there is one row each.
+    Lines are summed per order and month first, so that distinct counts repeat few rows. Users are
+    dropped after the aggregate, when there is one row each.
     """
     lines = market_orders(orders, rules.retail_markets, rules.order_source)
     day = plain_date(orders, "pay_date")
     spent, count = F.col("spent"), F.col("total_orders")
-    users = lines.groupBy("user_id").agg(
-        F.min(day).alias("first_purchase_date"),
-        F.max(day).alias("last_purchase_date"),
+    months = lines.groupBy("user_id", "order_no", F.trunc(day, "MONTH").alias("month")).agg(
+        F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.sum("total_revenue").alias("spent")
+    )
+    users = months.groupBy("user_id").agg(
+        F.min("first_day").alias("first_purchase_date"),
+        F.max("last_day").alias("last_purchase_date"),
         F.count_distinct("order_no").alias("total_orders"),
-        F.sum("total_revenue").alias("spent"),
-        F.count_distinct(F.trunc(day, "MONTH")).alias("active_months"),
+        F.sum("spent").alias("spent"),
+        F.count_distinct("month").alias("active_months"),
     )
     kept = users if excluded is None else without_users(users, excluded)
     return kept.select(

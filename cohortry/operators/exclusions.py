@@ -44,7 +44,7 @@ def multi_artist_buyers(orders: DataFrame, events: DataFrame, rules: Rules) -> D
     )
     known = events.filter(F.col("artist_id").isNotNull())
     return (
-        with_event(recent.select("user_id", "event_id"), known, "inner")
+        with_event(recent.select("user_id", "event_id").distinct(), known, "inner")
         .groupBy("user_id")
         .agg(F.count_distinct("artist_id").alias("artists"))
         .filter(F.col("artists") >= rules.agent_min_artists)

@@ -47,6 +47,11 @@ def eligible_orders(
     )
 
 
+def event_spend(orders: DataFrame) -> DataFrame:
+    """Spend per user and event: what `order_values` needs of the lines, before events are joined."""
+    return orders.groupBy("user_id", "event_id").agg(F.sum("total_revenue").alias("total_revenue"))
+
+
 def order_values(orders: DataFrame) -> DataFrame:
     """Frequency and monetary value per user in one pass over the order lines.
 
