@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
-_written: list[str] = []
+_block: ContextVar[list[str] | None] = ContextVar("stages of the current block", default=None)
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -42,22 +43,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     the planner the true size of the table.
     """
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    written = _block.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def temporary_stages(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables staged within the block at its end, also when it fails."""
-    start = len(_written)
+def recorded_stages(paths: list[str]) -> Iterator[None]:
+    """Add the paths of the tables that this block stages to `paths`."""
+    token = _block.set(paths)
     try:
         yield
     finally:
-        for name in _written[start:]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        del _written[start:]
+        _block.reset(token)
+
+
+def drop_stages(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables and empty the list."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged within the block at its end, also when it fails.
+
+    Every block knows its own tables only, so jobs of several threads leave each other's alone.
+    """
+    paths: list[str] = []
+    try:
+        with recorded_stages(paths):
+            yield
+    finally:
+        drop_stages(spark, paths)
 
 
 def without_users(df: DataFrame, excluded: DataFrame | None) -> DataFrame:

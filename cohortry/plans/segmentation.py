@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage, temporary_stages, without_users
 from cohortry.operators import (
@@ -75,7 +77,8 @@ class Segmentation:
         lines = scores.market_orders(
             self.sources.order_mart, self.rules.score_markets, self.rules.order_source
         )
-        values = scores.order_values(scores.with_event(lines, self.sources.event_mart))
+        spend = scores.event_spend(lines)
+        values = scores.order_values(scores.with_event(spend, self.sources.event_mart))
         return without_users(values, self.excluded)
 
     def rfm_base(self) -> DataFrame:
@@ -235,10 +238,17 @@ class Segmentation:
         return stage(self.build_crm(), "crm")
 
     def kpi_totals(self) -> DataFrame:
-        """Overall totals: scores and spend of every user, excluded ones too."""
+        """Overall totals: buyers and spend of every user, excluded ones too.
+
+        A buyer has a score if spend is above 0, so neither tiles nor labels are needed.
+        """
         everyone = Segmentation(self.sources, self.rules, exclude=False)
-        customers = crm.crm_users(
-            self.profile(), everyone.score, self.dimension, everyone.purchase_stats(), self.rules
+        buyers = everyone.rfm_base().filter(F.col("m_raw") > 0)
+        customers = (
+            self.profile()
+            .join(buyers.select("user_id", F.lit(1).alias("r_score")), "user_id", "left")
+            .join(everyone.purchase_stats(), "user_id", "left")
+            .withColumn("total_gmv", F.coalesce("total_gmv", F.lit(0)))
         )
         return reports.kpi_totals(customers)
 
@@ -251,18 +261,21 @@ def run(
 ) -> DataFrame:
     """Build the score, dimension, segment and customer tables, each replacing the last run's.
 
-    See `parquet_writer` and `table_writer` for `write`. Returns the check summary of the new
-    customer table.
+    All four are computed before the first is replaced. See `parquet_writer` and `table_writer` for
+    `write`. Returns the check summary of the new customer table.
     """
     job = Segmentation(sources, rules, labels=labels)
     columns = ["user_id", "r_raw", "f_raw", "m_raw", "r_score", "f_score", "m_score"]
     with temporary_stages(sources.users.sparkSession):
-        # Later tables read the stored ones instead of computing them again.
-        job.score = write(job.score.select(*columns), "user_rfm_score")
-        job.dimension = write(job.build_dimension(), "user_rfm_dimension")
-        write(job.build_segment(), "user_rfm_segment")
-        customers = write(job.build_crm(), "crm_users")
-    return reports.segment_check(customers)
+        job.score = stage(job.score.select(*columns), "score")
+        made = {
+            "user_rfm_score": job.score,
+            "user_rfm_dimension": job.dimension,
+            "user_rfm_segment": job.segment,
+            "crm_users": job.crm_users,
+        }
+        stored = {name: write(table, name) for name, table in made.items()}
+    return reports.segment_check(stored["crm_users"])
 
 
 def write_reports(
@@ -271,8 +284,12 @@ def write_reports(
     personas: DataFrame,
     actions: DataFrame,
     write: Writer,
+    job: Segmentation | None = None,
 ) -> dict[str, DataFrame]:
-    """Store the reports on a stored segment and customer table; each replaces the last one."""
+    """Store the reports on a stored segment and customer table; each replaces the last one.
+
+    Overall totals and the winner rate need the inputs too: they are stored if `job` is given.
+    """
     summary = write(reports.segment_summary(segment), "report_summary")
     tables = {
         "detail": reports.segment_detail(segment),
@@ -288,25 +305,56 @@ def write_reports(
         "by_country": reports.by_country(customers),
         "main_artists": reports.main_artist_top(customers),
     }
-    stored = {name: write(table, f"report_{name}") for name, table in tables.items()}
+    tables["segment_check"] = reports.segment_check(customers)
+    if job is None:
+        stored = {name: write(table, f"report_{name}") for name, table in tables.items()}
+        return {"summary": summary, **stored}
+    with temporary_stages(segment.sparkSession):
+        tables["kpi_totals"] = job.kpi_totals()
+        tables["winner_rate"] = reports.winner_rate(customers, job.winners)
+        stored = {name: write(table, f"report_{name}") for name, table in tables.items()}
     return {"summary": summary, **stored}
 
 
 def parquet_writer(root: str) -> Writer:
-    """Store tables as parquet folders below `root`."""
+    """Store tables as parquet folders below `root`.
+
+    A table is written whole beside the old one and then takes its place, so a failed write leaves
+    the old one as it is.
+    """
 
     def write(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return df.sparkSession.read.parquet(f"{root}/{name}")
+        spark = df.sparkSession
+        fresh = f"{root}/_{name}-{uuid.uuid4().hex}"
+        new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, f"{root}/{name}"))
+        files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+        try:
+            df.write.parquet(fresh)
+        except Exception:
+            files.delete(new, True)
+            raise
+        files.delete(old, True)
+        if not files.rename(new, old):
+            raise OSError(f"cannot rename {fresh} to {root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
 
     return write
 
 
 def table_writer(database: str) -> Writer:
-    """Store tables in a database of the session catalog."""
+    """Store tables in a database of the session catalog, each written whole before it replaces
+    the old one."""
 
     def write(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
-        return df.sparkSession.table(f"{database}.{name}")
+        spark = df.sparkSession
+        fresh = f"{database}.{name}_{uuid.uuid4().hex}"
+        try:
+            df.write.saveAsTable(fresh)
+        except Exception:
+            spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+            raise
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {database}.{name}")
+        return spark.table(f"{database}.{name}")
 
     return write

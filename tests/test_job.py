@@ -1,6 +1,8 @@
 """The whole job on star-schema tables, compared with SQL, and on tables with hot keys."""
 
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks.compare import TABLES, difference, duck
 from cohortry.functions import inputs, staging
-from cohortry.operators import options, scores
+from cohortry.operators import crm, exclusions, options, scores
 from cohortry.operators.personas import default_actions, default_personas
 from cohortry.plans import Segmentation, run
 from cohortry.plans.segmentation import parquet_writer, table_writer, write_reports
@@ -36,7 +38,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(entry.QUERIES))
@@ -122,7 +124,10 @@ def test_catalog_tables_reports_and_older_rules(spark, tmp_path):
             default_personas(spark),
             default_actions(spark),
             write,
+            Segmentation(named, STAR_RULES, labels="v2"),
         )
+    assert spark.table("mart.report_kpi_totals").first()["users"] == spark.table("mart.crm_users").count()
+    assert spark.table("mart.report_winner_rate").count() == 1 and len(stored) == 16
     assert spark.table("mart.report_total_users").first()[0] == 131
     assert stored["personas"].count() == 5 and stored["by_country"].count() > 1
     spark.sql("DROP DATABASE mart CASCADE")
@@ -167,6 +172,95 @@ def test_hot_keys_are_split_in_line_joins(spark):
             spark.conf.unset(name)
 
 
+def test_blocks_delete_their_own_stages_only(spark):
+    rows = spark.range(3)
+    first, second = [], []
+    with staging.recorded_stages(second):
+        with staging.recorded_stages(first):
+            one = staging.stage(rows, "one")
+        two = staging.stage(rows, "two")
+        with staging.temporary_stages(spark):
+            three = staging.stage(rows, "three")
+    assert (len(first), len(second)) == (1, 1) and one.count() == 3
+    staging.drop_stages(spark, first)
+    assert two.count() == 3 and first == []
+    with pytest.raises(Exception):
+        three.count()
+    staging.drop_stages(spark, second)
+
+
+def test_two_jobs_at_once(spark):
+    def job(n):
+        with staging.temporary_stages(spark):
+            table = staging.stage(spark.range(n), "job")
+            together.wait(60)
+            if n == 1:
+                return table.count()
+            first.result(60)  # the other block has ended and cleaned up
+            return table.count()
+
+    together = threading.Barrier(2)
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(job, 1)
+        second = pool.submit(job, 2)
+        assert (first.result(60), second.result(60)) == (1, 2)
+
+
+def test_forget_deletes_what_was_staged(spark):
+    entry.forget()
+    entry.queries()["offer_lookup"](spark, ROOT)
+    entry.queries()["winners"](spark, ROOT).count()
+    folder = staging.stage_root(spark).removeprefix("file://")
+    kept = len(os.listdir(folder))
+    staged = len(entry._staged)
+    entry.forget()
+    assert staged > 0 and len(os.listdir(folder)) == kept - staged
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS kept LOCATION '{tmp_path}/kept.db'")
+    bad = spark.range(4).select(F.assert_true(F.col("id") < 2).cast("string").alias("id"))
+    for write in (parquet_writer(str(tmp_path)), table_writer("kept")):
+        write(spark.range(3), "t")
+        with pytest.raises(Exception):
+            write(bad, "t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == spark.table("kept.t").count() == 3
+    assert [d for d in os.listdir(tmp_path) if d.startswith("_t")] == []
+    assert write(spark.range(5), "t").count() == 5
+    shown = spark.sql("SHOW TABLES IN kept").filter("NOT isTemporary").collect()
+    assert [r["tableName"] for r in shown] == ["t"]
+    spark.sql("DROP DATABASE kept CASCADE")
+
+
+def test_lines_are_summed_before_they_are_joined(spark):
+    """Without broadcasts, the first aggregate of mart lines lies below every join and Expand."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    tables = star_sources(spark, ROOT)
+    mart = staging.stage(tables.order_mart, "mart")
+    try:
+        spark.conf.set(name, -1)
+        lines = scores.market_orders(mart, ["B2C"], None)
+        spend = scores.order_values(scores.with_event(scores.event_spend(lines), tables.event_mart))
+        several = exclusions.multi_artist_buyers(mart, tables.event_mart, STAR_RULES)
+        stats = crm.purchase_stats(mart, None, STAR_RULES)
+        for df in (spend, several, stats):
+            steps = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            scan = next(k for k, line in enumerate(steps) if "market_type" in line and "FileScan" in line)
+            above = [s for s in steps[:scan] if "HashAggregate" in s or "Join" in s or "Expand" in s]
+            assert "HashAggregate" in above[-1]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_totals_need_no_labels(spark):
+    job = Segmentation(star_sources(spark, ROOT), STAR_RULES)
+    staged = []
+    with staging.recorded_stages(staged):
+        job.kpi_totals()
+    assert staged == []
+
+
 def test_sources_open_only_what_is_used(frame):
     asked = []
 
