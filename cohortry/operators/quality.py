@@ -9,19 +9,25 @@ from cohortry.functions.columns import ratio
 from cohortry.operators.options import OPTION, has_variety
 
 
-def fanout_check(lines: DataFrame, matches: DataFrame) -> DataFrame:
-    """Quantity per option as bought, and as a join of order lines with SKUs would count it.
+def fanout_check(lines: DataFrame, matches: DataFrame, purchases: DataFrame) -> DataFrame:
+    """Quantity per option as bought, as a join of order lines with SKUs would count it, and as the
+    label rules do count it.
 
-    Both sides are summed per option first, so the repeated lines are never produced.
+    `purchases` is the table the labels are made from, `lines` what it was summed from; `agrees` is
+    false where the two differ. All sides are summed per option first, so repeated lines are never
+    produced.
     """
     rows = matches.filter(has_variety()).groupBy(*OPTION).agg(F.count("*").alias("sku_rows"))
     bought = lines.groupBy(*OPTION).agg(F.sum("order_qty").alias("option_qty"))
-    return bought.join(rows, OPTION).select(
+    counted = purchases.groupBy(*OPTION).agg(F.sum("total_qty").alias("counted_qty"))
+    return bought.join(rows, OPTION).join(counted, OPTION, "left").select(
         *OPTION,
         "sku_rows",
         "option_qty",
         (F.col("option_qty") * F.col("sku_rows")).alias("sku_qty"),
         (F.col("sku_rows") > 1).alias("fans_out"),
+        "counted_qty",
+        F.col("option_qty").eqNullSafe(F.col("counted_qty")).alias("agrees"),
     )
 
 

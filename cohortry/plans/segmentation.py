@@ -33,11 +33,11 @@ class Segmentation:
 
     Tables that several others read are staged: order documents are parsed once and the order
     lines shuffled once. With `exclude=False` no user is left out, as for overall totals. `labels`
-    names the rule set of the dimension table: "v3", or "v2" from the order mart.
+    names the rule set of the dimension table: "v3", or "v2" and "v1" from the order mart.
     """
 
     def __init__(self, sources: Sources, rules: Rules, exclude: bool = True, labels: str = "v3"):
-        if labels not in ("v2", "v3"):
+        if labels not in ("v1", "v2", "v3"):
             raise ValueError(f"unknown label rules {labels!r}")
         self.sources = sources
         self.rules = rules
@@ -148,6 +148,8 @@ class Segmentation:
         return rollup.main_artist(self.purchases, nested.artist_names(self.offers))
 
     def build_dimension(self) -> DataFrame:
+        if self.labels == "v1":
+            return rollup.user_dimension(self.final_dimension_v1(), self.main_artist_v2())
         if self.labels == "v2":
             return self.dimension_v2()
         return rollup.user_dimension(self.final_dimension(), self.main_artist())

@@ -37,7 +37,7 @@ class Rules:
     # Which mart orders count.
     score_markets: tuple[str, ...] = ("B2C", "B2B")
     retail_markets: tuple[str, ...] = ("B2C",)
-    order_source: str | None = "new_commerce_db"
+    order_source: str | None = None  # value of data_source; None takes every source
 
     # When a raw order line counts as paid.
     paid_payments: tuple[str, ...] = ("CONFIRMED", "PARTIAL_CANCELED")
@@ -68,4 +68,6 @@ class Rules:
     v2_album_qty_below: int = 3
     v1_challenger_ratio: float = 1.0
 
+    # Label of users without one, in the segment table and in the customer table.
     default_label: str | None = BEGINNER
+    customer_default_label: str | None = BEGINNER

@@ -29,7 +29,7 @@ def test_segment(frame, rules):
 
 
 def mart(frame):
-    def row(user, order, amount, day, market="B2C", source="new_commerce_db"):
+    def row(user, order, amount, day, market="B2C", source="new"):
         return (user, order, amount, market, source, datetime(*day))
 
     return frame(

@@ -253,6 +253,15 @@ def test_lines_are_summed_before_they_are_joined(spark):
         spark.conf.set(name, before)
 
 
+def test_oldest_rules_as_a_job(spark):
+    job = Segmentation(star_sources(spark, ROOT), STAR_RULES, labels="v1")
+    newest = Segmentation(star_sources(spark, ROOT), STAR_RULES)
+    assert job.build_dimension().columns == newest.build_dimension().columns
+    want = job.final_dimension_v1().select("user_id", "dimension_label").collect()
+    assert sorted(want) == sorted(job.dimension.select("user_id", "dimension_label").collect())
+    assert job.crm_users.count() == newest.crm_users.count()
+
+
 def test_totals_need_no_labels(spark):
     job = Segmentation(star_sources(spark, ROOT), STAR_RULES)
     staged = []

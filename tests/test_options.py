@@ -108,10 +108,16 @@ def test_second_sku_changes_no_quantity(frame, catalogue):
 
 def test_fanout_check(frame, catalogue):
     lines = frame([line(option="one", qty=3), line("v", "two", 2), line("w", "two", 5)], LINES)
-    got = quality.fanout_check(lines, options.option_sku_matches(*catalogue))
+    skus = options.option_sku_matches(*catalogue)
+    bought = options.option_purchases(lines)
+    got = quality.fanout_check(lines, skus, bought)
     assert rows(got, "option_code", "sku_rows", "option_qty", "sku_qty", "fans_out") == [
         ("one", 1, 3, 3, False), ("two", 2, 7, 14, True)
     ]
+    assert rows(got, "option_code", "counted_qty", "agrees") == [("one", 3, True), ("two", 7, True)]
+    planted = bought.join(skus.filter("sku_type = 'P'"), options.OPTION)
+    found = quality.fanout_check(lines, skus, planted)
+    assert rows(found.filter("NOT agrees"), "option_code", "counted_qty") == [("two", 14)]
 
 
 def test_coverage_and_partition(frame):
@@ -135,7 +141,7 @@ def test_older_rules_count_a_line_per_sku(frame, catalogue, spark):
     choices = [*OPTIONS, "nowhere", None]
     mart = frame(
         [(f"u{i % 5}", None if i % 17 == 0 else "E", choices[i % len(choices)], f"ip{i % 3}", i % 4, i * 10,
-          "B2C" if i % 3 else "B2B", "new_commerce_db" if i % 7 else "old") for i in range(200)],
+          "B2C" if i % 3 else "B2B", "new" if i % 7 else "old") for i in range(200)],
         MART,
     )
     events = frame([("E", 1, "x"), ("E", 2, "x")], "event_id string, artist_id long, album_name string")
@@ -148,15 +154,15 @@ def test_older_rules_count_a_line_per_sku(frame, catalogue, spark):
         "LEFT JOIN s ON i.sku_code = s.sku_code"
     )
     counts = options.sku_row_counts(items, skus)
-    retail = mart_variants.mart_purchases(mart, None, ["B2C"], "new_commerce_db")
-    both = mart_variants.mart_purchases(mart, None, ["B2C", "B2B"], "new_commerce_db")
+    retail = mart_variants.mart_purchases(mart, None, ["B2C"], "new")
+    both = mart_variants.mart_purchases(mart, None, ["B2C", "B2B"], "new")
 
     def want(keep, markets, vc):
         return rows(spark.sql(
             f"SELECT user_id, artist_id, m.event_id, option_code, sum(order_qty), "
             f"try_divide(sum(total_revenue), sum(order_qty)), {vc}, try_divide(sum(order_qty), {vc}) "
             f"FROM {joined} LEFT JOIN e ON m.event_id = e.event_id "
-            f"WHERE market_type IN {markets} AND data_source = 'new_commerce_db' AND ({keep}) "
+            f"WHERE market_type IN {markets} AND data_source = 'new' AND ({keep}) "
             f"GROUP BY user_id, artist_id, m.event_id, option_code"
         ))
 
@@ -169,7 +175,7 @@ def test_older_rules_count_a_line_per_sku(frame, catalogue, spark):
     bulk = mart_variants.bulk_ticket_buyers_v2(retail, counts, 5)
     assert rows(bulk) == rows(spark.sql(
         f"SELECT DISTINCT user_id FROM (SELECT user_id FROM {joined} WHERE market_type = 'B2C' "
-        "AND data_source = 'new_commerce_db' AND m.event_id IS NOT NULL AND (sku_type IS NULL OR "
+        "AND data_source = 'new' AND m.event_id IS NOT NULL AND (sku_type IS NULL OR "
         "sku_type = 'C' OR (sku_type = 'P' AND coalesce(virtual_child_sku_count, 0) = 0)) "
         "GROUP BY user_id, m.event_id, option_code HAVING sum(order_qty) >= 5)"
     ))

@@ -11,7 +11,7 @@ MART = (
 )
 
 
-def mart_row(user="u", order="o1", revenue=10, event="e1", market="B2C", source="new_commerce_db"):
+def mart_row(user="u", order="o1", revenue=10, event="e1", market="B2C", source="new"):
     return (user, order, revenue, event, "1", 1, "x", market, source, None)
 
 
@@ -64,7 +64,7 @@ def test_eligible_orders(frame):
     )
     events = frame([("e1", 4, "al")], "event_id string, artist_id long, album_name string")
     excluded = frame([("x",)], "user_id string")
-    got = scores.eligible_orders(orders, events, excluded, ["B2C", "B2B"], "new_commerce_db")
+    got = scores.eligible_orders(orders, events, excluded, ["B2C", "B2B"], "new")
     assert rows(got, "user_id", "event_id", "artist_id") == [("u", "e1", 4), ("u", "e9", None)]
     nobody = excluded.filter("false")
     assert scores.eligible_orders(orders, events, nobody, ["B2C"], None).count() == 3
