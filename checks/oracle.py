@@ -388,9 +388,10 @@ NOBODY = RELATIONS.replace(
 )
 
 ENTROPY = "\nUNION ALL\n".join(
-    f"""SELECT '{x}' AS part, 1 - (ln(sum(v)) - sum(CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END)
-         / sum(v)) / ln(count(*)) AS d
-  FROM (SELECT {v} AS v FROM score,
+    f"""SELECT '{x}' AS part, CASE WHEN max(high) > min(low) THEN
+      1 - (ln(sum(v)) - sum(CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END) / sum(v)) / ln(count(*))
+    ELSE 0 END AS d  -- a column that is the same for all weighs nothing
+  FROM (SELECT low, high, CASE WHEN high > low THEN {v} ELSE 0 END AS v FROM score,
         (SELECT min({x}) AS low, max({x}) AS high FROM score))"""
     for x, v in (
         ("r_raw", "CAST(high - r_raw AS DOUBLE) / CAST(high - low AS DOUBLE)"),
