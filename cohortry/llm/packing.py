@@ -38,7 +38,8 @@ def _encoder(vocabulary: str, ranks: str):
     """Token ids of a text as the vocabulary's library gives them.
 
     The rank file holds the same vocabulary for a faster library, used for texts on whose splitting
-    both agree: Latin-1 characters and no name of a special token.
+    both agree: Latin-1 characters and no name of a special token. It gives up on runs of very many
+    blanks; such texts go to the vocabulary's library too.
     """
     import base64
     import json
@@ -65,7 +66,10 @@ def _encoder(vocabulary: str, ranks: str):
         except UnicodeEncodeError:
             plain = False
         if plain:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
         return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
