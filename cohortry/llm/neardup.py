@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage
+from cohortry.llm.native import row_id
 from cohortry.llm.text import Texts, mix, one_run, slices, windows
 
 SHINGLE = 5
@@ -134,9 +135,8 @@ def _set_maker(width: int):
 
 
 def _with_rid(documents: DataFrame) -> DataFrame:
-    """doc_id, text, and an id to find a row again where doc_id is null."""
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    return documents.select("doc_id", "text", rid.alias("rid"))
+    """doc_id, text, and a number to find a row again by; rows of equal id and text share it."""
+    return documents.select("doc_id", "text", row_id().alias("rid"))
 
 
 def signatures(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -355,36 +355,27 @@ class _Grouping:
         return self.components
 
 
-def near_duplicates(
-    documents: DataFrame, percent: int = PERCENT, width: int = SHINGLE
-) -> DataFrame:
-    """One row per row of `documents`: doc_id, n_shingles, component_id and kept.
-
-    Two documents are linked if 100 * common shingles >= `percent` * all their shingles. component_id
-    is the smallest doc_id reachable over links. Texts without words (null, empty, white space only)
-    have no shingles and are linked with nothing. A document without id takes part by its text; its
-    component_id is the smallest id of the others, or null where there is none, and it is kept only
-    in that case. Repeated rows are copies of each other: each keeps its row, and rows that share
-    the smallest doc_id are all kept. Empty tables give an empty result. Other columns are ignored.
-    """
+def _grouped(documents: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (key, first) of every class: the row that its group is named
+    after, as a struct of doc_id (nulls last) and rid."""
     matches = match_threshold(percent)
     rows = stage(signatures(documents, width), "signatures")
+    by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     classes = stage(
         rows.filter("n_shingles > 0")
         .groupBy("key")
         .agg(
             F.max("n_shingles").alias("n"),
-            F.min("doc_id").alias("first_id"),
-            F.min("rid").alias("rid"),
+            F.min(by_id).alias("first"),
             F.any_value("sig").alias("sig"),
         ),
         "classes",
     )
     lists = stage(posting_lists(classes, matches), "postings")
-    wanted = classes.join(lists.select("key").distinct(), "key", "left_semi").select("rid", "key")
+    wanted = classes.join(lists.select("key").distinct(), "key", "left_semi").select("first.rid")
     found = (
         _with_rid(documents)
-        .join(wanted.select("rid").distinct(), "rid", "left_semi")
+        .join(wanted.distinct(), "rid", "left_semi")
         .select("text")
         .mapInArrow(_set_maker(width), "key binary, shingles array<long>")
     )
@@ -399,13 +390,49 @@ def near_duplicates(
         percent,
         lambda pairs: confirmed(pairs, signed, sets, percent, matches),
     ).run()
-    labelled = classes.select("key", "first_id").join(components, "key", "left").select(
-        "key", "first_id", F.coalesce("component", "key").alias("component")
+    labelled = classes.select("key", "first").join(components, "key", "left").select(
+        "key", "first", F.coalesce("component", "key").alias("component")
     )
-    lowest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = labelled.join(lowest, "component").select("key", "component_id")
+    lowest = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    return rows, labelled.drop("first").join(lowest, "component").select("key", "first")
+
+
+def near_duplicates(
+    documents: DataFrame, percent: int = PERCENT, width: int = SHINGLE
+) -> DataFrame:
+    """One row per row of `documents`: doc_id, n_shingles, component_id and kept.
+
+    Two documents are linked if 100 * common shingles >= `percent` * all their shingles. component_id
+    is the smallest doc_id reachable over links. Texts without words (null, empty, white space only)
+    have no shingles and are linked with nothing. A document without id takes part by its text; its
+    component_id is the smallest id of the others, or null where there is none, and it is kept only
+    in that case. Repeated rows are copies of each other: each keeps its row, and rows that share
+    the smallest doc_id are all kept. Empty tables give an empty result. Other columns are ignored.
+    """
+    rows, groups = _grouped(documents, percent, width)
+    of_class = groups.select("key", F.col("first.doc_id").alias("component_id"))
     linked = rows.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def without_copies(
+    documents: DataFrame, percent: int = PERCENT, width: int = SHINGLE
+) -> DataFrame:
+    """One row of each group of linked documents, all columns.
+
+    The row with the smallest doc_id stays, one without id only if the whole group has none; of
+    repeated rows (equal id and text) one. Rows without words are linked with nothing and stay.
+    """
+    rows, groups = _grouped(documents, percent, width)
+    of_row = rows.join(groups, "key").groupBy("rid").agg(
+        F.any_value(F.col("rid") == F.col("first.rid")).alias("stays"), F.count("*").alias("n")
+    )
+    marked = stage(of_row.filter("NOT stays OR n > 1").withColumnRenamed("rid", "__marked"), "copies")
+    known = documents.withColumn("__rid", row_id())
+    same = F.col("__rid") == F.col("__marked")
+    single = known.join(marked, same, "left_anti")
+    repeated = known.join(marked.filter("stays"), same, "left_semi").dropDuplicates(["__rid"])
+    return single.unionByName(repeated).drop("__rid")

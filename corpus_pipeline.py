@@ -16,12 +16,6 @@ from cohortry.llm import decontaminate, neardup, quality, queries, secrets
 COPIES_PERCENT = 80
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is in `keep`; a row without id is kept if `keep` has a null."""
-    named = keep.select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base measures and read like the trusted ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -30,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies, and every document without copies."""
-    return _only(docs, neardup.near_duplicates(docs, COPIES_PERCENT).filter("kept"))
+    return neardup.without_copies(docs, COPIES_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
