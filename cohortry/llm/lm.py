@@ -1,20 +1,18 @@
 """Scoring by a class-based bigram model.
 
 1. Words of the training documents are counted. The most frequent ones, at most `VOCABULARY`, get a
-   number; all others are rare words, whose counts stay in a table.
-2. Documents are written once as word numbers, their rare words beside them.
-3. Exchange clustering: the `HEAD` most frequent words move between `CLASSES` classes as long as
-   the likelihood of the class bigrams rises. Its input is the HEAD x HEAD table of neighbours over
-   all training tokens.
-4. Every other numbered word makes its one exchange step in a distributed pass: the class that
-   best explains all its left and right neighbours. Rare words are a class of their own, as is the
-   end of a document.
+   number and are looked up in tasks; the rest, rare words, keep their class in a table and are
+   looked up by joins. The bound decides on the way of the lookup only, not on any result.
+2. Documents are written once as word numbers, their rare words beside them; so are the neighbours
+   of each rare word.
+3. Classes begin with an exchange of the `HEAD` most frequent words on the driver, over the
+   HEAD x HEAD table of neighbours of all training tokens. Every other word is then placed into the
+   class that raises the likelihood of the class bigrams most.
+4. The end of a document is a class of its own, as are words not seen in training.
 5. Class transitions are counted over all training tokens. A word's probability is that of its
    class after the last word's class, times its share of the class.
 
-The two bounds limit only what is sent to tasks and the driver: counts and statistics cover all
-training documents. Rare words are scored by a join with their counts; each is infrequent, so that
-join has no hot keys, while frequent words are looked up in the tasks.
+Rare words are infrequent each, so that joins with their classes have no hot keys.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage
 from cohortry.llm.native import row_id
-from cohortry.llm.text import slices
+from cohortry.llm.text import mix, slices
 
 VOCABULARY = 1 << 18
 HEAD = 1024
@@ -37,7 +35,6 @@ PASSES = 4
 #: Words gathered before they are counted and sent on.
 GATHERED = 1 << 22
 TRANSITION_PRIOR = 0.1
-RARE_PRIOR = 0.5
 #: Hash of the end of a document, apart from words.
 END = np.uint64(0xD1B54A32D192ED03)
 
@@ -88,8 +85,12 @@ def _level(n: Column) -> Column:
     return F.floor(F.log2(n) * 64).cast("int")
 
 
+def _is_rare(lowest: int) -> Column:
+    return (_level(F.col("n")) < lowest) & (F.col("w") != int(END.view(np.int64)))
+
+
 def _vocabulary(counts: DataFrame, bound: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Lowest level of numbered words; and these, at most `bound`, by falling count, with counts."""
+    """Lowest level of numbered words; and these, at most `bound` and the end, by falling count, with counts."""
     levels = counts.groupBy(_level(F.col("n")).alias("level")).count().collect()
     total, lowest = 0, 1 << 30
     for level, n in sorted(((r["level"], r["count"]) for r in levels), reverse=True):
@@ -97,7 +98,7 @@ def _vocabulary(counts: DataFrame, bound: int) -> tuple[int, np.ndarray, np.ndar
         if total > bound:
             break
         lowest = level
-    table = counts.filter(_level(F.col("n")) >= lowest).toArrow()
+    table = counts.filter(~_is_rare(lowest)).toArrow()
     words = table.column("w").to_numpy().view(np.uint64)
     n = table.column("n").to_numpy()
     order = np.lexsort((words, -n))
@@ -226,73 +227,278 @@ def exchange(neighbours: np.ndarray, classes: int, passes: int = PASSES) -> np.n
     return of
 
 
-def _context_counter(of_id: np.ndarray, placed: np.ndarray, size: int, end: int):
-    """(id, context, n): left contexts (below `size`) and right ones of the words not yet placed."""
+def _contexts(keys: np.ndarray, code: np.ndarray, n: np.ndarray, of_id: np.ndarray, size: int):
+    """(w, id, class, context, n) of numbered words, from codes id * (2 * size + 1) + context."""
+    code, at = np.unique(code, return_inverse=True)
+    ids = code // (2 * size + 1)
+    return pa.RecordBatch.from_pydict(
+        {
+            "w": keys[ids].view(np.int64),
+            "id": ids.astype(np.int32),
+            "class": of_id[ids].astype(np.int32),
+            "context": (code % (2 * size + 1)).astype(np.int32),
+            "n": np.bincount(at, weights=n, minlength=len(code)).astype(np.int64),
+        }
+    )
 
-    def counted(codes: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
-        return pa.RecordBatch.from_pydict(
-            {"id": (code // (2 * size)).astype(np.int32), "context": (code % (2 * size)).astype(np.int32), "n": n}
-        )
+
+CONTEXTS = "w long, id int, class int, context int, n long"
+
+
+def _context_counter(words: np.ndarray, of_id: np.ndarray, moving: np.ndarray, size: int, end: int):
+    """Contexts of the moving numbered words beside numbered ones: left (below `size`), right, own.
+
+    A word next to itself counts once, as own context (2 * size).
+    """
+    unknown = len(words)
+    wide = 2 * size + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
+
+        def counted() -> pa.RecordBatch:
+            code = np.concatenate(held)
+            return _contexts(words, code, np.ones(len(code)), of_id, size)
+
         for batch in batches:
-            ids, before, bounds = _sequences(batch, end)
-            wide = ids.astype(np.int64)
-            open_ = ~placed[ids]
-            held.append(wide[open_] * (2 * size) + of_id[before[open_]])
-            first = np.zeros(len(ids), dtype=bool)
-            first[bounds[:-1]] = True
-            has_left = ~placed[before] & ~first
-            held.append(before[has_left].astype(np.int64) * (2 * size) + size + of_id[ids[has_left]])
-            total += len(held[-1]) + len(held[-2])
+            ids, before, _ = _sequences(batch, end)
+            ids, before = ids.astype(np.int64), before.astype(np.int64)
+            known, same = (ids != unknown) & (before != unknown), ids == before
+            left = known & ~same & moving[ids]
+            held.append(ids[left] * wide + of_id[before[left]])
+            right = known & ~same & moving[before]
+            held.append(before[right] * wide + size + of_id[ids[right]])
+            own = known & same & moving[ids]
+            held.append(ids[own] * wide + 2 * size)
+            total += sum(map(len, held[-3:]))
             if total >= GATHERED:
-                yield counted(held)
+                yield counted()
                 held, total = [], 0
-        if held:
-            yield counted(held)
+        if total:
+            yield counted()
 
     return count
 
 
-def _chooser(likely: np.ndarray):
-    """The class that makes the contexts of a word most likely; rows come sorted by word."""
+def _rare_places(end: int, unknown: int):
+    """(rid, pos, w, before, before_w, after): each rare token between the numbers of its neighbours.
 
-    def result(ids: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"id": ids.astype(np.int32), "class": sums.argmax(axis=1).astype(np.int32)}
+    A neighbour that is rare has the number `unknown`; the hash of such a left one is `before_w`.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, before, bounds = _sequences(batch, end)
+            at = np.flatnonzero(ids == unknown)
+            w = batch.column("rare").flatten().to_numpy()
+            owner = np.searchsorted(bounds, at, side="right") - 1
+            last = np.roll(w, 1)
+            beside = before[at] == unknown
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "rid": batch.column("rid").to_numpy()[owner],
+                    "pos": at - bounds[owner],
+                    "w": w,
+                    "before": before[at],
+                    "before_w": pa.array(last, mask=~beside),
+                    "after": ids[np.minimum(at + 1, len(ids) - 1)],
+                }
+            )
+
+    return places
+
+
+class _Edges:
+    """Neighbours of rare training words: numbered ones listed by rare word, and pairs of rare ones."""
+
+    def __init__(self, places: DataFrame, unknown: int):
+        left = places.filter(F.col("before") != unknown).select("w", F.lit(0).alias("side"), F.col("before").alias("id"))
+        right = places.filter(F.col("after") != unknown).select("w", F.lit(1).alias("side"), F.col("after").alias("id"))
+        beside = places.filter(F.col("before") == unknown).select(F.col("before_w").alias("a"), F.col("w").alias("b"))
+        # One list per rare word; a word with rare neighbours only has none.
+        self.numbered = stage(
+            left.unionByName(right).groupBy("w").agg(F.collect_list(F.col("id") * 2 + F.col("side")).alias("edges")),
+            "rare-neighbours",
         )
+        self.rare = stage(beside.groupBy("a", "b").agg(F.count("*").alias("n")), "rare-pairs")
+
+    def classed(self, of_rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both tables with the classes of their rare words."""
+        named = lambda x: of_rare.select(F.col("w").alias(x), F.col("class").alias(f"{x}_class"))
+        numbered = self.numbered.join(of_rare, "w")
+        return numbered, self.rare.join(named("a"), "a").join(named("b"), "b")
+
+
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Rare word, its class, side and number of the neighbour, for every listed neighbour."""
+    edges = batch.column("edges")
+    sizes = np.diff(edges.offsets.to_numpy())
+    code = edges.flatten().to_numpy().astype(np.int64)
+    w = np.repeat(batch.column("w").to_numpy(), sizes)
+    return w, np.repeat(batch.column("class").to_numpy(), sizes).astype(np.int64), code % 2, code // 2
+
+
+def _edge_pair_counter(of_id: np.ndarray, size: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, dtype=np.int64)
+        for batch in batches:
+            _, own, side, ids = _listed(batch)
+            other = of_id[ids]
+            pair = np.where(side == 0, other * size + own, own * size + other)
+            total += np.bincount(pair, minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": at.astype(np.int64), "n": total[at]})
+
+    return count
+
+
+def _edge_context_counter(words: np.ndarray, of_id: np.ndarray, moving: np.ndarray, size: int, movers):
+    """Contexts of moving rare words beside numbered ones, and of moving numbered words beside rare ones."""
+    wide = 2 * size + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def counted() -> pa.RecordBatch:
+            code = np.concatenate(held)
+            return _contexts(words, code, np.ones(len(code)), of_id, size)
+
+        for batch in batches:
+            w, own, side, ids = _listed(batch)
+            open_ = movers(w, own)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "w": w[open_],
+                    "id": np.full(int(open_.sum()), -1, dtype=np.int32),
+                    "class": own[open_].astype(np.int32),
+                    "context": (side * size + of_id[ids])[open_].astype(np.int32),
+                    "n": np.ones(int(open_.sum()), dtype=np.int64),
+                }
+            )
+            there = moving[ids]
+            held.append((ids * wide + (1 - side) * size + own)[there])
+            total += len(held[-1])
+            if total >= GATHERED:
+                yield counted()
+                held, total = [], 0
+        if total:
+            yield counted()
+
+    return count
+
+
+def _rare_pair_contexts(size: int, movers):
+    """Contexts of moving rare words beside rare ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, a_class, b_class, n = (
+                batch.column(c).to_numpy() for c in ("a", "b", "a_class", "b_class", "n")
+            )
+            same = a == b
+            for w, own, other, first, picked in (
+                (b, b_class, a_class, 0, ~same),
+                (a, a_class, b_class, size, ~same),
+                (a, a_class, np.zeros_like(a_class), 2 * size, same),
+            ):
+                picked = picked & movers(w, own)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "w": w[picked],
+                        "id": np.full(int(picked.sum()), -1, dtype=np.int32),
+                        "class": own[picked].astype(np.int32),
+                        "context": (first + other[picked]).astype(np.int32),
+                        "n": n[picked],
+                    }
+                )
+
+    return count
+
+
+def best_classes(table: np.ndarray, classes: int, of: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the likelihood most when the word alone moves there.
+
+    `of` are the classes that words are in, `contexts` their left, right and own counts, a row each.
+    Ties go to the lower class, but a word moves for a rise only.
+    """
+    size = len(table)
+    by, to, own = contexts[:, :size], contexts[:, size : 2 * size], contexts[:, 2 * size :]
+    rows = np.arange(len(of))
+    placed = np.flatnonzero(of < classes)
+    gain = np.zeros((len(of), classes))
+    for there, back, matrix in ((to, by, table.T), (by, to, table)):
+        i, j = np.nonzero(there)
+        n = there[i, j]
+        base = matrix[j, :classes].copy()
+        mine = np.flatnonzero(of[i] < classes)
+        base[mine, of[i[mine]]] -= n[mine]
+        corner = np.flatnonzero(j == of[i])
+        base[corner] -= back[i[corner], :classes]
+        inner = corner[of[i[corner]] < classes]
+        base[inner, of[i[inner]]] -= own[i[inner], 0]
+        terms = _xlogx(base + n[:, None]) - _xlogx(base)
+        if len(i):
+            starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            gain[i[starts]] += np.add.reduceat(terms, starts, axis=0)
+        margin = np.tile(matrix.sum(axis=0)[:classes], (len(of), 1))
+        whole = there.sum(axis=1, keepdims=True) + own
+        margin[placed, of[placed]] -= whole[placed, 0]
+        gain -= _xlogx(margin + whole) - _xlogx(margin)
+    corner = np.tile(np.diag(table)[:classes], (len(of), 1))
+    at = of[placed]
+    corner[placed, at] -= to[placed, at] + by[placed, at] + own[placed, 0]
+    right, left = corner + to[:, :classes], corner + by[:, :classes]
+    gain += _xlogx(right + by[:, :classes] + own) + _xlogx(corner) - _xlogx(right) - _xlogx(left)
+    best = gain.argmax(axis=1)
+    stays = placed[gain[placed, best[placed]] <= gain[placed, at] + 1e-9]
+    best[stays] = of[stays]
+    return best
+
+
+def _chooser(table: np.ndarray, classes: int):
+    """Best class of each word; rows come sorted by word."""
+    wide = 2 * len(table) + 1
+    names = ("w", "id", "class", "context", "n")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rest = None, None
+        rest = None
+
+        def chosen(w, ids, of, context, n) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(w)]))
+            contexts = np.bincount(word * wide + context, weights=n, minlength=len(starts) * wide)
+            best = best_classes(table, classes, of[starts], contexts.reshape(-1, wide))
+            return pa.RecordBatch.from_pydict(
+                {"w": w[starts], "id": ids[starts], "class": best.astype(np.int32)}
+            )
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_numpy()
-            terms = likely[batch.column("context").to_numpy()] * batch.column("n").to_numpy()[:, None]
-            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            sums, names = np.add.reduceat(terms, starts, axis=0), ids[starts]
-            if last is not None:
-                if names[0] == last:
-                    sums[0] += rest
-                else:
-                    yield result(np.array([last]), rest[None])
-            last, rest = names[-1], sums[-1]
-            yield result(names[:-1], sums[:-1])
-        if last is not None:
-            yield result(np.array([last]), rest[None])
+            part = [batch.column(c).to_numpy() for c in names]
+            if rest is not None:
+                part = [np.concatenate(x) for x in zip(rest, part)]
+            last = int(np.searchsorted(part[0], part[0][-1]))
+            if last:
+                yield chosen(*(x[:last] for x in part))
+            rest = [x[last:] for x in part]
+        if rest is not None:
+            yield chosen(*rest)
 
     return choose
 
 
 def _scorer(of_id, transition, emission, base, end, unknown):
-    """Sums over the numbered words of a text; rare words count with their class transition only."""
+    """Sums over the numbered words of a text and the transitions between them."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, before, bounds = _sequences(batch, end)
-            model = transition[of_id[before], of_id[ids]] + emission[ids]
+            model = transition[of_id[before], of_id[ids]]
+            model[(ids == unknown) | (before == unknown)] = 0.0
+            model += emission[ids]
             out = batch.drop_columns("ids")
             starts = bounds[:-1]
             for name, values in (
@@ -307,6 +513,29 @@ def _scorer(of_id, transition, emission, base, end, unknown):
     return score
 
 
+def _rare_scorer(of_id, transition, unknown):
+    """Sums over the rare words of a text, listed by place: their shares and the transitions around."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rare")
+            items = lists.flatten()
+            own, before, after, share = (
+                items.field(c).to_numpy() for c in ("class", "before", "after", "share")
+            )
+            # The rare word before a rare one is the row before it.
+            left = np.where(before == unknown, np.concatenate([own[:1], own[:-1]]), of_id[before])
+            model = transition[left, own] + share
+            numbered = after != unknown
+            model[numbered] += transition[own[numbered], of_id[after[numbered]]]
+            starts = (lists.offsets.to_numpy() - lists.offsets[0].as_py())[:-1]
+            sums = np.add.reduceat(model, starts) if len(model) else np.zeros(0)
+            out = batch.drop_columns("rare")
+            yield out.append_column("rare_score", pa.array(sums))
+
+    return score
+
+
 def model_scores(
     documents: DataFrame,
     held_out: Column,
@@ -342,43 +571,90 @@ def model_scores(
     ends = np.flatnonzero(words == END)
     end = int(ends[0]) if len(ends) else unknown
 
+    places = encoded.filter(F.size("rare") > 0).select("held_out", "rid", "ids", "rare")
+    place_type = "rid long, pos long, w long, before int, before_w long, after int"
+    seen = places.filter(~F.col("held_out")).drop("held_out")
+    rare_counts = counts.filter(_is_rare(lowest))
+
     # Heads keep their number; all other words share one, ends another.
     head = min(head, unknown)
     of_id = np.minimum(np.arange(unknown + 1), head)
     of_id[end] = head + 1
-    neighbours = _pairs(training, of_id, head + 2, end)
-    of_head = exchange(neighbours, classes)
+    of_head = exchange(_pairs(training, of_id, head + 2, end), classes)
     rare_class, end_class, k = classes, classes + 1, classes + 2
     of_id = of_head[of_id]
-    placed = np.arange(unknown + 1) < head
-    placed[[end, unknown]] = True
-    member = np.eye(k)[of_head]
-    table = member.T @ neighbours @ member
-    left = (table[:, :classes] + 1) / (table[:, :classes] + 1).sum(axis=0)
-    right = (table[:classes] + 1).T / (table[:classes] + 1).sum(axis=1)
-    likely = np.log(np.concatenate([left, right]))
-    chosen = (
-        training.select("ids")
-        .mapInArrow(_context_counter(of_id, placed, k, end), "id int, context int, n long")
-        .repartition("id")
-        .sortWithinPartitions("id")
-        .mapInArrow(_chooser(likely), "id int, class int")
-        .toArrow()
-    )
-    of_id[chosen.column("id").to_numpy()] = chosen.column("class").to_numpy()
+    of_id[end], of_id[unknown] = end_class, rare_class
+    if len(words) < size["v"]:
+        edges = _Edges(seen.mapInArrow(_rare_places(end, unknown), place_type), unknown)
+    else:
+        edges = None
+    of_rare = rare_counts.select("w", F.lit(rare_class).alias("class"))
+
+    def joined(of_rare: DataFrame):
+        return [x.persist() for x in edges.classed(of_rare)] if edges else []
+
+    def transitions(of_id: np.ndarray, classed: list[DataFrame]) -> np.ndarray:
+        # Pairs with a rare word come from the tables of neighbours.
+        apart = of_id.copy()
+        apart[unknown] = k
+        table = _pairs(training, apart, k + 1, end)[:k, :k]
+        if classed:
+            listed = classed[0].mapInArrow(_edge_pair_counter(of_id, k), "pair long, n long")
+            beside = classed[1].select((F.col("a_class") * k + F.col("b_class")).cast("long").alias("pair"), "n")
+            for r in listed.unionByName(beside).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+                table[divmod(r["pair"], k)] += r["n"]
+        return table
+
+    def moved(of_id, of_rare, classed, table):
+        """Classes after the words without one are placed."""
+
+        def movers(w: np.ndarray, own: np.ndarray) -> np.ndarray:
+            return own == rare_class
+
+        moving = np.append(movers(words, of_id[:unknown]), False)
+        moving[end] = False
+        found = training.select("ids").mapInArrow(
+            _context_counter(words, of_id, moving, k, end), CONTEXTS
+        )
+        if classed:
+            found = found.unionByName(
+                classed[0].mapInArrow(_edge_context_counter(words, of_id, moving, k, movers), CONTEXTS)
+            ).unionByName(classed[1].mapInArrow(_rare_pair_contexts(k, movers), CONTEXTS))
+        chosen = stage(
+            found.repartition("w")
+            .sortWithinPartitions("w")
+            .mapInArrow(_chooser(table, classes), "w long, id int, class int"),
+            "classes",
+        )
+        numbered = chosen.filter("id >= 0").select("id", "class").toArrow()
+        of_id = of_id.copy()
+        of_id[numbered.column("id").to_numpy()] = numbered.column("class").to_numpy()
+        if classed:
+            new = chosen.filter("id < 0").select("w", F.col("class").alias("new"))
+            of_rare = stage(
+                of_rare.join(new, "w", "left").select("w", F.coalesce("new", "class").alias("class")),
+                "rare-classes",
+            )
+        return of_id, of_rare
+
+    classed = joined(of_rare)
+    moves = transitions(of_id, classed)
+    of_id, of_rare = moved(of_id, of_rare, classed, moves)
+    placed = joined(of_rare)
+    moves = transitions(of_id, placed)
+    for x in (*classed, *placed):
+        x.unpersist()
 
-    moves = _pairs(training, of_id, k, end)
     transition = np.log10(
         (moves + TRANSITION_PRIOR) / (moves.sum(axis=1, keepdims=True) + TRANSITION_PRIOR * k)
     )
-    of_class = np.bincount(of_id[:unknown], weights=n, minlength=k)
+    # Every token of a class follows another token.
+    of_class = moves.sum(axis=0)
     emission = np.zeros(unknown + 1)
     emission[:unknown] = np.log10(n / of_class[of_id[:unknown]])
     total, types = int(size["n"]), int(size["v"])
     base = np.zeros(unknown + 1)
     base[:unknown] = np.log10((n + 1) / (total + types + 1))
-    rare_types = types - unknown
-    rare_total = total - int(n.sum()) + RARE_PRIOR * (rare_types + 1)
 
     scored = encoded.select("doc_id", "held_out", "rid", "ids").mapInArrow(
         _scorer(of_id, transition, emission, base, end, unknown),
@@ -386,21 +662,39 @@ def model_scores(
         "base_part double, score_part double",
     )
     count = F.coalesce("n", F.lit(0))
-    rare = (
-        encoded.select("rid", F.posexplode("rare").alias("place", "w"))
-        .join(counts.filter(_level(F.col("n")) < lowest), "w", "left")
+    sizes = F.element_at(F.array(*[F.lit(float(x)) for x in of_class]), F.col("class") + 1)
+    classes_of = of_rare.join(rare_counts, "w").select("w", "n", "class", F.log10(F.col("n") / sizes).alias("share"))
+    # A word that training lacks is the only one of its class.
+    listed = F.struct(
+        "pos",
+        F.coalesce("class", F.lit(rare_class)).alias("class"),
+        "before",
+        "after",
+        F.coalesce("share", F.lit(0.0)).alias("share"),
+        count.alias("n"),
+    )
+    found = (
+        places.drop("held_out")
+        .mapInArrow(_rare_places(end, unknown), place_type)
+        .drop("before_w")
+        .join(classes_of, "w", "left")
         .groupBy("rid")
-        .agg(
-            # Rows with equal id and text have equal words: sums are shared out between them.
-            F.count_if(F.col("place") == 0).alias("copies"),
-            F.count("n").alias("rare_known"),
-            F.sum(F.log10((count + 1) / F.lit(float(total + types + 1)))).alias("rare_base"),
-            F.sum(F.log10((count + RARE_PRIOR) / F.lit(float(rare_total)))).alias("rare_score"),
-        )
+        # Rows with equal id and text have equal words, which the set holds once.
+        .agg(F.sort_array(F.collect_set(listed)).alias("rare"))
+    )
+    add = lambda f: F.aggregate("rare", F.lit(0.0), lambda total, x: total + f(x))
+    rare = found.select(
+        "rid",
+        F.size(F.filter("rare", lambda x: x["n"] > 0)).alias("rare_known"),
+        add(lambda x: F.log10((x["n"] + 1) / F.lit(float(total + types + 1)))).alias("rare_base"),
+        "rare",
+    ).mapInArrow(
+        _rare_scorer(of_id, transition, unknown),
+        "rid long, rare_known int, rare_base double, rare_score double",
     )
 
     def with_rare(part: str, name: str) -> Column:
-        return F.col(part) + F.coalesce(F.col(name) / F.col("copies"), F.lit(0))
+        return F.col(part) + F.coalesce(F.col(name), F.lit(0))
 
     score = with_rare("score_part", "rare_score")
     return scored.join(rare, "rid", "left").select(

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -185,6 +186,37 @@ def test_language_model_scores(spark):
         assert got[i]["perplexity"] == pytest.approx(10 ** (-want[i] / got[i]["n_tokens"]))
 
 
+def skewed_docs():
+    """Words of three kinds that mostly take turns, few of them frequent."""
+    random.seed(5)
+    words = [f"w{k}" for k in range(60)]
+    weights = [1 / (k + 1) for k in range(60)]
+    docs = []
+    for i in range(60):
+        start, picked = random.randrange(3), []
+        for k in range(30):
+            kind = (start + k) % 3 if random.random() > 0.2 else random.randrange(3)
+            picked += random.choices(words[kind::3], weights[kind::3])
+        docs.append((i, " ".join(picked)))
+    return docs
+
+
+def test_language_model_looks_up_rare_words(spark):
+    """Scores do not depend on which words are numbered; held-out documents have unseen words."""
+    docs = skewed_docs() + [(100, "w1 unseen w39 w38 w2 unseen other"), (100, "w1 unseen w39 w38 w2 unseen other")]
+    frame = spark.createDataFrame(docs + [(101, None)], "doc_id long, text string")
+    held = F.col("doc_id") >= 100
+
+    def scores(vocabulary):
+        rows = lm.model_scores(frame, held, vocabulary=vocabulary, head=4, classes=3).collect()
+        return sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in rows)
+
+    numbered, looked_up = scores(1000), scores(6)
+    assert len(numbered) == len(looked_up) == len(docs) + 1
+    for a, b in zip(numbered, looked_up):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
 def test_packing_of_long_runs_of_blanks(spark):
     path = public_tokenizers.path
     library = Tokenizer.from_file(path("byte_bpe_50k.json"))
