@@ -8,7 +8,10 @@
 3. Classes begin with an exchange of the `HEAD` most frequent words on the driver, over the
    HEAD x HEAD table of neighbours of all training tokens. Every other word is then placed into the
    class that raises the likelihood of the class bigrams most.
-4. The end of a document is a class of its own, as are words not seen in training.
+4. Exchange clustering of all words, in `SWEEPS` distributed sweeps of two rounds: left and right
+   class counts of half of the words, dealt by hash, are aggregated over all training tokens, and
+   each of these words moves to its best class. A round whose moves together lower the likelihood
+   is taken back. The end of a document is a class of its own, as are words not seen in training.
 5. Class transitions are counted over all training tokens. A word's probability is that of its
    class after the last word's class, times its share of the class.
 
@@ -32,6 +35,8 @@ VOCABULARY = 1 << 18
 HEAD = 1024
 CLASSES = 64
 PASSES = 4
+#: Sweeps of the distributed exchange; in each, every word may move once.
+SWEEPS = 2
 #: Words gathered before they are counted and sent on.
 GATHERED = 1 << 22
 TRANSITION_PRIOR = 0.1
@@ -204,7 +209,8 @@ def exchange(neighbours: np.ndarray, classes: int, passes: int = PASSES) -> np.n
             corner = table[k, k]
             gain -= _xlogx(corner + to[:classes]) + _xlogx(corner + by[:classes]) - 2 * _xlogx(corner)
             gain += _xlogx(corner + to[:classes] + by[:classes] + own) - _xlogx(corner)
-            left, right = rows.sum(axis=1), columns.sum(axis=1)
+            # Neighbours of the word keep their own margins wherever it goes.
+            left, right = rows.sum(axis=1) + by[:classes], columns.sum(axis=1) + to[:classes]
             gain -= _xlogx(left + to.sum() + own) - _xlogx(left)
             gain -= _xlogx(right + by.sum() + own) - _xlogx(right)
             best = int(gain.argmax())
@@ -227,22 +233,47 @@ def exchange(neighbours: np.ndarray, classes: int, passes: int = PASSES) -> np.n
     return of
 
 
-def _contexts(keys: np.ndarray, code: np.ndarray, n: np.ndarray, of_id: np.ndarray, size: int):
-    """(w, id, class, context, n) of numbered words, from codes id * (2 * size + 1) + context."""
-    code, at = np.unique(code, return_inverse=True)
-    ids = code // (2 * size + 1)
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, but for a constant."""
+    return float(_xlogx(table).sum() - sum(_xlogx(table.sum(axis=axis)).sum() for axis in (0, 1)))
+
+
+CONTEXTS = "w long, id int, class int, contexts binary, counts binary"
+
+
+def _by_word(w, ids, of, word, context, n) -> pa.RecordBatch:
+    """A row for each word, with its contexts and their counts; `word` is the row of each context."""
+    bounds = np.searchsorted(word, np.arange(len(w) + 1))
+    context, n = context.astype("<u2").tobytes(), n.astype("<u4").tobytes()
+
+    def parts(raw: bytes, width: int) -> pa.Array:
+        offsets = pa.py_buffer((bounds * width).astype(np.int32).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(w), [None, offsets, pa.py_buffer(raw)])
+
     return pa.RecordBatch.from_pydict(
         {
-            "w": keys[ids].view(np.int64),
+            "w": w.view(np.int64),
             "id": ids.astype(np.int32),
-            "class": of_id[ids].astype(np.int32),
-            "context": (code % (2 * size + 1)).astype(np.int32),
-            "n": np.bincount(at, weights=n, minlength=len(code)).astype(np.int64),
+            "class": of.astype(np.int32),
+            "contexts": parts(context, 2),
+            "counts": parts(n, 4),
         }
     )
 
 
-CONTEXTS = "w long, id int, class int, context int, n long"
+def _contexts(keys: np.ndarray, code: np.ndarray, of_id: np.ndarray, size: int) -> pa.RecordBatch:
+    """Contexts of numbered words, from codes id * (2 * size + 1) + context."""
+    code, n = np.unique(code, return_counts=True)
+    ids, word = np.unique(code // (2 * size + 1), return_inverse=True)
+    return _by_word(keys[ids], ids, of_id[ids], word, code % (2 * size + 1), n)
+
+
+def _rare_contexts(w, of, context, n) -> pa.RecordBatch:
+    """Contexts of rare words, from rows of word, class, context and count."""
+    order = np.argsort(w, kind="stable")
+    names, first, word = np.unique(w[order], return_index=True, return_inverse=True)
+    of = of[order][first]
+    return _by_word(names, np.full(len(names), -1), of, word, context[order], n[order])
 
 
 def _context_counter(words: np.ndarray, of_id: np.ndarray, moving: np.ndarray, size: int, end: int):
@@ -257,8 +288,7 @@ def _context_counter(words: np.ndarray, of_id: np.ndarray, moving: np.ndarray, s
         held, total = [], 0
 
         def counted() -> pa.RecordBatch:
-            code = np.concatenate(held)
-            return _contexts(words, code, np.ones(len(code)), of_id, size)
+            return _contexts(words, np.concatenate(held), of_id, size)
 
         for batch in batches:
             ids, before, _ = _sequences(batch, end)
@@ -310,6 +340,11 @@ def _rare_places(end: int, unknown: int):
     return places
 
 
+def _half(w: np.ndarray) -> np.ndarray:
+    """Which of the two rounds of a sweep a word moves in."""
+    return (mix(w.view(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+
 class _Edges:
     """Neighbours of rare training words: numbered ones listed by rare word, and pairs of rare ones."""
 
@@ -317,18 +352,21 @@ class _Edges:
         left = places.filter(F.col("before") != unknown).select("w", F.lit(0).alias("side"), F.col("before").alias("id"))
         right = places.filter(F.col("after") != unknown).select("w", F.lit(1).alias("side"), F.col("after").alias("id"))
         beside = places.filter(F.col("before") == unknown).select(F.col("before_w").alias("a"), F.col("w").alias("b"))
-        # One list per rare word; a word with rare neighbours only has none.
-        self.numbered = stage(
+        # One list per rare word; a word with rare neighbours only has none. The lists stay where
+        # they are, only classes move to them.
+        listed = stage(
             left.unionByName(right).groupBy("w").agg(F.collect_list(F.col("id") * 2 + F.col("side")).alias("edges")),
             "rare-neighbours",
         )
+        width = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.numbered = listed.repartition(width, "w").persist()
         self.rare = stage(beside.groupBy("a", "b").agg(F.count("*").alias("n")), "rare-pairs")
 
     def classed(self, of_rare: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Both tables with the classes of their rare words."""
         named = lambda x: of_rare.select(F.col("w").alias(x), F.col("class").alias(f"{x}_class"))
         numbered = self.numbered.join(of_rare, "w")
-        return numbered, self.rare.join(named("a"), "a").join(named("b"), "b")
+        return numbered, self.rare.join(named("a"), "a").join(named("b"), "b").persist()
 
 
 def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -362,21 +400,13 @@ def _edge_context_counter(words: np.ndarray, of_id: np.ndarray, moving: np.ndarr
         held, total = [], 0
 
         def counted() -> pa.RecordBatch:
-            code = np.concatenate(held)
-            return _contexts(words, code, np.ones(len(code)), of_id, size)
+            return _contexts(words, np.concatenate(held), of_id, size)
 
         for batch in batches:
             w, own, side, ids = _listed(batch)
             open_ = movers(w, own)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "w": w[open_],
-                    "id": np.full(int(open_.sum()), -1, dtype=np.int32),
-                    "class": own[open_].astype(np.int32),
-                    "context": (side * size + of_id[ids])[open_].astype(np.int32),
-                    "n": np.ones(int(open_.sum()), dtype=np.int64),
-                }
-            )
+            context = (side * size + of_id[ids])[open_]
+            yield _rare_contexts(w[open_], own[open_], context, np.ones(len(context)))
             there = moving[ids]
             held.append((ids * wide + (1 - side) * size + own)[there])
             total += len(held[-1])
@@ -404,15 +434,7 @@ def _rare_pair_contexts(size: int, movers):
                 (a, a_class, np.zeros_like(a_class), 2 * size, same),
             ):
                 picked = picked & movers(w, own)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "w": w[picked],
-                        "id": np.full(int(picked.sum()), -1, dtype=np.int32),
-                        "class": own[picked].astype(np.int32),
-                        "context": (first + other[picked]).astype(np.int32),
-                        "n": n[picked],
-                    }
-                )
+                yield _rare_contexts(w[picked], own[picked], (first + other)[picked], n[picked])
 
     return count
 
@@ -460,32 +482,34 @@ def best_classes(table: np.ndarray, classes: int, of: np.ndarray, contexts: np.n
 def _chooser(table: np.ndarray, classes: int):
     """Best class of each word; rows come sorted by word."""
     wide = 2 * len(table) + 1
-    names = ("w", "id", "class", "context", "n")
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def chosen(w, ids, of, context, n) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(w)]))
-            contexts = np.bincount(word * wide + context, weights=n, minlength=len(starts) * wide)
-            best = best_classes(table, classes, of[starts], contexts.reshape(-1, wide))
-            return pa.RecordBatch.from_pydict(
-                {"w": w[starts], "id": ids[starts], "class": best.astype(np.int32)}
-            )
+    def chosen(rows: pa.Table) -> pa.RecordBatch:
+        w, ids, of = (rows.column(c).to_numpy() for c in ("w", "id", "class"))
+        lists = rows.column("contexts").to_pylist()
+        context = np.frombuffer(b"".join(lists), dtype="<u2")
+        n = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<u4")
+        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(w)]))
+        word = np.repeat(word, [len(x) // 2 for x in lists])
+        contexts = np.bincount(word * wide + context, weights=n, minlength=len(starts) * wide)
+        best = best_classes(table, classes, of[starts], contexts.reshape(-1, wide))
+        return pa.RecordBatch.from_pydict(
+            {"w": w[starts], "id": ids[starts], "class": best.astype(np.int32)}
+        )
 
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = [batch.column(c).to_numpy() for c in names]
-            if rest is not None:
-                part = [np.concatenate(x) for x in zip(rest, part)]
-            last = int(np.searchsorted(part[0], part[0][-1]))
-            if last:
-                yield chosen(*(x[:last] for x in part))
-            rest = [x[last:] for x in part]
-        if rest is not None:
-            yield chosen(*rest)
+            for a in range(0, batch.num_rows, 512):
+                rest.append(batch.slice(a, 512))
+                part = pa.Table.from_batches(rest)
+                w = part.column("w").to_numpy()
+                last = int(np.searchsorted(w, w[-1]))
+                if last:
+                    yield chosen(part.slice(0, last))
+                    rest = part.slice(last).to_batches()
+        if rest:
+            yield chosen(pa.Table.from_batches(rest))
 
     return choose
 
@@ -590,10 +614,10 @@ def model_scores(
         edges = None
     of_rare = rare_counts.select("w", F.lit(rare_class).alias("class"))
 
-    def joined(of_rare: DataFrame):
-        return [x.persist() for x in edges.classed(of_rare)] if edges else []
+    def joined(of_rare: DataFrame) -> tuple[DataFrame, ...]:
+        return edges.classed(of_rare) if edges else ()
 
-    def transitions(of_id: np.ndarray, classed: list[DataFrame]) -> np.ndarray:
+    def transitions(of_id: np.ndarray, classed: tuple[DataFrame, ...]) -> np.ndarray:
         # Pairs with a rare word come from the tables of neighbours.
         apart = of_id.copy()
         apart[unknown] = k
@@ -605,11 +629,11 @@ def model_scores(
                 table[divmod(r["pair"], k)] += r["n"]
         return table
 
-    def moved(of_id, of_rare, classed, table):
-        """Classes after the words without one are placed."""
+    def moved(of_id, of_rare, classed, table, half):
+        """Classes after a round: of the words without a class, or of a half of all words."""
 
         def movers(w: np.ndarray, own: np.ndarray) -> np.ndarray:
-            return own == rare_class
+            return own == rare_class if half is None else _half(w) == half
 
         moving = np.append(movers(words, of_id[:unknown]), False)
         moving[end] = False
@@ -639,11 +663,18 @@ def model_scores(
 
     classed = joined(of_rare)
     moves = transitions(of_id, classed)
-    of_id, of_rare = moved(of_id, of_rare, classed, moves)
-    placed = joined(of_rare)
-    moves = transitions(of_id, placed)
-    for x in (*classed, *placed):
-        x.unpersist()
+    for half in (None, *(0, 1) * SWEEPS):
+        new_id, new_rare = moved(of_id, of_rare, classed, moves, half)
+        new_classed = joined(new_rare)
+        table = transitions(new_id, new_classed)
+        better = half is None or likelihood(table) > likelihood(moves)
+        for x in (classed if better else new_classed)[1:]:
+            x.unpersist()
+        if better:
+            of_id, of_rare, classed, moves = new_id, new_rare, new_classed, table
+    if edges:
+        classed[1].unpersist()
+        edges.numbered.unpersist()
 
     transition = np.log10(
         (moves + TRANSITION_PRIOR) / (moves.sum(axis=1, keepdims=True) + TRANSITION_PRIOR * k)

@@ -217,6 +217,61 @@ def test_language_model_looks_up_rare_words(spark):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
 
 
+def test_language_model_exchanges_all_words(spark):
+    """Far more words than head words, in rounds of plain moves that each compute the whole likelihood."""
+    docs, classes, head = skewed_docs(), 3, 4
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {
+        r["doc_id"]: r["score"]
+        for r in lm.model_scores(frame, F.lit(False), vocabulary=12, head=head, classes=classes).collect()
+    }
+    _, words, _ = lm._vocabulary(lm.word_counts(frame), 1000)
+    number = {h: k for k, h in enumerate(words.tolist())}
+    names = {t: int(brute.word_hash(t, fold=True)) for t in {w for _, text in docs for w in text.split()}}
+    pairs = []
+    for _, text in docs:
+        tokens = brute.tokens_of(text)
+        pairs += zip([brute.END, *tokens], tokens)
+    table = np.zeros((head + 2, head + 2))
+
+    def column(t):
+        return head + 1 if t is brute.END else min(number[names[t]], head)
+
+    for a, b in pairs:
+        table[column(a), column(b)] += 1
+    start = lm.exchange(table, classes)
+    class_of = {t: int(start[column(t)]) for t in [*names, brute.END]}
+    class_of[brute.END] = classes + 1
+
+    def likelihood(of):
+        cells = Counter((of[a], of[b]) for a, b in pairs)
+        out = sum(n * math.log(n) for n in cells.values())
+        for side in (0, 1):
+            margin = Counter()
+            for cell, n in cells.items():
+                margin[cell[side]] += n
+            out -= sum(n * math.log(n) for n in margin.values())
+        return out
+
+    placed = dict(class_of)
+    for half in (None, *(0, 1) * lm.SWEEPS):
+        new = dict(class_of)
+        for t, h in names.items():
+            if class_of[t] == classes if half is None else lm._half(np.array([h], dtype=np.uint64))[0] == half:
+                value = [round(likelihood(class_of | {t: c}), 7) for c in range(classes)]
+                best = value.index(max(value))
+                if half is None or value[best] > value[class_of[t]]:
+                    new[t] = best
+        if half is None:
+            placed = new
+        if half is None or likelihood(new) > likelihood(class_of):
+            class_of = new
+    assert class_of != placed and likelihood(class_of) > likelihood(placed)
+    want = brute.class_scores(docs, class_of, lm.TRANSITION_PRIOR)
+    for i, _ in docs:
+        assert got[i] == pytest.approx(want[i])
+
+
 def test_packing_of_long_runs_of_blanks(spark):
     path = public_tokenizers.path
     library = Tokenizer.from_file(path("byte_bpe_50k.json"))
