@@ -1,6 +1,6 @@
 """Written intermediate tables.
 
-No join in this package carries a broadcast hint. The planner broadcasts a side if its size is
+Joins of the segmentation carry no broadcast hint. The planner broadcasts a side if its size is
 below `spark.sql.autoBroadcastJoinThreshold`; it knows the size of a table it reads, and that is
 what staging a derived table gives it. A larger side is shuffled, and adaptive execution splits
 the partitions of hot keys.
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Spark's setting that deletes the shuffle files of a query at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 _block: ContextVar[list[str] | None] = ContextVar("stages of the current block", default=None)
@@ -36,17 +38,33 @@ def stage_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cohortry/{app}"
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of the queries in this block as soon as each has ended."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back.
 
     Cuts the lineage, survives the loss of executors, fixes the rows for later passes, and gives
-    the planner the true size of the table.
+    the planner the true size of the table. Nothing needs the shuffle files behind it any more, so
+    they go when it is written and a chain of stages takes the disk of its largest step.
     """
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     written = _block.get()
     if written is not None:
         written.append(path)
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
