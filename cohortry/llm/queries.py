@@ -15,6 +15,7 @@ from cohortry.llm import (
     packing,
     quality,
     secrets,
+    suffix_dedup,
     tokens,
     urls,
 )
@@ -100,6 +101,10 @@ def op10_language_model(spark: SparkSession, root: str) -> DataFrame:
     return lm.model_scores(_table(spark, root, "documents"), fold(7) == 2)
 
 
+def op13_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_table(spark, root, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -113,6 +118,7 @@ QUERIES = {
         op8_quality,
         op9_secrets,
         op10_language_model,
+        op13_suffix_dedup,
     )
 }
 
