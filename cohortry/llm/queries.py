@@ -14,6 +14,7 @@ from cohortry.llm import (
     neardup,
     packing,
     quality,
+    search,
     secrets,
     suffix_dedup,
     tokens,
@@ -101,6 +102,10 @@ def op10_language_model(spark: SparkSession, root: str) -> DataFrame:
     return lm.model_scores(_table(spark, root, "documents"), fold(7) == 2)
 
 
+def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return search.search(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
+
+
 def op13_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.without_repeats(_table(spark, root, "documents"))
 
@@ -118,6 +123,7 @@ QUERIES = {
         op8_quality,
         op9_secrets,
         op10_language_model,
+        op11_ranked_search,
         op13_suffix_dedup,
     )
 }
@@ -269,9 +275,39 @@ SELECT page_id, host, path,
 FROM parsed JOIN of_host USING (host)
 """
 
+_RANKED_SEARCH = rf"""
+WITH own AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), totals AS (
+  SELECT CAST(count(*) FILTER (WHERE len(t) > 0) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_words FROM own
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM own) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(n_docs) AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term
+), impacts AS (
+  SELECT r, doc_id, term,
+    w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(t) * n_docs) // n_words))) AS impact
+  FROM postings JOIN own USING (r) JOIN weights USING (term), totals
+), asked AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), scored AS (
+  SELECT item, item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score
+  FROM (SELECT item, item_id, unnest(t) AS term FROM asked) JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
 ORACLE_SQL = {
     "op3_near_duplicates": _NEAR_DUPLICATES,
     "op4_decontamination": _DECONTAMINATION,
     "op5_chat_texts": _CHAT_TEXTS,
     "op7_url_verdicts": _URL_VERDICTS,
+    "op11_ranked_search": _RANKED_SEARCH,
 }

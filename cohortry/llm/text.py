@@ -52,17 +52,18 @@ class Texts:
         sums = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
         return np.diff(sums[self.bounds])
 
-    def words(self, fold: bool) -> Words:
-        """Maximal runs of bytes that are not ASCII white space; `fold` lower-cases A-Z first."""
-        return Words(self, fold)
+    def words(self, fold: bool, between: np.ndarray = SPACE) -> Words:
+        """Maximal runs of bytes not marked in `between`, by default those that are no ASCII white
+        space; `fold` lower-cases A-Z first."""
+        return Words(self, fold, between)
 
 
 class Words:
     """Hashes of the words of some texts, and the range of words of each text."""
 
-    def __init__(self, texts: Texts, fold: bool):
+    def __init__(self, texts: Texts, fold: bool, between: np.ndarray = SPACE):
         data, bounds = texts.data, texts.bounds
-        inside = ~SPACE[data]
+        inside = ~between[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
