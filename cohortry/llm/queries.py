@@ -18,6 +18,7 @@ from cohortry.llm import (
     secrets,
     suffix_dedup,
     tokens,
+    trie,
     urls,
 )
 
@@ -106,6 +107,10 @@ def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
     return search.search(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
 
 
+def op12_conversation_trie(spark: SparkSession, root: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, root, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.without_repeats(_table(spark, root, "documents"))
 
@@ -124,6 +129,7 @@ QUERIES = {
         op9_secrets,
         op10_language_model,
         op11_ranked_search,
+        op12_conversation_trie,
         op13_suffix_dedup,
     )
 }
@@ -304,10 +310,56 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, d
   FROM scored WHERE score > 0) WHERE rank <= 20
 """
 
+# The checksum is the usual one of 32 bits, four bits at a time.
+_NIBBLES = []
+for _x in range(16):
+    for _ in range(4):
+        _x = (_x >> 1) ^ (0xEDB88320 if _x & 1 else 0)
+    _NIBBLES.append(_x)
+
+_CONVERSATION_TRIE = rf"""
+WITH own AS (
+  SELECT conv_id, list((coalesce(role, ''), coalesce(text, ''))
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), digits AS (
+  SELECT conv_id, t, list_transform(flatten(list_transform(
+    string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c) & 15, ascii(c) >> 4])), lambda n: CAST(n AS BIGINT)) AS n
+  FROM own
+), marked AS (
+  SELECT conv_id, t, xor(list_reduce([4294967295] || n, lambda c, x:
+      xor(({_NIBBLES})[CAST(xor(c, x) & 15 AS INTEGER) + 1], c >> 4)), 4294967295) % 4 AS h
+  FROM digits
+), rebuilt AS (
+  SELECT m.conv_id, coalesce(b.t[1:m.h], []) || m.t[m.h + 1:] AS t
+  FROM marked m LEFT JOIN own b ON b.conv_id = m.conv_id - m.conv_id % 20
+), paths AS (
+  SELECT conv_id, t[1:d] AS p, d, d = len(t) AS ends FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY p
+), linked AS (
+  SELECT c.*, q.conv_id AS parent_conv_id, CASE WHEN c.depth = 0 THEN 0 ELSE (c.n_convs - 1) * len(list_filter(
+    regexp_split_to_array((c.p[c.depth])[2], '[ 	-]+'), lambda w: w <> '')) END AS saved
+  FROM nodes c LEFT JOIN nodes q ON c.depth > 0 AND q.depth = c.depth - 1 AND q.p = c.p[1:c.depth - 1]
+), children AS (
+  SELECT p, (SELECT count(*) FROM linked c WHERE c.depth = q.depth + 1 AND c.p[1:q.depth] = q.p) AS n_children FROM linked q
+), below AS (
+  SELECT top.p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM linked top JOIN (SELECT linked.*, n_children FROM linked JOIN children USING (p)) sub
+    ON sub.depth >= top.depth AND sub.p[1:top.depth] = top.p GROUP BY top.p
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked JOIN children USING (p) JOIN below USING (p)
+"""
+
 ORACLE_SQL = {
     "op3_near_duplicates": _NEAR_DUPLICATES,
     "op4_decontamination": _DECONTAMINATION,
     "op5_chat_texts": _CHAT_TEXTS,
     "op7_url_verdicts": _URL_VERDICTS,
     "op11_ranked_search": _RANKED_SEARCH,
+    "op12_conversation_trie": _CONVERSATION_TRIE,
 }
