@@ -341,12 +341,13 @@ WITH own AS (
   FROM paths GROUP BY p
 ), linked AS (
   SELECT c.*, q.conv_id AS parent_conv_id, CASE WHEN c.depth = 0 THEN 0 ELSE (c.n_convs - 1) * len(list_filter(
-    regexp_split_to_array((c.p[c.depth])[2], '[ 	-]+'), lambda w: w <> '')) END AS saved
+    regexp_split_to_array((c.p[c.depth])[2], '[ 	-
+]+'), lambda w: w <> '')) END AS saved
   FROM nodes c LEFT JOIN nodes q ON c.depth > 0 AND q.depth = c.depth - 1 AND q.p = c.p[1:c.depth - 1]
 ), children AS (
   SELECT p, (SELECT count(*) FROM linked c WHERE c.depth = q.depth + 1 AND c.p[1:q.depth] = q.p) AS n_children FROM linked q
 ), below AS (
-  SELECT top.p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  SELECT top.p, count(*) FILTER (WHERE sub.n_children = 0) AS n_leaves, sum(sub.saved) AS saved_tokens
   FROM linked top JOIN (SELECT linked.*, n_children FROM linked JOIN children USING (p)) sub
     ON sub.depth >= top.depth AND sub.p[1:top.depth] = top.p GROUP BY top.p
 )
