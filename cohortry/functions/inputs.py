@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Row, SparkSession
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -34,3 +37,30 @@ def fit_shuffles(spark: SparkSession, input_bytes: int) -> None:
     wanted = input_bytes // PARTITION_BYTES
     if wanted > int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get(PARTITIONS)):
         spark.conf.set(INITIAL_PARTITIONS, wanted)
+
+
+def table_bytes(tables: Iterable[DataFrame]) -> int:
+    """Bytes of the files that the tables are read from, from their listing only. Tables that share
+    a file count it once."""
+    files, spark = set(), None
+    for df in tables:
+        files.update(df.inputFiles())
+        spark = df.sparkSession
+    if not files:
+        return 0
+    listed = spark.read.format("binaryFile").load(sorted(files))
+    return listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+@contextmanager
+def fitted_shuffles(spark: SparkSession, tables: Iterable[DataFrame]) -> Iterator[None]:
+    """`fit_shuffles` for a block of work on some tables; the session's setting comes back after it."""
+    before = spark.conf.get(INITIAL_PARTITIONS, None)
+    fit_shuffles(spark, table_bytes(tables))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(INITIAL_PARTITIONS)
+        else:
+            spark.conf.set(INITIAL_PARTITIONS, before)

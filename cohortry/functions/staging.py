@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Before the names of staged tables of the catalog, in lists of what was staged.
+TABLE = "table:"
 #: Spark's setting that deletes the shuffle files of a query at its end.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -68,6 +70,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Stage `df` with the rows of each `key` together.
+
+    Joins and groupings by `key` of tables staged so need no shuffle: the planner knows the buckets.
+    It learns them from the catalog, where the table stands under a name of its own until it is
+    dropped with its files.
+    """
+    spark = df.sparkSession
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    table = f"cohortry_stage_{uuid.uuid4().hex}"
+    written = _block.get()
+    if written is not None:
+        written += [path, TABLE + table]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _initial_partitions(spark))
+    with _tidy(spark):
+        # Shuffled by the key, every task writes whole buckets.
+        rows = df.repartition(buckets, key)
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def _initial_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or 0)
+
+
 @contextmanager
 def recorded_stages(paths: list[str]) -> Iterator[None]:
     """Add the paths of the tables that this block stages to `paths`."""
@@ -81,7 +108,11 @@ def recorded_stages(paths: list[str]) -> Iterator[None]:
 def drop_stages(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables and empty the list."""
     while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        name = paths.pop()
+        if name.startswith(TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {name.removeprefix(TABLE)}")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

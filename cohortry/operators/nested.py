@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import json_items, json_object, json_text, scalar_of
@@ -36,12 +36,20 @@ def winners(groups: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def order_lines(orders: DataFrame, rules: Rules) -> DataFrame:
+def order_lines(orders: DataFrame, rules: Rules, seen: Observation | None = None) -> DataFrame:
     """One row per order, offer and option. The price of a line is its whole amount.
 
-    A document that is null or no array has no lines; `unread_documents` counts those with text.
+    A document that is null or no array has no lines; `unread_documents` counts those with text, and
+    so does `seen`, as `documents` and `unread`, while the lines are read.
     """
     status = F.coalesce(F.col("payment_status"), json_text(orders, "payment_data", "$.status"))
+    if seen is not None:
+        written = F.col("ordered_data").isNotNull()
+        orders = orders.observe(
+            seen,
+            F.count_if(written).alias("documents"),
+            F.count_if(written & json_items(orders, "ordered_data").isNull()).alias("unread"),
+        )
     offers = orders.select(
         F.col("id").alias("order_id"),
         "user_id",
@@ -95,9 +103,8 @@ def offer_lookup(event_data: DataFrame, products: DataFrame, artists: DataFrame)
 
 
 def artist_names(offers: DataFrame) -> DataFrame:
-    """Name of every artist with an offer."""
-    known = offers.filter(F.col("artist_id").isNotNull())
-    return known.groupBy("artist_id").agg(F.max("artist_name").alias("artist_name"))
+    """Name of every artist with an offer. An artist has one name, as the lookup has unique keys."""
+    return offers.filter(F.col("artist_id").isNotNull()).select("artist_id", "artist_name").distinct()
 
 
 def paid_b2c_lines(lines: DataFrame, offers: DataFrame, rules: Rules) -> DataFrame:

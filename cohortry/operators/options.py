@@ -168,3 +168,15 @@ def label_options(
         .withColumn("option_label", label)
         .drop("_certain")
     )
+
+
+def label_purchases(matched: DataFrame, certain: DataFrame, rules: Rules) -> DataFrame:
+    """Purchases with their option's label, null for options without random versions."""
+    measured = matched.withColumns(
+        {
+            "unit_price": ratio(F.col("total_revenue"), F.col("total_qty")),
+            "qty_ratio": ratio(F.col("total_qty"), F.col("vc")),
+        }
+    )
+    labelled = label_options(measured, certain, rules)
+    return labelled.withColumn("option_label", F.when(F.col("vc").isNotNull(), F.col("option_label")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.rules import (
@@ -30,15 +30,76 @@ def mode_with_priority(
     `priority` names every label that occurs. One count per label, so one combined aggregate and
     neither a sort nor a list per group.
     """
-    counts = df.groupBy(*keys).agg(
-        *[F.count_if(F.col(label) == name).alias(f"_n{i}") for i, name in enumerate(priority)]
-    )
+    counts = df.groupBy(*keys).agg(*_label_counts(label, priority))
+    return counts.select(*keys, _most_frequent(priority).alias(out))
+
+
+def _label_counts(label: str, priority: Sequence[str]) -> list[Column]:
+    return [F.count_if(F.col(label) == name).alias(f"_n{i}") for i, name in enumerate(priority)]
+
+
+def _most_frequent(priority: Sequence[str]) -> Column:
+    """The label of the highest of the counts, the first in `priority` of equal ones."""
     columns = [F.col(f"_n{i}") for i in range(len(priority))]
     best = F.greatest(*columns) if len(columns) > 1 else columns[0]
     chosen = F.lit(priority[-1])
     for count, name in reversed(list(zip(columns, priority))):
         chosen = F.when(count == best, name).otherwise(chosen)
-    return counts.select(*keys, chosen.alias(out))
+    return chosen
+
+
+def _any_label(priority: Sequence[str]) -> Column:
+    return F.greatest(*[F.col(f"_n{i}") for i in range(len(priority))]) > 0
+
+
+def artist_totals(labelled: DataFrame, priority: Sequence[str] = PRIORITY) -> DataFrame:
+    """One row per user and artist (null is one) with all that users are judged by: gmv, max_qty,
+    event_lines and artist_label (null without labelled options).
+
+    `labelled` has a row per user, artist and option. This is its only grouping; users follow from
+    the artists' rows.
+    """
+    totals = labelled.groupBy("user_id", "artist_id").agg(
+        F.sum("total_revenue").alias("gmv"),
+        F.max("max_qty").alias("max_qty"),
+        F.sum("event_lines").alias("event_lines"),
+        *_label_counts("option_label", priority),
+    )
+    label = F.when(F.col("artist_id").isNotNull() & _any_label(priority), _most_frequent(priority))
+    return totals.select("user_id", "artist_id", "gmv", "max_qty", "event_lines", label.alias("artist_label"))
+
+
+def user_totals(totals: DataFrame, priority: Sequence[str] = PRIORITY) -> DataFrame:
+    """One row per user: distinct_artists, max_qty, event_lines, user_label (null without labelled
+    artists) and top_gmv, the most spent on one artist. Numbers only, so no group is sorted."""
+    known = F.col("artist_id").isNotNull()
+    users = totals.groupBy("user_id").agg(
+        F.count("artist_id").alias("distinct_artists"),
+        F.max("max_qty").alias("max_qty"),
+        F.sum("event_lines").alias("event_lines"),
+        F.max(F.when(known, F.col("gmv"))).alias("top_gmv"),
+        *_label_counts("artist_label", priority),
+    )
+    label = F.when(_any_label(priority), _most_frequent(priority))
+    return users.select(
+        "user_id", "distinct_artists", "max_qty", "event_lines", "top_gmv", label.alias("user_label")
+    )
+
+
+def main_artist_of(totals: DataFrame, users: DataFrame, names: DataFrame) -> DataFrame:
+    """The artist each user spent most on, the lowest id of equal ones.
+
+    In two steps on numbers: the highest spend, known from `users`, and then the least id of the
+    artists that reach it. Both tables lie by user, so their join moves nothing.
+    """
+    best = (
+        totals.filter(F.col("artist_id").isNotNull())
+        .join(users.select("user_id", "top_gmv"), "user_id")
+        .filter(F.col("gmv").eqNullSafe(F.col("top_gmv")))
+        .groupBy("user_id")
+        .agg(F.min("artist_id").alias("artist_id"), F.max("gmv").alias("gmv"))
+    )
+    return main_artist_columns(best.join(names, "artist_id", "left"))
 
 
 def artist_labels(labelled: DataFrame, priority: Sequence[str] = PRIORITY) -> DataFrame:

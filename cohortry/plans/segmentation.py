@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cohortry.functions.staging import stage, temporary_stages, without_users
+from cohortry.functions.inputs import fitted_shuffles
+from cohortry.functions.lookups import Lookups
+from cohortry.functions.staging import stage, stage_by, temporary_stages, without_users
 from cohortry.operators import (
     crm,
     exclusions,
@@ -20,7 +22,8 @@ from cohortry.operators import (
     rollup,
     scores,
 )
-from cohortry.rules import Rules
+from cohortry.rules import AGENTS, INTERNAL, Rules
+from cohortry.sinks import Releases
 from cohortry.sources import Sources
 
 
@@ -43,6 +46,9 @@ class Segmentation:
         self.rules = rules
         self.exclude = exclude
         self.labels = labels
+        self.lookups = Lookups(rules.fail_on_repeated_keys)
+        self.documents = Observation()
+        self._left_out: dict[tuple[str, ...], DataFrame] = {}
 
     # Exclusions
 
@@ -54,20 +60,49 @@ class Segmentation:
         )
         return exclusions.purchasing_agents(shared, several)
 
+    def left_out(self, groups: Sequence[str]) -> DataFrame | None:
+        """The users of some groups, staged once for all tables that leave out the same ones."""
+        if not self.exclude or not groups:
+            return None
+        name = tuple(sorted(set(groups)))
+        if name not in self._left_out:
+            self._left_out[name] = stage(self._users_of(name), "excluded")
+        return self._left_out[name]
+
+    def _users_of(self, groups: tuple[str, ...]) -> DataFrame:
+        if unknown := set(groups) - {INTERNAL, AGENTS}:
+            raise ValueError(f"unknown groups of users: {sorted(unknown)}")
+        if groups == (INTERNAL,):
+            return self.sources.internal_accounts.select("user_id").distinct()
+        if groups == (AGENTS,):
+            return self.agents.select("user_id")
+        return exclusions.excluded_users(self.sources.internal_accounts, self.agents)
+
     @cached_property
     def excluded(self) -> DataFrame | None:
-        if not self.exclude:
-            return None
-        users = exclusions.excluded_users(self.sources.internal_accounts, self.agents)
-        return stage(users, "excluded")
+        """Users left out of the labels."""
+        return self.left_out(self.rules.label_exclusions)
+
+    # Lookups
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return self.lookups.unique(
+            self.sources.event_mart, "event_mart", "event_id", ["artist_id", "album_name"]
+        )
+
+    @cached_property
+    def user_info(self) -> DataFrame:
+        columns = ["country_code", "gender_type", "birth"]
+        return self.lookups.unique(self.sources.user_info, "user_info", "user_id", columns)
 
     # Scores
 
     def eligible_orders(self) -> DataFrame:
         return scores.eligible_orders(
             self.sources.order_mart,
-            self.sources.event_mart,
-            self.excluded,
+            self.events,
+            self.left_out(self.rules.score_exclusions),
             self.rules.score_markets,
             self.rules.order_source,
         )
@@ -78,8 +113,8 @@ class Segmentation:
             self.sources.order_mart, self.rules.score_markets, self.rules.order_source
         )
         spend = scores.event_spend(lines)
-        values = scores.order_values(scores.with_event(spend, self.sources.event_mart))
-        return without_users(values, self.excluded)
+        values = scores.order_values(scores.with_event(spend, self.events))
+        return without_users(values, self.left_out(self.rules.score_exclusions))
 
     def rfm_base(self) -> DataFrame:
         recent = scores.recency(self.sources.users, self.rules)
@@ -93,13 +128,16 @@ class Segmentation:
 
     @cached_property
     def offers(self) -> DataFrame:
+        unique = self.lookups.unique
         table = nested.offer_lookup(
-            self.sources.event_data, self.sources.products, self.sources.artists
+            unique(self.sources.event_data, "event_data", "id", ["product_event_type", "product_id"]),
+            unique(self.sources.products, "products", "id", ["artist_id"]),
+            unique(self.sources.artists, "artists", "id", ["name"]),
         )
         return stage(table, "offers")
 
-    def paid_lines(self) -> DataFrame:
-        lines = nested.order_lines(self.sources.commerce_orders, self.rules)
+    def paid_lines(self, seen: Observation | None = None) -> DataFrame:
+        lines = nested.order_lines(self.sources.commerce_orders, self.rules, seen)
         return nested.paid_b2c_lines(lines, self.offers, self.rules)
 
     @cached_property
@@ -108,12 +146,13 @@ class Segmentation:
 
     @cached_property
     def purchases(self) -> DataFrame:
-        """Paid lines per user, artist and option, with the option's versions and ticket mark."""
-        bought = options.option_purchases(self.paid_lines())
+        """Paid lines per user, artist and option, with the option's versions and ticket mark. They
+        lie by user, as all that follows is by user."""
+        bought = options.option_purchases(self.paid_lines(self.documents))
         if self.excluded is not None:
             bought = without_users(bought, self.excluded)
         catalog = stage(options.option_catalog(self.sku_matches), "options")
-        return stage(options.match_options(bought, catalog), "purchases")
+        return stage_by(options.match_options(bought, catalog), "purchases", "user_id")
 
     @cached_property
     def winners(self) -> DataFrame:
@@ -136,16 +175,27 @@ class Segmentation:
             options.option_stats(self.purchases), self.certain, self.rules
         )
 
+    @cached_property
+    def artist_totals(self) -> DataFrame:
+        labelled = options.label_purchases(self.purchases, self.certain, self.rules)
+        return stage_by(rollup.artist_totals(labelled), "artist-totals", "user_id")
+
+    def user_totals(self) -> DataFrame:
+        return rollup.user_totals(self.artist_totals)
+
     def user_labels(self) -> DataFrame:
-        return rollup.user_labels(rollup.artist_labels(self.option_labels()))
+        return self.user_totals().filter(F.col("user_label").isNotNull()).select("user_id", "user_label")
 
     def final_dimension(self) -> DataFrame:
+        users = self.user_totals()
+        purchases = users.drop("user_label", "top_gmv")
         return rollup.final_dimension(
-            options.user_purchases(self.purchases), self.user_labels(), self.certain, self.rules
+            purchases, self.user_labels(), self.certain, self.rules
         )
 
     def main_artist(self) -> DataFrame:
-        return rollup.main_artist(self.purchases, nested.artist_names(self.offers))
+        names = nested.artist_names(self.offers)
+        return rollup.main_artist_of(self.artist_totals, self.user_totals(), names)
 
     def build_dimension(self) -> DataFrame:
         if self.labels == "v1":
@@ -156,7 +206,7 @@ class Segmentation:
 
     @cached_property
     def dimension(self) -> DataFrame:
-        return stage(self.build_dimension(), "dimension")
+        return stage_by(self.build_dimension(), "dimension", "user_id")
 
     # Older label rules, from the order mart
 
@@ -178,7 +228,7 @@ class Segmentation:
 
     def option_stats_v2(self) -> DataFrame:
         return mart_variants.option_stats_v2(
-            self.mart_purchases, self.sources.event_mart, self.sku_counts
+            self.mart_purchases, self.events, self.sku_counts
         )
 
     def bulk_buyers_v2(self) -> DataFrame:
@@ -201,7 +251,7 @@ class Segmentation:
         )
 
     def main_artist_v2(self) -> DataFrame:
-        return mart_variants.main_artist_v2(self.mart_purchases, self.sources.event_mart)
+        return mart_variants.main_artist_v2(self.mart_purchases, self.events)
 
     def dimension_v2(self) -> DataFrame:
         return rollup.user_dimension(self.final_dimension_v2(), self.main_artist_v2())
@@ -210,7 +260,7 @@ class Segmentation:
         bought = mart_variants.mart_purchases(
             self.sources.order_mart, None, self.rules.score_markets, self.rules.order_source
         )
-        return mart_variants.option_stats_v1(bought, self.sources.event_mart, self.sku_counts)
+        return mart_variants.option_stats_v1(bought, self.events, self.sku_counts)
 
     def final_dimension_v1(self) -> DataFrame:
         return mart_variants.final_dimension_v1(self.option_stats_v1(), self.winners, self.rules)
@@ -218,22 +268,29 @@ class Segmentation:
     # Merged tables
 
     def build_segment(self) -> DataFrame:
-        return crm.user_segment(self.score, self.dimension, self.rules)
+        return crm.user_segment(self.score_by_user, self.dimension, self.rules)
 
     @cached_property
     def segment(self) -> DataFrame:
         return stage(self.build_segment(), "segment")
 
     def profile(self) -> DataFrame:
-        return crm.user_profile(self.sources.users, self.sources.user_info, self.rules)
+        return crm.user_profile(self.sources.users, self.user_info, self.rules)
 
     def purchase_stats(self) -> DataFrame:
-        return crm.purchase_stats(self.sources.order_mart, self.excluded, self.rules)
+        excluded = self.left_out(self.rules.customer_exclusions)
+        return crm.purchase_stats(self.sources.order_mart, excluded, self.rules)
+
+    @cached_property
+    def score_by_user(self) -> DataFrame:
+        """The scores, lying by user as the tables that they are joined to."""
+        return stage_by(self.score, "score", "user_id")
 
     def build_crm(self) -> DataFrame:
-        return crm.crm_users(
-            self.profile(), self.score, self.dimension, self.purchase_stats(), self.rules
-        )
+        """Four tables that lie by user: joining them shuffles nothing."""
+        profile = stage_by(self.profile(), "profile", "user_id")
+        stats = stage_by(self.purchase_stats(), "purchase-stats", "user_id")
+        return crm.crm_users(profile, self.score_by_user, self.dimension, stats, self.rules)
 
     @cached_property
     def crm_users(self) -> DataFrame:
@@ -269,9 +326,9 @@ def run(
     job = Segmentation(sources, rules, labels=labels)
     columns = ["user_id", "r_raw", "f_raw", "m_raw", "r_score", "f_score", "m_score"]
     with temporary_stages(sources.users.sparkSession):
-        job.score = stage(job.score.select(*columns), "score")
+        job.score = job.score_by_user
         made = {
-            "user_rfm_score": job.score,
+            "user_rfm_score": job.score.select(*columns),
             "user_rfm_dimension": job.dimension,
             "user_rfm_segment": job.segment,
             "crm_users": job.crm_users,
@@ -280,6 +337,44 @@ def run(
     return reports.segment_check(stored["crm_users"])
 
 
+def publish(sources: Sources, rules: Rules, store: Releases, labels: str = "v3") -> dict[str, int]:
+    """Build the four tables as one release of `store`, and make it the current one.
+
+    Each table is written once, in its place, and the next are built from what was written. If any
+    part fails nothing is published and the tables of the release before stay as they are. Rows that
+    the inputs' contracts set aside are published as `rejected_rows`. Returns the facts that are
+    stored with the release, all counted while its tables were written: rows of every table, users
+    without a label, buyers, order documents, unread ones, and repeated keys of lookups.
+
+    Shuffles start as wide as the inputs of the session's default need; the setting is put back.
+    """
+    spark = sources.users.sparkSession
+    job = Segmentation(sources, rules, labels=labels)
+    columns = ["user_id", "r_raw", "f_raw", "m_raw", "r_score", "f_score", "m_score"]
+    unlabelled = F.count_if(F.col("dimension_label").isNull())
+    buyer = F.col("r_score").isNotNull()
+    with fitted_shuffles(spark, sources.sized()), temporary_stages(spark), store.begin() as release:
+        score = release.write(job.score.select(*columns), "user_rfm_score")
+        job.score = score
+        job.dimension = stage_by(
+            release.write(job.build_dimension(), "user_rfm_dimension", unlabelled=unlabelled), "dimension", "user_id"
+        )
+        release.write(job.build_segment(), "user_rfm_segment", unlabelled=unlabelled)
+        release.write(
+            job.build_crm(),
+            "crm_users",
+            buyers=F.count_if(buyer),
+            unlabelled=F.count_if(buyer & F.col("dimension_label").isNull()),
+        )
+        if labels == "v3":
+            release.facts |= {f"commerce_orders.{k}": v for k, v in job.documents.get.items()}
+        release.facts |= {f"{table}.repeated": n for table, n in job.lookups.repeated.items()}
+        rejected = sources.rejected()
+        if rejected is not None:
+            release.write(rejected, "rejected_rows")
+    return release.facts
+
+
 def write_reports(
     segment: DataFrame,
     customers: DataFrame,

@@ -25,6 +25,10 @@ CHILD_SKU = "C"
 
 NO_WINNER_ID = "-1"
 
+# Groups of users that tables can leave out.
+INTERNAL = "internal"
+AGENTS = "agents"
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -53,6 +57,15 @@ class Rules:
     agent_min_artists: int = 2
     agent_since: date = date(2025, 1, 1)
 
+    # Which users are left out of the scores, of the purchase labels, and of the purchases in the
+    # customer table: those on the internal list, those found to buy for others, both or none.
+    score_exclusions: tuple[str, ...] = (INTERNAL, AGENTS)
+    label_exclusions: tuple[str, ...] = (INTERNAL, AGENTS)
+    customer_exclusions: tuple[str, ...] = (INTERNAL, AGENTS)
+
+    # Whether a lookup table with several rows for a key is an error. Else the least row counts.
+    fail_on_repeated_keys: bool = False
+
     # Scores.
     tiles: int = 5
 

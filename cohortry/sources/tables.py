@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortry.sources.contracts import Checked
+
 NAMES = (
     "users",
     "user_info",
@@ -23,7 +26,10 @@ NAMES = (
 
 
 class Sources:
-    """Input tables. JSON columns may be text or variant; ids may be numbers or text.
+    """Input tables, each as its contract declares. JSON columns may be text or variant.
+
+    A missing column is an error. Columns of other types than declared are cast; `rejected` has the
+    rows with a value for which that fails, which are left out of the table.
 
     users              id, email, created_from, created_at, last_login, is_certified,
                        is_withdrawn, is_active
@@ -45,13 +51,25 @@ class Sources:
     def __init__(self, load: Callable[[str], DataFrame]):
         """`load` opens a table by logical name; it is called when the table is first used."""
         self._load = load
+        self._opened: dict[str, Checked] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
-        setattr(self, name, self._load(name))
+        self._opened[name] = Checked(name, self._load(name))
+        setattr(self, name, self._opened[name].rows)
         return getattr(self, name)
 
+    def rejected(self) -> DataFrame | None:
+        """(table_name, reason, row) of the rows set aside in the tables used so far; none if every
+        column had its declared type."""
+        found = [rows for table in self._opened.values() if (rows := table.rejected()) is not None]
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def sized(self) -> list[DataFrame]:
+        """The two tables with a row or more per order: the ones that shuffles have to be wide for."""
+        return [self.order_mart, self.commerce_orders]
+
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame]) -> Sources:
         """Data frames at hand, by logical name."""
