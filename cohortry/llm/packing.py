@@ -31,6 +31,8 @@ SLACK = 8
 #: Rounds of column generation, per class of lengths; each improves the solution.
 ROUNDS = 24
 BUCKET_ROWS = 50_000
+#: Bytes of token ids that a task hands over at a time.
+OUT_BYTES = 1 << 21
 
 
 @lru_cache(maxsize=2)
@@ -47,10 +49,9 @@ def _encoder(vocabulary: str, ranks: str):
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    slow = Tokenizer.from_file(vocabulary)
+    slow = None  # loaded for the first text that needs it
     with open(vocabulary, encoding="utf-8") as file:
         special = [t["content"] for t in json.load(file)["added_tokens"]]
     with open(ranks, "rb") as file:
@@ -60,6 +61,7 @@ def _encoder(vocabulary: str, ranks: str):
     )
 
     def encode(text: str) -> np.ndarray:
+        nonlocal slow
         try:
             text.encode("latin-1")
             plain = not any(name in text for name in special)
@@ -70,6 +72,10 @@ def _encoder(vocabulary: str, ranks: str):
                 return fast.encode_to_numpy(text, disallowed_special=())
             except ValueError:
                 pass
+        if slow is None:
+            from tokenizers import Tokenizer
+
+            slow = Tokenizer.from_file(vocabulary)
         return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
@@ -90,7 +96,7 @@ def _tokenizer(vocabulary: str, ranks: str, end: int, length: int):
                     totals.append(len(tokens))
                     ids.append(tokens[a : a + length].tobytes())
                 size += 4 * len(tokens)
-                if size >= 1 << 24 or i == batch.num_rows - 1:
+                if size >= OUT_BYTES or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
                         [
                             *(k.take(pa.array(rows, pa.int64())) for k in keys),
@@ -101,6 +107,7 @@ def _tokenizer(vocabulary: str, ranks: str, end: int, length: int):
                         ["doc_id", "rid", "start", "doc_tokens", "ids"],
                     )
                     rows, starts, totals, ids, size = [], [], [], [], 0
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return tokenise
 
