@@ -22,14 +22,16 @@ class RepeatedKeys(ValueError):
 
 
 class Lookups:
-    """Staged lookup tables, and what was found in them.
+    """Lookup tables with unique keys, and what was found in them.
 
-    With `fail` a repeated key is an error. Else the least of its rows counts, in order of the columns
-    asked for (null first). Rows without a key can't be joined and are left out.
+    Of a repeated key the least row counts, in order of the columns asked for (null first). Rows
+    without a key can't be joined and are left out. With `count` the tables are staged and repeated
+    keys counted while they are written; with `fail` such a key is an error.
     """
 
-    def __init__(self, fail: bool = False):
+    def __init__(self, fail: bool = False, count: bool = False):
         self.fail = fail
+        self.count = count or fail
         #: By table: keys with several rows.
         self.repeated: dict[str, int] = {}
 
@@ -41,6 +43,9 @@ class Lookups:
             .groupBy(key)
             .agg(least.alias("_least"), F.count("*").alias("_rows"))
         )
+        picked = [key, *[F.col(f"_least.{c}").alias(c) for c in columns]]
+        if not self.count:
+            return grouped.select(*picked)
         seen = Observation()
         several = F.col("_rows") > 1
         counted = grouped.observe(
@@ -48,7 +53,7 @@ class Lookups:
             F.count_if(several).alias("keys"),
             F.coalesce(F.sum(F.when(several, F.col("_rows"))), F.lit(0)).alias("rows"),
         )
-        written = stage(counted.select(key, *[F.col(f"_least.{c}").alias(c) for c in columns]), f"lookup-{table}")
+        written = stage(counted.select(*picked), f"lookup-{table}")
         found = seen.get
         self.repeated[table] = found["keys"]
         if self.fail and found["keys"]:

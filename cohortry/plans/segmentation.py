@@ -350,6 +350,7 @@ def publish(sources: Sources, rules: Rules, store: Releases, labels: str = "v3")
     """
     spark = sources.users.sparkSession
     job = Segmentation(sources, rules, labels=labels)
+    job.lookups = Lookups(rules.fail_on_repeated_keys, count=True)
     columns = ["user_id", "r_raw", "f_raw", "m_raw", "r_score", "f_score", "m_score"]
     unlabelled = F.count_if(F.col("dimension_label").isNull())
     buyer = F.col("r_score").isNotNull()
