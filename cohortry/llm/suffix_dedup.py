@@ -37,7 +37,7 @@ from cohortry.llm.text import mix
 WIDTH = 200  # bytes that have to be equal
 ANCHOR = 100  # bytes of an anchor
 PIECE = 1 << 18  # bytes of a text that are hashed at a time
-SHARD_BYTES = 4 << 20  # of a collection
+SHARD_BYTES = 8 << 20  # of a collection
 GROUP = 4096  # different hulls of one anchor that may share a collection uncut
 CUTS = (8, 1)  # windows of the hulls that larger groups are cut to, in turn
 
@@ -239,7 +239,7 @@ class Collection:
         if not out:
             return who[:0], segment[:0], place[:0], above[:0], below[:0]
         who, segment, place, above, below = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((place, segment))
+        order = np.argsort((segment << 40) | place)
         return who[order], segment[order], place[order], above[order], below[order]
 
     def _longer(self, c, before, symbols, common, place, symbol, left, who):
