@@ -1,21 +1,20 @@
 """Scoring by a class-based bigram model.
 
-1. Words of the training documents are counted. The most frequent ones, at most `VOCABULARY`, get a
-   number and are looked up in tasks; the rest, rare words, keep their class in a table and are
-   looked up by joins. The bound decides on the way of the lookup only, not on any result.
-2. Documents are written once as word numbers, their rare words beside them; so are the neighbours
-   of each rare word.
+1. Words of the training documents are counted and numbered by rising hash. Documents are written
+   once as numbers. Words are looked up in blocks of `VOCABULARY` words, one block in memory at a time.
+2. The neighbours of every training word, left and right, are listed once, by word. A word with many
+   neighbours has many rows, dealt over the partitions.
 3. Classes begin with an exchange of the `HEAD` most frequent words on the driver, over the
    HEAD x HEAD table of neighbours of all training tokens. Every other word is then placed into the
    class that raises the likelihood of the class bigrams most.
 4. Exchange clustering of all words, in `SWEEPS` distributed sweeps of two rounds: left and right
-   class counts of half of the words, dealt by hash, are aggregated over all training tokens, and
-   each of these words moves to its best class. A round whose moves together lower the likelihood
-   is taken back. The end of a document is a class of its own, as are words not seen in training.
+   class counts of half of the words, dealt by hash, are summed over their lists, and each of these
+   words moves to its best class. A round whose moves together lower the likelihood is taken back. The
+   end of a document is a class of its own, as are words not seen in training.
 5. Class transitions are counted over all training tokens. A word's probability is that of its
    class after the last word's class, times its share of the class.
 
-Rare words are infrequent each, so that joins with their classes have no hot keys.
+Tasks know all classes: one byte for each distinct training word is sent to them, and one for its count.
 """
 
 from __future__ import annotations
@@ -28,17 +27,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage
-from cohortry.llm.native import row_id
 from cohortry.llm.text import mix, slices
 
-VOCABULARY = 1 << 18
+#: Words of one block of lookups.
+VOCABULARY = 1 << 20
 HEAD = 1024
 CLASSES = 64
 PASSES = 4
 #: Sweeps of the distributed exchange; in each, every word may move once.
 SWEEPS = 2
 #: Words gathered before they are counted and sent on.
-GATHERED = 1 << 22
+GATHERED = 1 << 21
+#: Neighbours in one row of a word's list, and rows worked on at a time.
+PIECE = 1024
+ROWS = 512
 TRANSITION_PRIOR = 0.1
 #: Hash of the end of a document, apart from words.
 END = np.uint64(0xD1B54A32D192ED03)
@@ -85,86 +87,201 @@ def word_counts(training: DataFrame) -> DataFrame:
     )
 
 
-def _level(n: Column) -> Column:
-    """Frequency on a fine logarithmic scale of a few thousand steps."""
-    return F.floor(F.log2(n) * 64).cast("int")
+def _vocabulary(counts: DataFrame, bound: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of all words; and the most frequent ones, at most `bound`, by falling count, with counts."""
+    # Hashes are unsigned: negative longs come last.
+    table = counts.orderBy(F.desc("n"), F.col("w") < 0, "w").limit(bound).toArrow()
+    words = table.column("w").to_numpy().view(np.uint64)
+    return counts.count(), words, table.column("n").to_numpy()
 
 
-def _is_rare(lowest: int) -> Column:
-    return (_level(F.col("n")) < lowest) & (F.col("w") != int(END.view(np.int64)))
+class _Words:
+    """All training words by rising hash; a word's number is its place.
 
+    Hashes are sent to tasks in blocks of about `block` words. The driver sees one block at a time and
+    keeps what it needs of each word: in which round it moves, and its count in a byte (large counts
+    are listed apart).
+    """
 
-def _vocabulary(counts: DataFrame, bound: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Lowest level of numbered words; and these, at most `bound` and the end, by falling count, with counts."""
-    levels = counts.groupBy(_level(F.col("n")).alias("level")).count().collect()
-    total, lowest = 0, 1 << 30
-    for level, n in sorted(((r["level"], r["count"]) for r in levels), reverse=True):
-        total += n
-        if total > bound:
-            break
-        lowest = level
-    table = counts.filter(~_is_rare(lowest)).toArrow()
-    words = table.column("w").to_numpy().view(np.uint64)
-    n = table.column("n").to_numpy()
-    order = np.lexsort((words, -n))
-    return lowest, words[order], n[order]
+    def __init__(self, counts: DataFrame, size: int, block: int):
+        context = counts.sparkSession.sparkContext
+        blocks = max(1, -(-size // block))
+        edges = [(k << 64) // blocks - (1 << 63) for k in range(blocks + 1)]
+        self.edges = np.array(edges[1:-1], dtype=np.int64)
+        self.parts, self.starts, halves, n = [], [0], [], []
+        large = []
+        for low, high in zip(edges, edges[1:]):
+            table = counts.filter(F.col("w").between(low, high - 1)).toArrow()
+            words = table.column("w").to_numpy()
+            order = np.argsort(words)
+            words, often = words[order], table.column("n").to_numpy()[order]
+            at = np.flatnonzero(often >= 255)
+            large.append((at + self.starts[-1], often[at]))
+            halves.append(_half(words).astype(np.uint8))
+            n.append(np.minimum(often, 255).astype(np.uint8))
+            self.starts.append(self.starts[-1] + len(words))
+            self.parts.append(context.broadcast(words))
+        self.size = self.starts[-1]
+        self.halves, self.counts = np.concatenate(halves), np.concatenate(n)
+        self.large = tuple(np.concatenate(x) for x in zip(*large))
+
+    def numbers(self, tokens: np.ndarray) -> np.ndarray:
+        """The number of each hash; `size` for an unknown one."""
+        tokens = tokens.view(np.int64)
+        out = np.full(len(tokens), self.size, dtype="<u4")
+        block = np.searchsorted(self.edges, tokens, side="right")
+        for k, part in enumerate(self.parts):
+            at = np.flatnonzero(block == k) if len(self.parts) > 1 else np.arange(len(tokens))
+            words = part.value
+            if len(words) and len(at):
+                place = np.minimum(np.searchsorted(words, tokens[at]), len(words) - 1)
+                known = words[place] == tokens[at]
+                out[at[known]] = place[known] + self.starts[k]
+            if len(self.parts) > 1:
+                # A task holds one block at a time; it is read again from the executor's disk.
+                part.__dict__.pop("_value", None)
+        return out
+
+    def drop_hashes(self) -> None:
+        for part in self.parts:
+            part.unpersist()
+
+
+def _encoder(words: _Words):
+    lookup = _Words.__new__(_Words)
+    lookup.edges, lookup.parts, lookup.starts, lookup.size = words.edges, words.parts, words.starts, words.size
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
 
-def _encoder(words: np.ndarray):
-    rank = np.argsort(words).astype(np.int32)
-    ordered = words[rank]
-    unknown = len(words)
+        def encoded() -> Iterator[pa.RecordBatch]:
+            numbers = lookup.numbers(np.concatenate([tokens for _, tokens, _ in held]))
+            at = 0
+            for batch, tokens, bounds in held:
+                yield batch.append_column("ids", _binary(numbers[at : at + len(tokens)], bounds))
+                at += len(tokens)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch):
-                tokens, bounds = _tokens(texts)
-                at = np.minimum(np.searchsorted(ordered, tokens), max(unknown - 1, 0))
-                known = ordered[at] == tokens if unknown else np.zeros(len(tokens), dtype=bool)
-                ids = np.where(known, rank[at] if unknown else 0, unknown).astype("<i4")
-                rare = tokens[~known].view(np.int64)
-                rare_bounds = np.concatenate([[0], np.cumsum(~known)])[bounds]
-                numbers = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield texts.batch.drop_columns("text").append_column(
-                    "ids", pa.array(numbers, pa.binary())
-                ).append_column(
-                    "rare",
-                    pa.ListArray.from_arrays(pa.array(rare_bounds, pa.int32()), pa.array(rare)),
-                )
+                held.append((texts.batch.drop_columns("text"), *_tokens(texts)))
+                total += len(held[-1][1])
+                if total >= GATHERED:
+                    yield from encoded()
+                    held, total = [], 0
+        if held:
+            yield from encoded()
 
     return encode
 
 
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of an array as binary values."""
+    offsets = pa.py_buffer((np.asarray(bounds) * values.itemsize).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(values.tobytes())])
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values in a column of binary values end to end, and the bounds of each row's values."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
+    values = raw[offsets[0] : offsets[-1]].view(kind)
+    return values, (offsets - offsets[0]) // values.itemsize
+
+
 def _sequences(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of all tokens of a batch, that of the token before each, and the texts' bounds."""
-    raw = batch.column("ids")
-    sizes = np.array([len(x.as_buffer()) // 4 for x in raw], dtype=np.int64)
-    ids = np.frombuffer(b"".join(x.as_py() for x in raw), dtype="<i4")
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    ids, bounds = _flat(batch.column("ids"), "<u4")
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[bounds[:-1]] = end
     return ids, before, bounds
 
 
-def _pair_counter(of_id: np.ndarray, size: int, end: int):
-    """Counts of neighbouring values, a value for each word number."""
+LISTS = "key long, salt int, beside binary, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, dtype=np.int64)
+
+def _lister(end: int):
+    """Rows of neighbours of each word: key is 2 * word, plus 1 for those to its right.
+
+    The end of a text never moves, and a word beside itself is met from its left already, so neither
+    has a list to the right of these. A count above 255 is spread over several entries.
+    """
+
+    def listed(ids: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+        ids, before = ids.astype(np.uint64), before.astype(np.uint64)
+        right = (before != end) & (before != ids)
+        one, low = np.uint64(1), np.uint64(32)
+        code = np.concatenate(
+            [(ids << np.uint64(33)) | before, (((before[right] << one) | one) << low) | ids[right]]
+        )
+        code, n = np.unique(code, return_counts=True)
+        times = (n + 254) // 255
+        rest = n - 255 * (times - 1)
+        code = np.repeat(code, times)
+        counts = np.full(len(code), 255, dtype=np.uint8)
+        counts[np.cumsum(times) - 1] = rest
+        key = (code >> low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        rank = np.arange(len(key)) - np.repeat(first, np.diff([*first, len(key)]))
+        starts = np.flatnonzero(rank % PIECE == 0)
+        bounds = np.append(starts, len(key))
+        return pa.RecordBatch.from_pydict(
+            {
+                "key": key[starts],
+                "salt": (rank[starts] // PIECE).astype(np.int32),
+                "beside": _binary(code.astype("<u4"), bounds),
+                "counts": _binary(counts, bounds),
+            }
+        )
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, before, _ = _sequences(batch, end)
-            total += np.bincount(of_id[before] * size + of_id[ids], minlength=size * size)
+            for a in range(0, len(ids), GATHERED):
+                held.append((ids[a : a + GATHERED], before[a : a + GATHERED]))
+                total += len(held[-1][0])
+                if total >= GATHERED:
+                    yield listed(*map(np.concatenate, zip(*held)))
+                    held, total = [], 0
+        if held:
+            yield listed(*map(np.concatenate, zip(*held)))
+
+    return lists
+
+
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys of some rows; and row, neighbour and count of every entry in them."""
+    for a in range(0, batch.num_rows, ROWS):
+        part = batch.slice(a, ROWS)
+        beside, bounds = _flat(part.column("beside"), "<u4")
+        counts, _ = _flat(part.column("counts"), "u1")
+        yield part.column("key").to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(bounds)), beside, counts
+
+
+def _pair_counter(of, size: int):
+    """Counts of neighbouring values, from lists to the left; `of` has a value for each word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size)
+        for batch in batches:
+            for key, row, beside, n in _entries(batch):
+                own = of.value[key // 2].astype(np.int64)[row]
+                np.add.at(total, of.value[beside].astype(np.int64) * size + own, n)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"pair": at.astype(np.int64), "n": total[at]})
+        yield pa.RecordBatch.from_pydict({"pair": at.astype(np.int64), "n": total[at].astype(np.int64)})
 
     return count
 
 
-def _pairs(training: DataFrame, of_id: np.ndarray, size: int, end: int) -> np.ndarray:
+def _pairs(lists: DataFrame, of, size: int) -> np.ndarray:
     table = (
-        training.select("ids")
-        .mapInArrow(_pair_counter(of_id, size, end), "pair long, n long")
+        lists.filter("key % 2 = 0")
+        .mapInArrow(_pair_counter(of, size), "pair long, n long")
         .groupBy("pair")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -238,207 +355,51 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - sum(_xlogx(table.sum(axis=axis)).sum() for axis in (0, 1)))
 
 
-CONTEXTS = "w long, id int, class int, contexts binary, counts binary"
-
+CONTEXTS = "id long, contexts binary, counts binary"
 
-def _by_word(w, ids, of, word, context, n) -> pa.RecordBatch:
-    """A row for each word, with its contexts and their counts; `word` is the row of each context."""
-    bounds = np.searchsorted(word, np.arange(len(w) + 1))
-    context, n = context.astype("<u2").tobytes(), n.astype("<u4").tobytes()
 
-    def parts(raw: bytes, width: int) -> pa.Array:
-        offsets = pa.py_buffer((bounds * width).astype(np.int32).tobytes())
-        return pa.Array.from_buffers(pa.binary(), len(w), [None, offsets, pa.py_buffer(raw)])
-
-    return pa.RecordBatch.from_pydict(
-        {
-            "w": w.view(np.int64),
-            "id": ids.astype(np.int32),
-            "class": of.astype(np.int32),
-            "contexts": parts(context, 2),
-            "counts": parts(n, 4),
-        }
-    )
-
-
-def _contexts(keys: np.ndarray, code: np.ndarray, of_id: np.ndarray, size: int) -> pa.RecordBatch:
-    """Contexts of numbered words, from codes id * (2 * size + 1) + context."""
-    code, n = np.unique(code, return_counts=True)
-    ids, word = np.unique(code // (2 * size + 1), return_inverse=True)
-    return _by_word(keys[ids], ids, of_id[ids], word, code % (2 * size + 1), n)
-
-
-def _rare_contexts(w, of, context, n) -> pa.RecordBatch:
-    """Contexts of rare words, from rows of word, class, context and count."""
-    order = np.argsort(w, kind="stable")
-    names, first, word = np.unique(w[order], return_index=True, return_inverse=True)
-    of = of[order][first]
-    return _by_word(names, np.full(len(names), -1), of, word, context[order], n[order])
-
-
-def _context_counter(words: np.ndarray, of_id: np.ndarray, moving: np.ndarray, size: int, end: int):
-    """Contexts of the moving numbered words beside numbered ones: left (below `size`), right, own.
+def _context_counter(of, moving, size: int):
+    """Contexts of the moving words: classes to the left (below `size`) and to the right, and own.
 
     A word next to itself counts once, as own context (2 * size).
     """
-    unknown = len(words)
     wide = 2 * size + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-
-        def counted() -> pa.RecordBatch:
-            return _contexts(words, np.concatenate(held), of_id, size)
-
         for batch in batches:
-            ids, before, _ = _sequences(batch, end)
-            ids, before = ids.astype(np.int64), before.astype(np.int64)
-            known, same = (ids != unknown) & (before != unknown), ids == before
-            left = known & ~same & moving[ids]
-            held.append(ids[left] * wide + of_id[before[left]])
-            right = known & ~same & moving[before]
-            held.append(before[right] * wide + size + of_id[ids[right]])
-            own = known & same & moving[ids]
-            held.append(ids[own] * wide + 2 * size)
-            total += sum(map(len, held[-3:]))
-            if total >= GATHERED:
-                yield counted()
-                held, total = [], 0
-        if total:
-            yield counted()
+            for key, row, beside, n in _entries(batch):
+                ids, right = key // 2, key % 2
+                picked = moving.value[ids] != 0
+                if not picked.any():
+                    continue
+                # Rows come sorted by side and word: those of one word follow each other.
+                word = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+                names = ids[np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))]
+                at = picked[row]
+                row, beside, n = row[at], beside[at], n[at]
+                context = of.value[beside] + size * right[row]
+                context[beside == ids[row]] = 2 * size
+                sums = np.bincount(word[row] * wide + context, weights=n, minlength=len(names) * wide)
+                at = np.flatnonzero(sums)
+                bounds = np.searchsorted(at // wide, np.arange(len(names) + 1))
+                moved = np.diff(bounds) > 0
+                bounds = np.append(bounds[:-1][moved], len(at))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": names[moved],
+                        "contexts": _binary((at % wide).astype("<u2"), bounds),
+                        "counts": _binary(sums[at].astype("<u4"), bounds),
+                    }
+                )
 
     return count
 
 
-def _rare_places(end: int, unknown: int):
-    """(rid, pos, w, before, before_w, after): each rare token between the numbers of its neighbours.
-
-    A neighbour that is rare has the number `unknown`; the hash of such a left one is `before_w`.
-    """
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, before, bounds = _sequences(batch, end)
-            at = np.flatnonzero(ids == unknown)
-            w = batch.column("rare").flatten().to_numpy()
-            owner = np.searchsorted(bounds, at, side="right") - 1
-            last = np.roll(w, 1)
-            beside = before[at] == unknown
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "rid": batch.column("rid").to_numpy()[owner],
-                    "pos": at - bounds[owner],
-                    "w": w,
-                    "before": before[at],
-                    "before_w": pa.array(last, mask=~beside),
-                    "after": ids[np.minimum(at + 1, len(ids) - 1)],
-                }
-            )
-
-    return places
-
-
 def _half(w: np.ndarray) -> np.ndarray:
     """Which of the two rounds of a sweep a word moves in."""
     return (mix(w.view(np.uint64)) & np.uint64(1)).astype(np.int64)
 
 
-class _Edges:
-    """Neighbours of rare training words: numbered ones listed by rare word, and pairs of rare ones."""
-
-    def __init__(self, places: DataFrame, unknown: int):
-        left = places.filter(F.col("before") != unknown).select("w", F.lit(0).alias("side"), F.col("before").alias("id"))
-        right = places.filter(F.col("after") != unknown).select("w", F.lit(1).alias("side"), F.col("after").alias("id"))
-        beside = places.filter(F.col("before") == unknown).select(F.col("before_w").alias("a"), F.col("w").alias("b"))
-        # One list per rare word; a word with rare neighbours only has none. The lists stay where
-        # they are, only classes move to them.
-        listed = stage(
-            left.unionByName(right).groupBy("w").agg(F.collect_list(F.col("id") * 2 + F.col("side")).alias("edges")),
-            "rare-neighbours",
-        )
-        width = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.numbered = listed.repartition(width, "w").persist()
-        self.rare = stage(beside.groupBy("a", "b").agg(F.count("*").alias("n")), "rare-pairs")
-
-    def classed(self, of_rare: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Both tables with the classes of their rare words."""
-        named = lambda x: of_rare.select(F.col("w").alias(x), F.col("class").alias(f"{x}_class"))
-        numbered = self.numbered.join(of_rare, "w")
-        return numbered, self.rare.join(named("a"), "a").join(named("b"), "b").persist()
-
-
-def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Rare word, its class, side and number of the neighbour, for every listed neighbour."""
-    edges = batch.column("edges")
-    sizes = np.diff(edges.offsets.to_numpy())
-    code = edges.flatten().to_numpy().astype(np.int64)
-    w = np.repeat(batch.column("w").to_numpy(), sizes)
-    return w, np.repeat(batch.column("class").to_numpy(), sizes).astype(np.int64), code % 2, code // 2
-
-
-def _edge_pair_counter(of_id: np.ndarray, size: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, dtype=np.int64)
-        for batch in batches:
-            _, own, side, ids = _listed(batch)
-            other = of_id[ids]
-            pair = np.where(side == 0, other * size + own, own * size + other)
-            total += np.bincount(pair, minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"pair": at.astype(np.int64), "n": total[at]})
-
-    return count
-
-
-def _edge_context_counter(words: np.ndarray, of_id: np.ndarray, moving: np.ndarray, size: int, movers):
-    """Contexts of moving rare words beside numbered ones, and of moving numbered words beside rare ones."""
-    wide = 2 * size + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-
-        def counted() -> pa.RecordBatch:
-            return _contexts(words, np.concatenate(held), of_id, size)
-
-        for batch in batches:
-            w, own, side, ids = _listed(batch)
-            open_ = movers(w, own)
-            context = (side * size + of_id[ids])[open_]
-            yield _rare_contexts(w[open_], own[open_], context, np.ones(len(context)))
-            there = moving[ids]
-            held.append((ids * wide + (1 - side) * size + own)[there])
-            total += len(held[-1])
-            if total >= GATHERED:
-                yield counted()
-                held, total = [], 0
-        if total:
-            yield counted()
-
-    return count
-
-
-def _rare_pair_contexts(size: int, movers):
-    """Contexts of moving rare words beside rare ones."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, a_class, b_class, n = (
-                batch.column(c).to_numpy() for c in ("a", "b", "a_class", "b_class", "n")
-            )
-            same = a == b
-            for w, own, other, first, picked in (
-                (b, b_class, a_class, 0, ~same),
-                (a, a_class, b_class, size, ~same),
-                (a, a_class, np.zeros_like(a_class), 2 * size, same),
-            ):
-                picked = picked & movers(w, own)
-                yield _rare_contexts(w[picked], own[picked], (first + other)[picked], n[picked])
-
-    return count
-
-
 def best_classes(table: np.ndarray, classes: int, of: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Class of each word that raises the likelihood most when the word alone moves there.
 
@@ -479,32 +440,36 @@ def best_classes(table: np.ndarray, classes: int, of: np.ndarray, contexts: np.n
     return best
 
 
-def _chooser(table: np.ndarray, classes: int):
-    """Best class of each word; rows come sorted by word."""
+def _chooser(table: np.ndarray, classes: int, of):
+    """New class of each word that moves; rows come sorted by word."""
     wide = 2 * len(table) + 1
 
     def chosen(rows: pa.Table) -> pa.RecordBatch:
-        w, ids, of = (rows.column(c).to_numpy() for c in ("w", "id", "class"))
-        lists = rows.column("contexts").to_pylist()
-        context = np.frombuffer(b"".join(lists), dtype="<u2")
-        n = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<u4")
-        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(w)]))
-        word = np.repeat(word, [len(x) // 2 for x in lists])
+        batch = rows.combine_chunks().to_batches()[0]
+        ids = batch.column("id").to_numpy()
+        context, bounds = _flat(batch.column("contexts"), "<u2")
+        n, _ = _flat(batch.column("counts"), "<u4")
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
+        word = np.repeat(word, np.diff(bounds))
         contexts = np.bincount(word * wide + context, weights=n, minlength=len(starts) * wide)
-        best = best_classes(table, classes, of[starts], contexts.reshape(-1, wide))
-        return pa.RecordBatch.from_pydict(
-            {"w": w[starts], "id": ids[starts], "class": best.astype(np.int32)}
-        )
+        ids = ids[starts]
+        old = of.value[ids].astype(np.int64)
+        # Words of one class that were met in the same contexts go to the same class.
+        alike = np.column_stack([old, contexts.reshape(-1, wide)])
+        alike, place = np.unique(alike, axis=0, return_inverse=True)
+        best = best_classes(table, classes, alike[:, 0].astype(np.int64), alike[:, 1:])[place.ravel()]
+        moves = best != old
+        return pa.RecordBatch.from_pydict({"id": ids[moves], "class": best[moves].astype(np.int32)})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = []
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                rest.append(batch.slice(a, 512))
+            for a in range(0, batch.num_rows, ROWS):
+                rest.append(batch.slice(a, ROWS))
                 part = pa.Table.from_batches(rest)
-                w = part.column("w").to_numpy()
-                last = int(np.searchsorted(w, w[-1]))
+                ids = part.column("id").to_numpy()
+                last = int(np.searchsorted(ids, ids[-1]))
                 if last:
                     yield chosen(part.slice(0, last))
                     rest = part.slice(last).to_batches()
@@ -514,22 +479,32 @@ def _chooser(table: np.ndarray, classes: int):
     return choose
 
 
-def _scorer(of_id, transition, emission, base, end, unknown):
-    """Sums over the numbered words of a text and the transitions between them."""
+def _scorer(of, often, large, transition, of_class, total: int, end: int):
+    """Sums over the tokens of a text."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown = len(of.value) - 1
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, before, bounds = _sequences(batch, end)
-            model = transition[of_id[before], of_id[ids]]
-            model[(ids == unknown) | (before == unknown)] = 0.0
-            model += emission[ids]
+            own = of.value[ids]
+            n = often.value[ids].astype(np.float64)
+            many = np.flatnonzero(n == 255)
+            if len(many):
+                n[many] = large.value[1][np.searchsorted(large.value[0], ids[many])]
+            known = ids != unknown
+            model = transition[of.value[before], own]
+            # A word that training lacks is the only one of its class.
+            model[known] += np.log10(n[known] / of_class[own[known]])
+            base = np.log10((n + 1) / (total + unknown + 1))
             out = batch.drop_columns("ids")
             starts = bounds[:-1]
             for name, values in (
                 ("n_tokens", np.diff(bounds)),
-                ("known", np.add.reduceat((ids != unknown).astype(np.int64), starts)),
-                ("base_part", np.add.reduceat(base[ids], starts)),
-                ("score_part", np.add.reduceat(model, starts)),
+                ("n_known", np.add.reduceat(known.astype(np.int64), starts)),
+                ("base_score", np.add.reduceat(base, starts)),
+                ("score", np.add.reduceat(model, starts)),
             ):
                 out = out.append_column(name, pa.array(values))
             yield out
@@ -537,29 +512,6 @@ def _scorer(of_id, transition, emission, base, end, unknown):
     return score
 
 
-def _rare_scorer(of_id, transition, unknown):
-    """Sums over the rare words of a text, listed by place: their shares and the transitions around."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("rare")
-            items = lists.flatten()
-            own, before, after, share = (
-                items.field(c).to_numpy() for c in ("class", "before", "after", "share")
-            )
-            # The rare word before a rare one is the row before it.
-            left = np.where(before == unknown, np.concatenate([own[:1], own[:-1]]), of_id[before])
-            model = transition[left, own] + share
-            numbered = after != unknown
-            model[numbered] += transition[own[numbered], of_id[after[numbered]]]
-            starts = (lists.offsets.to_numpy() - lists.offsets[0].as_py())[:-1]
-            sums = np.add.reduceat(model, starts) if len(model) else np.zeros(0)
-            out = batch.drop_columns("rare")
-            yield out.append_column("rare_score", pa.array(sums))
-
-    return score
-
-
 def model_scores(
     documents: DataFrame,
     held_out: Column,
@@ -574,167 +526,91 @@ def model_scores(
     and one end per text; a null or empty text is its end alone. base_score is the add-one unigram
     log10 probability, score the class model's. n_known counts tokens that training has. Without
     training rows every token is unknown. Rows without id and repeated rows are scored like any
-    other. Other columns are not read.
+    other, texts of any length as whole ones. An empty table gives an empty result. Other columns are
+    not read. `vocabulary` is the number of words looked up at once; no result depends on it.
     """
-    rows = documents.select(
-        "doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), row_id().alias("rid")
-    )
+    spark = documents.sparkSession
+    send = spark.sparkContext.broadcast
+    rows = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     counts = stage(word_counts(rows.filter(~F.col("held_out"))), "word-counts")
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    lowest, words, n = _vocabulary(counts, vocabulary)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    size, frequent, _ = _vocabulary(counts, head)
+    words = _Words(counts, size, vocabulary)
     encoded = stage(
-        rows.select("doc_id", "held_out", "rid", "text").mapInArrow(
-            _encoder(words),
-            f"doc_id {id_type}, held_out boolean, rid long, ids binary, rare array<long>",
+        rows.select("doc_id", "held_out", "text").mapInArrow(
+            _encoder(words), f"doc_id {id_type}, held_out boolean, ids binary"
         ),
         "encoded",
     )
-    training = encoded.filter(~F.col("held_out"))
-    unknown = len(words)
-    ends = np.flatnonzero(words == END)
-    end = int(ends[0]) if len(ends) else unknown
-
-    places = encoded.filter(F.size("rare") > 0).select("held_out", "rid", "ids", "rare")
-    place_type = "rid long, pos long, w long, before int, before_w long, after int"
-    seen = places.filter(~F.col("held_out")).drop("held_out")
-    rare_counts = counts.filter(_is_rare(lowest))
+    numbers = words.numbers(np.append(frequent, END))
+    words.drop_hashes()
+    end = int(numbers[-1])
+    lists = stage(
+        encoded.filter(~F.col("held_out"))
+        .select("ids")
+        .mapInArrow(_lister(end), LISTS)
+        .repartition("key", "salt")
+        .sortWithinPartitions(F.col("key") % 2, "key")
+        .drop("salt"),
+        "neighbours",
+    )
 
     # Heads keep their number; all other words share one, ends another.
-    head = min(head, unknown)
-    of_id = np.minimum(np.arange(unknown + 1), head)
-    of_id[end] = head + 1
-    of_head = exchange(_pairs(training, of_id, head + 2, end), classes)
+    head = len(frequent)
+    value = np.full(size + 1, head, dtype=np.uint16)
+    value[numbers[:-1]] = np.arange(head)
+    value[end] = head + 1
     rare_class, end_class, k = classes, classes + 1, classes + 2
-    of_id = of_head[of_id]
-    of_id[end], of_id[unknown] = end_class, rare_class
-    if len(words) < size["v"]:
-        edges = _Edges(seen.mapInArrow(_rare_places(end, unknown), place_type), unknown)
-    else:
-        edges = None
-    of_rare = rare_counts.select("w", F.lit(rare_class).alias("class"))
-
-    def joined(of_rare: DataFrame) -> tuple[DataFrame, ...]:
-        return edges.classed(of_rare) if edges else ()
-
-    def transitions(of_id: np.ndarray, classed: tuple[DataFrame, ...]) -> np.ndarray:
-        # Pairs with a rare word come from the tables of neighbours.
-        apart = of_id.copy()
-        apart[unknown] = k
-        table = _pairs(training, apart, k + 1, end)[:k, :k]
-        if classed:
-            listed = classed[0].mapInArrow(_edge_pair_counter(of_id, k), "pair long, n long")
-            beside = classed[1].select((F.col("a_class") * k + F.col("b_class")).cast("long").alias("pair"), "n")
-            for r in listed.unionByName(beside).groupBy("pair").agg(F.sum("n").alias("n")).collect():
-                table[divmod(r["pair"], k)] += r["n"]
-        return table
-
-    def moved(of_id, of_rare, classed, table, half):
-        """Classes after a round: of the words without a class, or of a half of all words."""
-
-        def movers(w: np.ndarray, own: np.ndarray) -> np.ndarray:
-            return own == rare_class if half is None else _half(w) == half
+    of = exchange(_pairs(lists, send(value), head + 2), classes).astype(np.uint8)[value]
+    of[end], of[size] = end_class, rare_class
 
-        moving = np.append(movers(words, of_id[:unknown]), False)
+    def moved(of: np.ndarray, sent, table: np.ndarray, half: int | None) -> np.ndarray:
+        """Classes after a round: of the words without a class, or of a half of all words."""
+        moving = np.append(of[:-1] == rare_class if half is None else words.halves == half, False)
         moving[end] = False
-        found = training.select("ids").mapInArrow(
-            _context_counter(words, of_id, moving, k, end), CONTEXTS
-        )
-        if classed:
-            found = found.unionByName(
-                classed[0].mapInArrow(_edge_context_counter(words, of_id, moving, k, movers), CONTEXTS)
-            ).unionByName(classed[1].mapInArrow(_rare_pair_contexts(k, movers), CONTEXTS))
+        picked = send(moving.astype(np.uint8))
         chosen = stage(
-            found.repartition("w")
-            .sortWithinPartitions("w")
-            .mapInArrow(_chooser(table, classes), "w long, id int, class int"),
+            lists.mapInArrow(_context_counter(sent, picked, k), CONTEXTS)
+            .repartition("id")
+            .sortWithinPartitions("id")
+            .mapInArrow(_chooser(table, classes, sent), "id long, class int"),
             "classes",
         )
-        numbered = chosen.filter("id >= 0").select("id", "class").toArrow()
-        of_id = of_id.copy()
-        of_id[numbered.column("id").to_numpy()] = numbered.column("class").to_numpy()
-        if classed:
-            new = chosen.filter("id < 0").select("w", F.col("class").alias("new"))
-            of_rare = stage(
-                of_rare.join(new, "w", "left").select("w", F.coalesce("new", "class").alias("class")),
-                "rare-classes",
-            )
-        return of_id, of_rare
-
-    classed = joined(of_rare)
-    moves = transitions(of_id, classed)
+        picked.unpersist()
+        of = of.copy()
+        for a in range(0, size, vocabulary):
+            new = chosen.filter(F.col("id").between(a, a + vocabulary - 1)).toArrow()
+            of[new.column("id").to_numpy()] = new.column("class").to_numpy()
+        return of
+
+    sent = send(of)
+    moves = _pairs(lists, sent, k)
     for half in (None, *(0, 1) * SWEEPS):
-        new_id, new_rare = moved(of_id, of_rare, classed, moves, half)
-        new_classed = joined(new_rare)
-        table = transitions(new_id, new_classed)
-        better = half is None or likelihood(table) > likelihood(moves)
-        for x in (classed if better else new_classed)[1:]:
-            x.unpersist()
-        if better:
-            of_id, of_rare, classed, moves = new_id, new_rare, new_classed, table
-    if edges:
-        classed[1].unpersist()
-        edges.numbered.unpersist()
+        new = moved(of, sent, moves, half)
+        new_sent = send(new)
+        table = _pairs(lists, new_sent, k)
+        if half is None or likelihood(table) > likelihood(moves):
+            sent.unpersist()
+            of, sent, moves = new, new_sent, table
+        else:
+            new_sent.unpersist()
 
     transition = np.log10(
         (moves + TRANSITION_PRIOR) / (moves.sum(axis=1, keepdims=True) + TRANSITION_PRIOR * k)
     )
     # Every token of a class follows another token.
-    of_class = moves.sum(axis=0)
-    emission = np.zeros(unknown + 1)
-    emission[:unknown] = np.log10(n / of_class[of_id[:unknown]])
-    total, types = int(size["n"]), int(size["v"])
-    base = np.zeros(unknown + 1)
-    base[:unknown] = np.log10((n + 1) / (total + types + 1))
-
-    scored = encoded.select("doc_id", "held_out", "rid", "ids").mapInArrow(
-        _scorer(of_id, transition, emission, base, end, unknown),
-        f"doc_id {id_type}, held_out boolean, rid long, n_tokens long, known long, "
-        "base_part double, score_part double",
-    )
-    count = F.coalesce("n", F.lit(0))
-    sizes = F.element_at(F.array(*[F.lit(float(x)) for x in of_class]), F.col("class") + 1)
-    classes_of = of_rare.join(rare_counts, "w").select("w", "n", "class", F.log10(F.col("n") / sizes).alias("share"))
-    # A word that training lacks is the only one of its class.
-    listed = F.struct(
-        "pos",
-        F.coalesce("class", F.lit(rare_class)).alias("class"),
-        "before",
-        "after",
-        F.coalesce("share", F.lit(0.0)).alias("share"),
-        count.alias("n"),
-    )
-    found = (
-        places.drop("held_out")
-        .mapInArrow(_rare_places(end, unknown), place_type)
-        .drop("before_w")
-        .join(classes_of, "w", "left")
-        .groupBy("rid")
-        # Rows with equal id and text have equal words, which the set holds once.
-        .agg(F.sort_array(F.collect_set(listed)).alias("rare"))
+    scored = encoded.mapInArrow(
+        _scorer(sent, send(np.append(words.counts, np.uint8(0))), send(words.large), transition, moves.sum(axis=0), total, end),
+        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
-    add = lambda f: F.aggregate("rare", F.lit(0.0), lambda total, x: total + f(x))
-    rare = found.select(
-        "rid",
-        F.size(F.filter("rare", lambda x: x["n"] > 0)).alias("rare_known"),
-        add(lambda x: F.log10((x["n"] + 1) / F.lit(float(total + types + 1)))).alias("rare_base"),
-        "rare",
-    ).mapInArrow(
-        _rare_scorer(of_id, transition, unknown),
-        "rid long, rare_known int, rare_base double, rare_score double",
-    )
-
-    def with_rare(part: str, name: str) -> Column:
-        return F.col(part) + F.coalesce(F.col(name), F.lit(0))
-
-    score = with_rare("score_part", "rare_score")
-    return scored.join(rare, "rid", "left").select(
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        with_rare("known", "rare_known").cast("long").alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        with_rare("base_part", "rare_base").alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
