@@ -1,9 +1,10 @@
 """Scoring by a class-based bigram model.
 
-1. Words of the training documents are counted and numbered by rising hash. Documents are written
-   once as numbers. Words are looked up in blocks of `VOCABULARY` words, one block in memory at a time.
-2. The neighbours of every training word, left and right, are listed once, by word. A word with many
-   neighbours has many rows, dealt over the partitions.
+1. Words of the training documents are counted. The `FREQUENT` most frequent ones are numbered by
+   falling count, the others after them by rising hash. Documents are written once as numbers; words
+   are looked up in blocks of `VOCABULARY` words, one block in memory at a time.
+2. The neighbours of every training word, left and right, are listed once: words are dealt to
+   buckets, and equal neighbours in a bucket are summed. A word with many neighbours is dealt in pieces.
 3. Classes begin with an exchange of the `HEAD` most frequent words on the driver, over the
    HEAD x HEAD table of neighbours of all training tokens. Every other word is then placed into the
    class that raises the likelihood of the class bigrams most.
@@ -14,6 +15,8 @@
 5. Class transitions are counted over all training tokens. A word's probability is that of its
    class after the last word's class, times its share of the class.
 
+The words of up to 254 tokens lie whole in one row of lists, so tasks choose their classes at once;
+those of the others are chosen after their contexts, at most two per class and row, are gathered.
 Tasks know all classes: one byte for each distinct training word is sent to them, and one for its count.
 """
 
@@ -38,9 +41,16 @@ PASSES = 4
 SWEEPS = 2
 #: Words gathered before they are counted and sent on.
 GATHERED = 1 << 21
-#: Neighbours in one row of a word's list, and rows worked on at a time.
+#: Words numbered by count.
+FREQUENT = 1 << 16
+#: Neighbours of a word that are dealt to one bucket, and tokens for each bucket.
 PIECE = 1024
+BUCKET = 1 << 21
+#: Entries in a row of lists, and rows of contexts worked on at a time.
+ENTRIES = 1 << 14
 ROWS = 512
+#: A count in one byte; it stands for all larger ones too.
+MANY = 255
 TRANSITION_PRIOR = 0.1
 #: Hash of the end of a document, apart from words.
 END = np.uint64(0xD1B54A32D192ED03)
@@ -96,42 +106,67 @@ def _vocabulary(counts: DataFrame, bound: int) -> tuple[int, np.ndarray, np.ndar
 
 
 class _Words:
-    """All training words by rising hash; a word's number is its place.
+    """Numbers of the training words: the frequent ones by falling count, then all others by hash.
 
-    Hashes are sent to tasks in blocks of about `block` words. The driver sees one block at a time and
-    keeps what it needs of each word: in which round it moves, and its count in a byte (large counts
-    are listed apart).
+    Hashes of the others are sent to tasks in blocks of about `block` words. The driver sees one block
+    at a time and keeps what it needs of each word: in which round it moves, and its count in a byte
+    (large counts are listed apart).
     """
 
-    def __init__(self, counts: DataFrame, size: int, block: int):
+    def __init__(self, counts: DataFrame, size: int, block: int, frequent: np.ndarray, n: np.ndarray):
         context = counts.sparkSession.sparkContext
+        frequent = frequent.view(np.int64)
+        self.order = np.argsort(frequent)
+        self.top = frequent[self.order]
         blocks = max(1, -(-size // block))
         edges = [(k << 64) // blocks - (1 << 63) for k in range(blocks + 1)]
         self.edges = np.array(edges[1:-1], dtype=np.int64)
-        self.parts, self.starts, halves, n = [], [0], [], []
-        large = []
+        self.parts, self.starts = [], [len(frequent)]
+        halves, small, large = [], [], []
+
+        def keep(words: np.ndarray, often: np.ndarray, start: int) -> None:
+            at = np.flatnonzero(often >= MANY)
+            large.append((at + start, often[at]))
+            halves.append(_half(words).astype(np.uint8))
+            small.append(np.minimum(often, MANY).astype(np.uint8))
+
+        keep(frequent, n, 0)
         for low, high in zip(edges, edges[1:]):
             table = counts.filter(F.col("w").between(low, high - 1)).toArrow()
             words = table.column("w").to_numpy()
             order = np.argsort(words)
             words, often = words[order], table.column("n").to_numpy()[order]
-            at = np.flatnonzero(often >= 255)
-            large.append((at + self.starts[-1], often[at]))
-            halves.append(_half(words).astype(np.uint8))
-            n.append(np.minimum(often, 255).astype(np.uint8))
-            self.starts.append(self.starts[-1] + len(words))
-            self.parts.append(context.broadcast(words))
+            rest = ~self._is_top(words)[1]
+            keep(words[rest], often[rest], self.starts[-1])
+            self.starts.append(self.starts[-1] + int(rest.sum()))
+            self.parts.append(context.broadcast(words[rest]))
         self.size = self.starts[-1]
-        self.halves, self.counts = np.concatenate(halves), np.concatenate(n)
+        self.halves, self.counts = np.concatenate(halves), np.concatenate(small)
         self.large = tuple(np.concatenate(x) for x in zip(*large))
 
+    def _is_top(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.top):
+            return np.zeros(len(tokens), dtype=np.int64), np.zeros(len(tokens), dtype=bool)
+        place = np.minimum(np.searchsorted(self.top, tokens), len(self.top) - 1)
+        return place, self.top[place] == tokens
+
+    def for_tasks(self) -> _Words:
+        """What the lookup needs, without the tables of the driver."""
+        out = _Words.__new__(_Words)
+        for name in ("top", "order", "edges", "parts", "starts", "size"):
+            setattr(out, name, getattr(self, name))
+        return out
+
     def numbers(self, tokens: np.ndarray) -> np.ndarray:
         """The number of each hash; `size` for an unknown one."""
         tokens = tokens.view(np.int64)
-        out = np.full(len(tokens), self.size, dtype="<u4")
-        block = np.searchsorted(self.edges, tokens, side="right")
+        out = np.full(len(tokens), self.size, dtype=np.uint32)
+        place, top = self._is_top(tokens)
+        out[top] = self.order[place[top]]
+        rest = np.flatnonzero(~top)
+        block = np.searchsorted(self.edges, tokens[rest], side="right")
         for k, part in enumerate(self.parts):
-            at = np.flatnonzero(block == k) if len(self.parts) > 1 else np.arange(len(tokens))
+            at = rest[block == k]
             words = part.value
             if len(words) and len(at):
                 place = np.minimum(np.searchsorted(words, tokens[at]), len(words) - 1)
@@ -148,17 +183,14 @@ class _Words:
 
 
 def _encoder(words: _Words):
-    lookup = _Words.__new__(_Words)
-    lookup.edges, lookup.parts, lookup.starts, lookup.size = words.edges, words.parts, words.starts, words.size
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
         def encoded() -> Iterator[pa.RecordBatch]:
-            numbers = lookup.numbers(np.concatenate([tokens for _, tokens, _ in held]))
+            numbers = words.numbers(np.concatenate([tokens for _, tokens, _ in held]))
             at = 0
             for batch, tokens, bounds in held:
-                yield batch.append_column("ids", _binary(numbers[at : at + len(tokens)], bounds))
+                yield _with_numbers(batch, numbers[at : at + len(tokens)], bounds)
                 at += len(tokens)
 
         for batch in batches:
@@ -174,6 +206,23 @@ def _encoder(words: _Words):
     return encode
 
 
+#: Numbers are stored as two halves. Most words are frequent: their upper halves are zeros, which
+#: cost next to nothing in a file.
+NUMBERS = "low binary, high binary"
+
+
+def _with_numbers(batch: pa.RecordBatch, numbers: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    low = _binary((numbers & 0xFFFF).astype(np.uint16), bounds)
+    high = _binary((numbers >> 16).astype(np.uint16), bounds)
+    return batch.append_column("low", low).append_column("high", high)
+
+
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    low, bounds = _flat(batch.column("low"), "<u2")
+    high, _ = _flat(batch.column("high"), "<u2")
+    return low | (high.astype(np.uint32) << np.uint32(16)), bounds
+
+
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Runs of an array as binary values."""
     offsets = pa.py_buffer((np.asarray(bounds) * values.itemsize).astype(np.int32).tobytes())
@@ -192,49 +241,68 @@ def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _sequences(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of all tokens of a batch, that of the token before each, and the texts' bounds."""
-    ids, bounds = _flat(batch.column("ids"), "<u4")
+    ids, bounds = _numbers(batch)
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[bounds[:-1]] = end
     return ids, before, bounds
 
 
-LISTS = "key long, salt int, beside binary, counts binary"
+PARTS = f"bucket int, keys binary, counts binary, {NUMBERS}"
+LISTS = f"frequent boolean, keys binary, sizes binary, counts binary, {NUMBERS}"
+
 
+def _summed(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal codes as one, with their number or the sum of their counts."""
+    if n is None:
+        return np.unique(code, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n[order].astype(np.int64), first)
 
-def _lister(end: int):
-    """Rows of neighbours of each word: key is 2 * word, plus 1 for those to its right.
+
+def _in_bytes(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with counts of a byte each: a larger one is spread over several entries."""
+    times = (n + 254) // 255
+    counts = np.full(int(times.sum()), 255, dtype=np.uint8)
+    counts[np.cumsum(times) - 1] = n - 255 * (times - 1)
+    return np.repeat(code, times), counts
+
+
+def _rows(code: np.ndarray, bounds: np.ndarray, counts: np.ndarray, **columns) -> pa.RecordBatch:
+    batch = pa.RecordBatch.from_pydict(columns | {"counts": _binary(counts, bounds)})
+    return _with_numbers(batch, code.astype(np.uint32), bounds)
+
+
+def _lister(end: int, buckets: int):
+    """Neighbours of words by bucket, coded as key and neighbour; a key is 2 * word, plus 1 for the right.
 
     The end of a text never moves, and a word beside itself is met from its left already, so neither
-    has a list to the right of these. A count above 255 is spread over several entries.
+    has a list to the right of these.
     """
+    one, low = np.uint64(1), np.uint64(32)
 
-    def listed(ids: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+    def dealt(ids: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
         ids, before = ids.astype(np.uint64), before.astype(np.uint64)
         right = (before != end) & (before != ids)
-        one, low = np.uint64(1), np.uint64(32)
-        code = np.concatenate(
-            [(ids << np.uint64(33)) | before, (((before[right] << one) | one) << low) | ids[right]]
+        left = (ids << np.uint64(33)) | before
+        code, counts = _in_bytes(
+            *_summed(np.concatenate([left, (((before[right] << one) | one) << low) | ids[right]]))
         )
-        code, n = np.unique(code, return_counts=True)
-        times = (n + 254) // 255
-        rest = n - 255 * (times - 1)
-        code = np.repeat(code, times)
-        counts = np.full(len(code), 255, dtype=np.uint8)
-        counts[np.cumsum(times) - 1] = rest
         key = (code >> low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        rank = np.arange(len(key)) - np.repeat(first, np.diff([*first, len(key)]))
-        starts = np.flatnonzero(rank % PIECE == 0)
+        piece = (np.arange(len(key)) - np.repeat(first, np.diff([*first, len(key)]))) // PIECE
+        bucket = (key // 2 + piece * 40503) % buckets
+        order = np.argsort(bucket, kind="stable")
+        bucket, code, key, counts = bucket[order], code[order], key[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        # Keys rise within a bucket; steps are small.
+        step = np.diff(key, prepend=0)
+        step[starts] = key[starts]
         bounds = np.append(starts, len(key))
-        return pa.RecordBatch.from_pydict(
-            {
-                "key": key[starts],
-                "salt": (rank[starts] // PIECE).astype(np.int32),
-                "beside": _binary(code.astype("<u4"), bounds),
-                "counts": _binary(counts, bounds),
-            }
-        )
+        names = {"bucket": bucket[starts].astype(np.int32), "keys": _binary(step.astype("<u4"), bounds)}
+        return _rows(code, bounds, counts, **names)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -246,21 +314,76 @@ def _lister(end: int):
                 held.append((ids[a : a + GATHERED], before[a : a + GATHERED]))
                 total += len(held[-1][0])
                 if total >= GATHERED:
-                    yield listed(*map(np.concatenate, zip(*held)))
+                    yield dealt(*map(np.concatenate, zip(*held)))
                     held, total = [], 0
         if held:
-            yield listed(*map(np.concatenate, zip(*held)))
+            yield dealt(*map(np.concatenate, zip(*held)))
 
     return lists
 
 
+def _merger(often):
+    """Lists of whole buckets, in rows of about `ENTRIES` entries; parts come sorted by bucket.
+
+    A row does not end within an infrequent word.
+    """
+
+    def packed(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        code, counts = _in_bytes(code, n)
+        key = (code >> np.uint64(32)).astype(np.int64)
+        frequent = often.value[key // 2] == MANY
+        for kind in (False, True):
+            at = np.flatnonzero(frequent == kind)
+            if not len(at):
+                continue
+            own = key[at]
+            # Ends of words, then the first end past each multiple of the size.
+            ends = np.append(np.flatnonzero(own[1:] // 2 != own[:-1] // 2) + 1, len(own))
+            if kind:
+                ends = np.unique(np.append(ends, np.arange(ENTRIES, len(own), ENTRIES)))
+            wanted = np.searchsorted(ends, np.arange(ENTRIES, len(own) + ENTRIES, ENTRIES))
+            ends = np.unique(ends[np.minimum(wanted, len(ends) - 1)])
+            for a, b in zip([0, *ends], ends):
+                names, first = np.unique(own[a:b], return_index=True)
+                sizes = np.diff([*first, b - a]).astype("<u4")
+                whole = np.array([0, len(names)])
+                yield _rows(
+                    code[at[a:b]],
+                    np.array([0, b - a]),
+                    counts[at[a:b]],
+                    frequent=[kind],
+                    keys=_binary(names.astype("<u4"), whole),
+                    sizes=_binary(sizes, whole),
+                )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, codes, counts = None, [], []
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            if codes:
+                yield from packed(*_summed(np.concatenate(codes), np.concatenate(counts)))
+
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != last:
+                    yield from merged()
+                    last, codes, counts = bucket, [], []
+                row = batch.slice(k, 1)
+                key = np.cumsum(_flat(row.column("keys"), "<u4")[0], dtype=np.uint64)
+                codes.append((key << np.uint64(32)) | _numbers(row)[0])
+                counts.append(_flat(row.column("counts"), "u1")[0])
+        yield from merged()
+
+    return merge
+
+
 def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """Keys of some rows; and row, neighbour and count of every entry in them."""
-    for a in range(0, batch.num_rows, ROWS):
-        part = batch.slice(a, ROWS)
-        beside, bounds = _flat(part.column("beside"), "<u4")
-        counts, _ = _flat(part.column("counts"), "u1")
-        yield part.column("key").to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(bounds)), beside, counts
+    """For each row: its keys; and place of the key, neighbour and count of every entry."""
+    for k in range(batch.num_rows):
+        row = batch.slice(k, 1)
+        key = _flat(row.column("keys"), "<u4")[0].astype(np.int64)
+        sizes = _flat(row.column("sizes"), "<u4")[0]
+        yield key, np.repeat(np.arange(len(key)), sizes), _numbers(row)[0], _flat(row.column("counts"), "u1")[0]
 
 
 def _pair_counter(of, size: int):
@@ -270,8 +393,9 @@ def _pair_counter(of, size: int):
         total = np.zeros(size * size)
         for batch in batches:
             for key, row, beside, n in _entries(batch):
-                own = of.value[key // 2].astype(np.int64)[row]
-                np.add.at(total, of.value[beside].astype(np.int64) * size + own, n)
+                left = (key % 2 == 0)[row]
+                own = of.value[key // 2].astype(np.int64)[row[left]]
+                np.add.at(total, of.value[beside[left]].astype(np.int64) * size + own, n[left])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": at.astype(np.int64), "n": total[at].astype(np.int64)})
 
@@ -280,8 +404,7 @@ def _pair_counter(of, size: int):
 
 def _pairs(lists: DataFrame, of, size: int) -> np.ndarray:
     table = (
-        lists.filter("key % 2 = 0")
-        .mapInArrow(_pair_counter(of, size), "pair long, n long")
+        lists.mapInArrow(_pair_counter(of, size), "pair long, n long")
         .groupBy("pair")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -358,43 +481,74 @@ def likelihood(table: np.ndarray) -> float:
 CONTEXTS = "id long, contexts binary, counts binary"
 
 
-def _context_counter(of, moving, size: int):
-    """Contexts of the moving words: classes to the left (below `size`) and to the right, and own.
-
-    A word next to itself counts once, as own context (2 * size).
-    """
+def _contexts(entries, of, moving, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The moving words of a row of lists, and their contexts: classes to the left (below `size`) and
+    to the right, and own. A word next to itself counts once, as own context (2 * size)."""
+    key, row, beside, n = entries
+    ids = key // 2
+    names = np.unique(ids[moving.value[ids] != 0])
+    word = np.full(len(key), -1)
+    picked = moving.value[ids] != 0
+    word[picked] = np.searchsorted(names, ids[picked])
+    at = picked[row]
+    row, beside, n = row[at], beside[at], n[at]
+    context = of.value[beside].astype(np.int64) + size * (key % 2)[row]
+    context[beside == ids[row]] = 2 * size
     wide = 2 * size + 1
+    sums = np.bincount(word[row] * wide + context, weights=n, minlength=len(names) * wide)
+    return names, sums.reshape(-1, wide)
+
+
+def _context_counter(of, moving, size: int):
+    """Contexts of the moving words, as far as a row of lists has them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, row, beside, n in _entries(batch):
-                ids, right = key // 2, key % 2
-                picked = moving.value[ids] != 0
-                if not picked.any():
+            for entries in _entries(batch):
+                names, contexts = _contexts(entries, of, moving, size)
+                if not len(names):
                     continue
-                # Rows come sorted by side and word: those of one word follow each other.
-                word = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-                names = ids[np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))]
-                at = picked[row]
-                row, beside, n = row[at], beside[at], n[at]
-                context = of.value[beside] + size * right[row]
-                context[beside == ids[row]] = 2 * size
-                sums = np.bincount(word[row] * wide + context, weights=n, minlength=len(names) * wide)
-                at = np.flatnonzero(sums)
-                bounds = np.searchsorted(at // wide, np.arange(len(names) + 1))
-                moved = np.diff(bounds) > 0
-                bounds = np.append(bounds[:-1][moved], len(at))
+                row, context = np.nonzero(contexts)
+                bounds = np.searchsorted(row, np.arange(len(names) + 1))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": names[moved],
-                        "contexts": _binary((at % wide).astype("<u2"), bounds),
-                        "counts": _binary(sums[at].astype("<u4"), bounds),
+                        "id": names,
+                        "contexts": _binary(context.astype("<u2"), bounds),
+                        "counts": _binary(contexts[row, context].astype("<u4"), bounds),
                     }
                 )
 
     return count
 
 
+MOVES = "id long, class int"
+
+
+def _moves(ids: np.ndarray, contexts: np.ndarray, table: np.ndarray, classes: int, of) -> pa.RecordBatch:
+    """New class of each word that moves."""
+    old = of.value[ids].astype(np.int64)
+    best = np.empty_like(old)
+    for a in range(0, len(ids), ROWS):
+        # Words of one class that were met in the same contexts go to the same class.
+        alike = np.column_stack([old[a : a + ROWS], contexts[a : a + ROWS]])
+        alike, place = np.unique(alike, axis=0, return_inverse=True)
+        best[a : a + ROWS] = best_classes(table, classes, alike[:, 0].astype(np.int64), alike[:, 1:])[place.ravel()]
+    moves = best != old
+    return pa.RecordBatch.from_pydict({"id": ids[moves], "class": best[moves].astype(np.int32)})
+
+
+def _whole_chooser(table: np.ndarray, classes: int, of, moving):
+    """New classes of words that lie whole in one row of lists."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entries in _entries(batch):
+                names, contexts = _contexts(entries, of, moving, len(table))
+                yield _moves(names, contexts, table, classes, of)
+
+    return choose
+
+
 def _half(w: np.ndarray) -> np.ndarray:
     """Which of the two rounds of a sweep a word moves in."""
     return (mix(w.view(np.uint64)) & np.uint64(1)).astype(np.int64)
@@ -441,7 +595,7 @@ def best_classes(table: np.ndarray, classes: int, of: np.ndarray, contexts: np.n
 
 
 def _chooser(table: np.ndarray, classes: int, of):
-    """New class of each word that moves; rows come sorted by word."""
+    """New classes of words whose contexts come in several rows, sorted by word."""
     wide = 2 * len(table) + 1
 
     def chosen(rows: pa.Table) -> pa.RecordBatch:
@@ -453,14 +607,7 @@ def _chooser(table: np.ndarray, classes: int, of):
         word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
         word = np.repeat(word, np.diff(bounds))
         contexts = np.bincount(word * wide + context, weights=n, minlength=len(starts) * wide)
-        ids = ids[starts]
-        old = of.value[ids].astype(np.int64)
-        # Words of one class that were met in the same contexts go to the same class.
-        alike = np.column_stack([old, contexts.reshape(-1, wide)])
-        alike, place = np.unique(alike, axis=0, return_inverse=True)
-        best = best_classes(table, classes, alike[:, 0].astype(np.int64), alike[:, 1:])[place.ravel()]
-        moves = best != old
-        return pa.RecordBatch.from_pydict({"id": ids[moves], "class": best[moves].astype(np.int32)})
+        return _moves(ids[starts], contexts.reshape(-1, wide), table, classes, of)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = []
@@ -490,7 +637,7 @@ def _scorer(of, often, large, transition, of_class, total: int, end: int):
             ids, before, bounds = _sequences(batch, end)
             own = of.value[ids]
             n = often.value[ids].astype(np.float64)
-            many = np.flatnonzero(n == 255)
+            many = np.flatnonzero(n == MANY)
             if len(many):
                 n[many] = large.value[1][np.searchsorted(large.value[0], ids[many])]
             known = ids != unknown
@@ -498,7 +645,7 @@ def _scorer(of, often, large, transition, of_class, total: int, end: int):
             # A word that training lacks is the only one of its class.
             model[known] += np.log10(n[known] / of_class[own[known]])
             base = np.log10((n + 1) / (total + unknown + 1))
-            out = batch.drop_columns("ids")
+            out = batch.drop_columns(["low", "high"])
             starts = bounds[:-1]
             for name, values in (
                 ("n_tokens", np.diff(bounds)),
@@ -535,31 +682,30 @@ def model_scores(
     id_type = rows.schema["doc_id"].dataType.simpleString()
     counts = stage(word_counts(rows.filter(~F.col("held_out"))), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    size, frequent, _ = _vocabulary(counts, head)
-    words = _Words(counts, size, vocabulary)
+    size, frequent, n = _vocabulary(counts, max(FREQUENT, head))
+    words = _Words(counts, size, vocabulary, frequent, n)
     encoded = stage(
         rows.select("doc_id", "held_out", "text").mapInArrow(
-            _encoder(words), f"doc_id {id_type}, held_out boolean, ids binary"
+            _encoder(words.for_tasks()), f"doc_id {id_type}, held_out boolean, {NUMBERS}"
         ),
         "encoded",
     )
-    numbers = words.numbers(np.append(frequent, END))
+    end = int(words.numbers(np.array([END]))[0])
     words.drop_hashes()
-    end = int(numbers[-1])
+    often = send(np.append(words.counts, np.uint8(0)))
     lists = stage(
         encoded.filter(~F.col("held_out"))
-        .select("ids")
-        .mapInArrow(_lister(end), LISTS)
-        .repartition("key", "salt")
-        .sortWithinPartitions(F.col("key") % 2, "key")
-        .drop("salt"),
+        .select("low", "high")
+        .mapInArrow(_lister(end, max(1, total // BUCKET)), PARTS)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_merger(often), LISTS),
         "neighbours",
     )
 
     # Heads keep their number; all other words share one, ends another.
-    head = len(frequent)
-    value = np.full(size + 1, head, dtype=np.uint16)
-    value[numbers[:-1]] = np.arange(head)
+    head = min(head, size)
+    value = np.minimum(np.arange(size + 1), head).astype(np.uint16)
     value[end] = head + 1
     rare_class, end_class, k = classes, classes + 1, classes + 2
     of = exchange(_pairs(lists, send(value), head + 2), classes).astype(np.uint8)[value]
@@ -570,13 +716,15 @@ def model_scores(
         moving = np.append(of[:-1] == rare_class if half is None else words.halves == half, False)
         moving[end] = False
         picked = send(moving.astype(np.uint8))
-        chosen = stage(
-            lists.mapInArrow(_context_counter(sent, picked, k), CONTEXTS)
+        whole = lists.filter("NOT frequent").mapInArrow(_whole_chooser(table, classes, sent, picked), MOVES)
+        others = (
+            lists.filter("frequent")
+            .mapInArrow(_context_counter(sent, picked, k), CONTEXTS)
             .repartition("id")
             .sortWithinPartitions("id")
-            .mapInArrow(_chooser(table, classes, sent), "id long, class int"),
-            "classes",
+            .mapInArrow(_chooser(table, classes, sent), MOVES)
         )
+        chosen = stage(whole.unionByName(others), "classes")
         picked.unpersist()
         of = of.copy()
         for a in range(0, size, vocabulary):
@@ -601,7 +749,7 @@ def model_scores(
     )
     # Every token of a class follows another token.
     scored = encoded.mapInArrow(
-        _scorer(sent, send(np.append(words.counts, np.uint8(0))), send(words.large), transition, moves.sum(axis=0), total, end),
+        _scorer(sent, often, send(words.large), transition, moves.sum(axis=0), total, end),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.select(
