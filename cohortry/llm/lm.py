@@ -527,12 +527,13 @@ MOVES = "id long, class int"
 def _moves(ids: np.ndarray, contexts: np.ndarray, table: np.ndarray, classes: int, of) -> pa.RecordBatch:
     """New class of each word that moves."""
     old = of.value[ids].astype(np.int64)
-    best = np.empty_like(old)
-    for a in range(0, len(ids), ROWS):
-        # Words of one class that were met in the same contexts go to the same class.
-        alike = np.column_stack([old[a : a + ROWS], contexts[a : a + ROWS]])
-        alike, place = np.unique(alike, axis=0, return_inverse=True)
-        best[a : a + ROWS] = best_classes(table, classes, alike[:, 0].astype(np.int64), alike[:, 1:])[place.ravel()]
+    # Words of one class that were met in the same contexts go to the same class.
+    alike, place = np.unique(np.column_stack([old, contexts]), axis=0, return_inverse=True)
+    best = np.empty(len(alike), dtype=np.int64)
+    for a in range(0, len(alike), ROWS):
+        part = alike[a : a + ROWS]
+        best[a : a + ROWS] = best_classes(table, classes, part[:, 0].astype(np.int64), part[:, 1:])
+    best = best[place.ravel()]
     moves = best != old
     return pa.RecordBatch.from_pydict({"id": ids[moves], "class": best[moves].astype(np.int32)})
 

@@ -217,9 +217,14 @@ def test_language_model_looks_up_rare_words(spark):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
 
 
-def test_language_model_exchanges_all_words(spark):
-    """Far more words than head words, in rounds of plain moves that each compute the whole likelihood."""
+@pytest.mark.parametrize("copies", [1, 6])
+def test_language_model_exchanges_all_words(spark, copies):
+    """Far more words than head words, in rounds of plain moves that each compute the whole likelihood.
+
+    Six times as many documents have words with counts that do not fit a byte.
+    """
     docs, classes, head = skewed_docs(), 3, 4
+    docs = [(i + 1000 * k, text) for k in range(copies) for i, text in docs]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {
         r["doc_id"]: r["score"]
