@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: every ASCII character that is no digit and no letter a-z.
@@ -23,6 +23,14 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(fold_ascii(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), "")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_id() -> Column:
     """One number for a row of documents: rows with the same id and text share it."""
     return F.xxhash64("doc_id", "text")

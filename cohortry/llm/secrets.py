@@ -7,7 +7,7 @@ scanned by expressions alone and only lengths leave the scan.
 Parts play one of three roles: access identifier, secret, endpoint. Strong parts (assignments,
 access keys, long hexadecimal runs) are reported always. A weak identifier, key-like string or
 endpoint is reported only if parts of complementary roles lie in the same scope (a stretch of text
-without a blank line) within `REACH` characters: found by an interval join over bins of that size.
+without a blank line), however far apart.
 """
 
 from __future__ import annotations
@@ -16,9 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage
-from cohortry.llm.native import row_id
-
-REACH = 200
+from cohortry.llm.native import free_name, row_id
 
 # The strong patterns. The second group is the value, and must have so many
 # characters; the order of the kinds is the order in reports.
@@ -95,25 +93,16 @@ def _scoped(found: DataFrame) -> DataFrame:
     return found.withColumn("scope", scope).filter("kind != 'break'")
 
 
-def linked_weak(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """The weak ones among `found` (parts and breaks) that complementary parts accompany."""
+def linked_weak(found: DataFrame) -> DataFrame:
+    """The weak ones among `found` (parts and breaks) that complementary parts accompany.
+
+    A scope is joined to its parts as an interval of the text; what it holds is known before the join,
+    so a scope of very many parts is never paired with itself.
+    """
     role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
-    scoped = _scoped(found).withColumn("role", role[F.col("kind")]).withColumn(
-        "bin", F.floor(F.col("begin") / reach)
-    )
-    weak = scoped.filter(F.col("kind").isin(*WEAK)).select("rid", "scope", "bin", "kind", "role", "begin", "end")
-    near = scoped.select(
-        "rid",
-        "scope",
-        F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"),
-        F.col("role").alias("other"),
-        F.col("begin").alias("at"),
-    ).distinct()
-    joined = weak.join(near, ["rid", "scope", "bin"]).filter(
-        (F.abs(F.col("begin") - F.col("at")) <= reach) & (F.col("role") != F.col("other"))
-    )
-    seen = joined.groupBy("rid", "kind", "begin", "end").agg(
-        *[F.max(F.col("other") == r).alias(f"has_{r}") for r in ("id", "secret")]
+    scoped = _scoped(found).withColumn("role", role[F.col("kind")])
+    holds = scoped.groupBy("rid", "scope").agg(
+        *[F.max(F.col("role") == r).alias(f"has_{r}") for r in ("id", "secret")]
     )
     complete = F.lit(False)
     for kind, needs in NEEDS.items():
@@ -121,13 +110,14 @@ def linked_weak(found: DataFrame, reach: int = REACH) -> DataFrame:
         for r in needs:
             has = has & F.col(f"has_{r}")
         complete = complete | ((F.col("kind") == kind) & has)
-    return seen.filter(complete).select("rid", "kind", "begin", "end")
+    weak = scoped.filter(F.col("kind").isin(*WEAK)).select("rid", "scope", "kind", "begin", "end")
+    return weak.join(holds, ["rid", "scope"]).filter(complete).select("rid", "kind", "begin", "end")
 
 
-def secret_spans(documents: DataFrame, reach: int = REACH) -> DataFrame:
+def secret_spans(documents: DataFrame) -> DataFrame:
     """(rid, kind, begin, end): strong parts, and weak parts that are linked."""
     found = stage(parts(documents, [*KINDS, "break"]), "parts")
-    return found.filter(F.col("kind").isin(*STRONG)).unionByName(linked_weak(found, reach))
+    return found.filter(F.col("kind").isin(*STRONG)).unionByName(linked_weak(found))
 
 
 def _report(spans: Column) -> Column:
@@ -135,7 +125,7 @@ def _report(spans: Column) -> Column:
     return F.array_join(F.transform(spans, label), ",")
 
 
-def secret_report(documents: DataFrame, reach: int = REACH) -> DataFrame:
+def secret_report(documents: DataFrame) -> DataFrame:
     """One row per row of `documents`: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     `spans` lists all spans as kind:start:end, by start and then kind, joined by commas;
@@ -145,7 +135,7 @@ def secret_report(documents: DataFrame, reach: int = REACH) -> DataFrame:
     """
     order = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
     lists = (
-        secret_spans(documents, reach)
+        secret_spans(documents)
         .groupBy("rid")
         .agg(
             F.sort_array(
@@ -168,15 +158,18 @@ def secret_report(documents: DataFrame, reach: int = REACH) -> DataFrame:
     )
 
 
-def redacted(documents: DataFrame, mark: str = "[REDACTED]", reach: int = REACH) -> DataFrame:
+def redacted(documents: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """`documents`, all columns, each secret span of the text replaced by `mark`.
 
-    Overlapping and adjoining spans become one mark. Texts without spans stay as they are.
+    Overlapping and adjoining spans become one mark. Texts without spans, null and empty ones stay as
+    they are; rows without id and repeated rows are redacted like others. Columns of any name are kept.
+    An empty table stays empty.
     """
+    rid, found = free_name(documents, "__rid"), free_name(documents, "__spans")
     lists = (
-        secret_spans(documents, reach)
-        .groupBy(F.col("rid").alias("__rid"))
-        .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__spans"))
+        secret_spans(documents)
+        .groupBy(F.col("rid").alias(rid))
+        .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias(found))
     )
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -189,12 +182,12 @@ def redacted(documents: DataFrame, mark: str = "[REDACTED]", reach: int = REACH)
     def finish(acc):
         return F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text")))
 
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(
-        F.aggregate("__spans", state, step, finish)
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(
+        F.aggregate(found, state, step, finish)
     )
     return (
-        documents.withColumn("__rid", row_id())
-        .join(lists, "__rid", "left")
+        documents.withColumn(rid, row_id())
+        .join(lists, rid, "left")
         .withColumn("text", text)
-        .drop("__rid", "__spans")
+        .drop(rid, found)
     )

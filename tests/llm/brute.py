@@ -162,7 +162,7 @@ def secret_parts(text):
         near = {
             secrets.ROLE[k]
             for k, b, _ in parts
-            if abs(b - begin) <= secrets.REACH and scope(b) == scope(begin)
+            if scope(b) == scope(begin)
         } - {secrets.ROLE[kind]}
         return set(secrets.NEEDS[kind]) <= near
 
