@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage
-from cohortry.llm.native import plain_words, row_id
+from cohortry.llm.native import free_name, plain_words, row_id
 
 WIDTH = 10
 BLOCK = 100_000
@@ -172,8 +172,12 @@ def _contamination(documents: DataFrame, items: DataFrame, width: int) -> DataFr
 
 
 def without_contaminated(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of `documents`, all columns, in which no phrase of an item occurs."""
+    """The rows of `documents`, all columns, in which no phrase of an item occurs.
+
+    Null and empty texts, and texts without words, stay; rows without id and repeated rows are judged
+    like others. Without items all rows stay. Columns of any name are kept.
+    """
     hit = phrase_matches(documents, stage(phrases(items, width), "phrases")).select("rid").distinct()
-    marked = documents.withColumn("__rid", row_id())
-    found = stage(hit.withColumnRenamed("rid", "__hit"), "hits")
-    return marked.join(found, F.col("__rid") == F.col("__hit"), "left_anti").drop("__rid")
+    rid = free_name(documents, "__rid")
+    found = stage(hit.withColumnRenamed("rid", rid), "hits")
+    return documents.withColumn(rid, row_id()).join(found, rid, "left_anti").drop(rid).select(documents.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.staging import stage
-from cohortry.llm.native import row_id
+from cohortry.llm.native import free_name, row_id
 from cohortry.llm.text import Texts, mix, one_run, slices, windows
 
 SHINGLE = 5
@@ -426,13 +426,13 @@ def without_copies(
     The row with the smallest doc_id stays, one without id only if the whole group has none; of
     repeated rows (equal id and text) one. Rows without words are linked with nothing and stay.
     """
+    rid = free_name(documents, "__rid")
     rows, groups = _grouped(documents, percent, width)
     of_row = rows.join(groups, "key").groupBy("rid").agg(
         F.any_value(F.col("rid") == F.col("first.rid")).alias("stays"), F.count("*").alias("n")
     )
-    marked = stage(of_row.filter("NOT stays OR n > 1").withColumnRenamed("rid", "__marked"), "copies")
-    known = documents.withColumn("__rid", row_id())
-    same = F.col("__rid") == F.col("__marked")
-    single = known.join(marked, same, "left_anti")
-    repeated = known.join(marked.filter("stays"), same, "left_semi").dropDuplicates(["__rid"])
-    return single.unionByName(repeated).drop("__rid")
+    marked = stage(of_row.filter("NOT stays OR n > 1").withColumnRenamed("rid", rid), "copies")
+    known = documents.withColumn(rid, row_id())
+    single = known.join(marked, rid, "left_anti").select(known.columns)
+    repeated = known.join(marked.filter("stays"), rid, "left_semi").select(known.columns)
+    return single.unionByName(repeated.dropDuplicates([rid])).drop(rid)

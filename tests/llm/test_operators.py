@@ -88,6 +88,33 @@ def test_secrets(docs, empty):
     assert secrets.secret_report(empty).count() == 0
 
 
+def test_parts_of_a_secret_far_apart(spark):
+    key, filler = "Zq" * 20, "plain words, and more of them. " * 30
+    texts = [f"user: someone\n{filler}\n{key}", f"user: someone\n\n{filler}\n{key}", f"{filler}{key}", f"user: someone {filler}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(secrets.secret_report(frame))
+    assert [k.split(":")[0] for k in got[0][0]["spans"].split(",")] == ["id", "key"]
+    assert all(got[i][0]["spans"] == "" for i in (1, 2, 3))
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Helper columns take names that the input does not have."""
+    extra = ["__rid", "__Rid_", "__hit", "__marked", "__spans", "key", "stays", "n"]
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (2, text), (3, SECRET), (None, None), (4, "")]
+    frame = spark.createDataFrame([(*r, *[f"{c}{k}" for c in extra]) for k, r in enumerate(rows)], ["doc_id", "text", *extra])
+    items = spark.createDataFrame([("a", "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id string, text string")
+    kept = neardup.without_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["__rid"]) for r in kept.collect()) == [(0, "__rid3"), (1, "__rid0"), (3, "__rid2"), (4, "__rid4")]
+    clean = decontaminate.without_contaminated(frame, items)
+    assert clean.columns == frame.columns
+    assert sorted(r["__hit"] for r in clean.collect()) == ["__hit2", "__hit3", "__hit4"]
+    redacted = secrets.redacted(frame).select(frame.columns).collect()
+    assert sorted(r["__spans"] for r in redacted) == [f"__spans{k}" for k in range(5)]
+    assert all("abcdef123" not in (r["text"] or "") for r in redacted)
+
+
 def test_token_counts(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
