@@ -24,6 +24,8 @@ SAMPLE = 500
 DIMENSIONS = 4096
 EPOCHS = 30
 COST = 10.0
+#: Texts whose features are held at a time, however short they are.
+AT_ONCE = 256
 UNKNOWN = "und"
 # Families of languages. A language in none of them is a family of its own.
 FAMILIES = {
@@ -42,7 +44,7 @@ for _c in range(26):
 
 def features(texts: Texts) -> np.ndarray:
     """One row of `DIMENSIONS` features and a constant for each text."""
-    out = np.zeros((len(texts), DIMENSIONS + 1), dtype=np.float32)
+    out = np.empty((len(texts), DIMENSIONS + 1), dtype=np.float32)
     data = _CLEAN[texts.data].astype(np.uint32)
     owner = np.repeat(np.arange(len(texts)), np.diff(texts.bounds))
     counts = np.zeros(len(texts) * DIMENSIONS)
@@ -65,7 +67,7 @@ def features(texts: Texts) -> np.ndarray:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch):
+        for texts in slices(batch, most=AT_ONCE):
             rows = [row.tobytes() for row in features(texts)]
             yield texts.batch.drop_columns("text").append_column("x", pa.array(rows, pa.binary()))
 
@@ -148,7 +150,7 @@ def _predictor(families: dict[str, list[str]], machines):
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch):
+            for texts in slices(batch, most=AT_ONCE):
                 x = features(texts).astype(float)
                 of_family = _votes(x, names, machines)
                 best = of_family.argmax(axis=1)
@@ -172,11 +174,15 @@ def predicted_languages(documents: DataFrame, held_out: Column, bound: int = SAM
     Learns from text and non-null lang of the rows that are not `held_out`; a prediction reads the
     text alone. A text that is null or has no letter is `und` with score 0, and so is every text if
     nothing is labelled. Ties go to the label first in the alphabet. Rows without id and repeated
-    rows are predicted like any other. Other columns are not read.
+    rows are predicted like any other; a null `held_out` (of a null id) is false. An empty table has
+    no predictions. Texts of any length are read whole, one at a time if they are long. Other
+    columns are not read.
     """
-    rows = documents.select("doc_id", "text", "lang", held_out.alias("held_out"))
+    rows = documents.select(
+        "doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out")
+    )
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    learned = rows.filter(~F.coalesce("held_out", F.lit(False)) & F.col("lang").isNotNull() & has_letter)
+    learned = rows.filter(~F.col("held_out") & F.col("lang").isNotNull() & has_letter)
     counts = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     output = ["doc_id", "held_out"]
     if not counts:

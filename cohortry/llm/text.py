@@ -125,8 +125,9 @@ def one_run(hashes: np.ndarray) -> np.uint64:
     return mix(code + np.array([len(hashes) + 1], dtype=np.uint64) * _LENGTH)[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[Texts]:
-    """Parts of a batch of up to `SLICE_BYTES` of text each; a longer text is a part of its own.
+def slices(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[Texts]:
+    """Parts of a batch of up to `SLICE_BYTES` of text and `most` texts each; a longer text is a
+    part of its own.
 
     A null text is an empty one.
     """
@@ -139,7 +140,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[Texts]:
     a = 0
     while a < len(text):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, side="right")) - 1)
-        b = min(b, len(text))
+        b = min(b, len(text), a + most if most else len(text))
         bounds = offsets[a : b + 1] - offsets[a]
         yield Texts(batch.slice(a, b - a), data[offsets[a] : offsets[b]], bounds)
         a = b
