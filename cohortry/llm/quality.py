@@ -4,11 +4,12 @@ Single words and pairs of neighbouring words are hashed into a fixed number of b
 multinomials over these buckets are compared: one of trusted documents, one of the whole corpus.
 The mean log ratio per n-gram says whether a document reads like the trusted ones.
 
-Trusted documents are a sample of at most `TRUSTED` labelled ids (a documented bound), found by a
-top-k of hashed ids; only this list is broadcast, so the corpus is read where it lies and its text
-is never shuffled. Three quarters of the sample make up the trusted multinomial; the rest, which
-that has not seen, sets the threshold: a low quantile of their scores less a margin. The raw
-multinomial counts every document. What reaches the driver is one pair of counts per bucket.
+A quarter of all ids, by hash, calibrates. The trusted multinomial is fitted on a sample of at most
+`TRUSTED` labelled ids of the other three quarters (a documented bound), found by a top-k of hashed
+ids; only this list is broadcast, so the corpus is read where it lies and its text is never shuffled.
+The threshold comes from every trusted labelled document of the calibrating quarter, however many: an
+exact low quantile of their scores less a margin. The raw multinomial counts every document. What
+reaches the driver is one pair of counts per bucket, and the scores at two ranks.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.functions.ranks import keys_at_ranks
+from cohortry.functions.staging import stage
 from cohortry.llm.text import Texts, mix, slices, windows
 
 BUCKETS = 1 << 16
@@ -84,21 +87,28 @@ def _measure(texts: Texts) -> dict[str, np.ndarray]:
     }
 
 
+def _calibrates(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(4)) == 0
+
+
 def trusted_sample(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """At most `bound` ids with quality 1 in all their labels, and which of them calibrate."""
+    """Ids with quality 1 in all their labels, and which of them calibrate: all of the calibrating
+    quarter, and at most `bound` others."""
     good = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
         .filter("quality = 1")
+        .select("doc_id", _calibrates(F.col("doc_id")).alias("calibrate"))
     )
-    picked = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return picked.withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
+    picked = good.filter(~F.col("calibrate")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return picked.unionByName(good.filter("calibrate"))
 
 
 def log_ratios(documents: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> np.ndarray:
     """Log of trusted over raw probability of each bucket; zeros where nothing is labelled."""
-    trusted = trusted_sample(labels, bound).select("doc_id", (~F.col("calibrate")).alias("trusted"))
+    fitted = trusted_sample(labels, bound).filter(~F.col("calibrate"))
+    trusted = fitted.select("doc_id", F.lit(True).alias("trusted"))
     flagged = documents.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
     counts = (
         flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
@@ -180,16 +190,26 @@ def _scored(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
 def calibrated_threshold(
     documents: DataFrame, labels: DataFrame, ratios: np.ndarray, bound: int = TRUSTED
 ) -> float:
-    """Lowest score that is kept; without calibration documents none is too low."""
+    """Lowest score that is kept; without calibration documents none is too low.
+
+    Only texts of the calibrating quarter are scored; the join with labels moves scores, not texts.
+    """
     ids = trusted_sample(labels, bound).filter("calibrate").select("doc_id")
-    held = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    low = (
-        _scored(held, ratios)
-        .filter("NOT base_failed")
-        .agg(F.percentile("llr", F.lit(QUANTILE)).alias("low"))
-        .first()["low"]
+    scored = _scored(documents.filter(_calibrates(F.col("doc_id"))), ratios).filter("NOT base_failed")
+    seen = stage(
+        scored.select("doc_id", "llr")
+        .join(ids, "doc_id", "left_semi")
+        .select("llr", F.monotonically_increasing_id().alias("nth")),
+        "calibration",
     )
-    return float("-inf") if low is None else low - MARGIN
+    rows = seen.count()
+    if not rows:
+        return float("-inf")
+    at, part = divmod(QUANTILE * (rows - 1), 1)
+    ranks = [int(at) + 1, min(int(at) + 2, rows)]
+    found = keys_at_ranks(seen, ["llr"], ranks, rows, "nth")
+    low, high = (found["llr", rank]["v"] for rank in ranks)
+    return low + part * (high - low) - MARGIN
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
@@ -207,7 +227,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame, bound: int = TRUSTED
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """The rows of `documents`, all columns, that `quality_scores` keeps; texts are not shuffled."""
+    """The rows of `documents`, all columns, that `quality_scores` keeps; texts are not shuffled.
+
+    Null and empty texts go, as they fail the base rules; rows without id and repeated rows are judged
+    like any other. An empty table stays empty. Texts of any length are read whole.
+    """
     ratios = log_ratios(documents, labels, bound)
     threshold = calibrated_threshold(documents, labels, ratios, bound)
     return documents.mapInArrow(_sieve(ratios, threshold), documents.schema)
