@@ -9,8 +9,11 @@ and kept, up to a bound.
 
 Texts are cut into chunks, each of which becomes a map of states: what it does up to the first
 place no piece can cross depends on the state it is entered in and is kept as text; from there on
-its count and its last state are fixed. Maps compose associatively. Chunks of long texts are spread
-over the cluster, and a scan over the maps of a text in order gives its count.
+its count and its last state are fixed. A place is crossed by no piece if no piece has its two
+characters next to each other, so texts without blanks have such places too; only where there is none
+(one character over and over) does a map keep the whole chunk. Maps compose associatively: chunks of
+long texts are spread over the cluster, and `FAN` neighbouring maps become one, in rounds, until one
+is left for each text.
 """
 
 from __future__ import annotations
@@ -26,10 +29,18 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.native import row_id
 
+#: Bytes of a chunk, and of the longest text that is counted as one.
 CHUNK = 1 << 15
+#: Maps that one round makes into one.
+FAN = 64
+LONGEST_TEXT = 1 << 31
+#: Bytes of chunks that a task hands over at a time.
+OUT_BYTES = 1 << 21
 MANY_TOKENS = 4096
 #: Entries that a worker keeps of each table; a full table is started anew.
 KEPT = 1 << 20
+#: Characters of the longest word that is kept; with it, tables are bounded in bytes too.
+KEPT_WORD = 32
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -37,6 +48,9 @@ _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Text that a piece may still grow from; and for each place in it where one may begin: characters
 #: since, the last piece before it, and tokens up to it less tokens so far.
 State = tuple[str, tuple[tuple[int, str, int], ...]]
+#: (head, inner, tail): text up to the first place that no piece crosses, tokens from there to the last
+#: such place, and the text after it. Without such a place it is all head, and inner is None.
+Map = tuple[str, int | None, str]
 
 
 class Transducer:
@@ -83,14 +97,15 @@ class Transducer:
         return 1 if piece in self.scores else len(piece.encode())
 
     def trim(self) -> None:
-        """Start anew if there are too many states; call it between texts only."""
-        if len(self.states) >= KEPT:
+        """Start anew if there are too many transitions; call it between texts only."""
+        if self.taken >= KEPT:
             self._restart()
 
     def _restart(self) -> None:
         self.states: list[State] = [self.FIRST]
         self.numbers: dict[State, int] = {self.FIRST: self.START}
         self.steps: list[dict[str, tuple[int, int]]] = [{}]
+        self.taken = 0
 
     def _take(self, number: int, char: str) -> tuple[int, int]:
         """Compile the transition from a state by a character."""
@@ -101,6 +116,7 @@ class Transducer:
             self.states.append(state)
             self.steps.append({})
         self.steps[number][char] = (to, added)
+        self.taken += 1
         return to, added
 
     def _compile(self, state: State, char: str) -> tuple[State, int]:
@@ -133,28 +149,48 @@ class Transducer:
         """Tokens of a text between two places that no piece crosses."""
         found = self.words.get(text)
         if found is None:
-            _keep(self.words)
-            found = self.words[text] = self.run(self.START, text)[1]
+            found = self.run(self.START, text)[1]
+            if len(text) <= KEPT_WORD:
+                _keep(self.words)
+                self.words[text] = found
         return found
 
-    def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(head, inner, tail): text up to the first crossing-free place, tokens from there to the
-        last such place, and the text after it. Without such a place it is all head, inner None."""
+    def apart(self, before: str, after: str) -> bool:
+        """Whether no piece crosses the place between two texts, neither of them empty."""
+        return before[-1] + after[0] not in self.inside
+
+    def chunk_map(self, text: str) -> Map:
+        """The map of a text, which is not empty."""
         words = _WORD.findall(text) if self.splits_words else [text]
-        if len(words) < 2:
+        if len(words) > 1:
+            return words[0], sum(map(self.word, words[1:-1])), words[-1]
+        places = (k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside)
+        first = next(places, None)
+        if first is None:
             return text, None, ""
-        return words[0], sum(map(self.word, words[1:-1])), words[-1]
-
-    def compose(self, maps: Iterator[tuple[str, int | None, str]]) -> int:
-        """Tokens of a text from the maps of its chunks in order."""
-        state, total = self.START, 0
-        for head, inner, tail in maps:
-            state, added = self.run(state, head)
-            total += added
-            if inner is not None:
-                state, added = self.run(self.START, tail)
-                total += inner + added
-        return total
+        last = next(k for k in range(len(text) - 1, 0, -1) if text[k - 1 : k + 1] not in self.inside)
+        return text[:first], self.run(self.START, text[first:last])[1], text[last:]
+
+    def join(self, one: Map, other: Map) -> Map:
+        """The map of two texts one after the other."""
+        head, inner, tail = one
+        head2, inner2, tail2 = other
+        if inner is None:
+            if not self.apart(head, head2):
+                return head + head2, inner2, tail2
+            if inner2 is None:
+                return head, 0, head2
+            return head, self.word(head2) + inner2, tail2
+        if inner2 is not None:
+            return head, inner + self.word(tail + head2) + inner2, tail2
+        if self.apart(tail, head2):
+            return head, inner + self.word(tail), head2
+        return head, inner, tail + head2
+
+    def total(self, whole: Map) -> int:
+        """Tokens of a text from its map."""
+        head, inner, tail = whole
+        return self.word(head) + (0 if inner is None else inner + self.word(tail))
 
     def count(self, text: str) -> int:
         """Tokens of a whole text that is one chunk."""
@@ -201,88 +237,154 @@ def _counter(path: str):
     return count
 
 
+def _cutter(chunk: int):
+    """Chunks of texts, numbered; a text is passed over once, and cut between characters only."""
+
+    def parts(text: memoryview) -> Iterator[bytes]:
+        at = 0
+        while at < len(text):
+            stop = min(at + chunk, len(text))
+            while stop < len(text) and text[stop] & 0xC0 == 0x80:
+                stop += 1
+            yield text[at:stop].tobytes()
+            at = stop
+
+    def packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        rids, numbers, texts = zip(*rows)
+        return pa.RecordBatch.from_pydict(
+            {
+                "rid": pa.array(rids, pa.int64()),
+                "k": pa.array(numbers, pa.int64()),
+                "chunk": pa.array(texts, pa.binary()).cast(pa.string()),
+            }
+        )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text")):
+                for k, part in enumerate(parts(memoryview(text.as_buffer()))):
+                    rows.append((rid, k, part))
+                    size += len(part)
+                    if size >= OUT_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    return cut
+
+
+_MAP = "rid long, k long, head string, inner long, tail string"
+
+
+def _maps(rids: list[int], numbers: list[int], maps: list[Map]) -> pa.RecordBatch:
+    heads, inners, tails = zip(*maps) if maps else ((), (), ())
+    return pa.RecordBatch.from_pydict(
+        {
+            "rid": pa.array(rids, pa.int64()),
+            "k": pa.array(numbers, pa.int64()),
+            "head": pa.array(heads, pa.string()),
+            "inner": pa.array(inners, pa.int64()),
+            "tail": pa.array(tails, pa.string()),
+        }
+    )
+
+
 def _mapper(path: str):
     def to_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
             machine.trim()
             numbers = batch.column("k").to_pylist()
-            texts = batch.column("chunk").to_pylist()
             maps = [
-                machine.chunk_map((SPACE if k == 0 else "") + _escaped(t)) for k, t in zip(numbers, texts)
+                machine.chunk_map((SPACE if k == 0 else "") + _escaped(text.as_py()))
+                for k, text in zip(numbers, batch.column("chunk"))
             ]
-            out = batch.drop_columns("chunk")
-            for i, (name, kind) in enumerate(
-                (("head", pa.string()), ("inner", pa.int64()), ("tail", pa.string()))
-            ):
-                out = out.append_column(name, pa.array([m[i] for m in maps], kind))
-            yield out
+            yield _maps(batch.column("rid").to_pylist(), numbers, maps)
 
     return to_maps
 
 
-def _scanner(path: str):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(
+    batches: Iterator[pa.RecordBatch], machine: Transducer, fan: int
+) -> Iterator[tuple[int, int, Map]]:
+    """(rid, number, map) of each run of up to `fan` neighbours, from maps sorted by rid and number.
+
+    A row like the one before it is of a repeated text, and passed over.
+    """
+    key, last, whole = None, None, ("", None, "")
+    for batch in batches:
+        machine.trim()
+        columns = [batch.column(c) for c in ("rid", "k", "head", "inner", "tail")]
+        for rid, k, *found in zip(*columns):
+            rid, k = rid.as_py(), k.as_py()
+            if (rid, k) == last:
+                continue
+            one = tuple(value.as_py() for value in found)
+            if key == (rid, k // fan):
+                whole = machine.join(whole, one)
+            else:
+                if key is not None:
+                    yield *key, whole
+                key, whole = (rid, k // fan), one
+            last = (rid, k)
+    if key is not None:
+        yield *key, whole
+
+
+def _composer(path: str, fan: int):
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, number, whole in _runs(batches, transducer(path), fan):
+            yield _maps([rid], [number], [whole])
+
+    return compose
+
+
+def _totals(path: str, fan: int):
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        current, state, total = None, Transducer.START, 0
-        for batch in batches:
-            rids, totals = [], []
-            for rid, head, inner, tail in zip(
-                *(batch.column(c).to_pylist() for c in ("rid", "head", "inner", "tail"))
-            ):
-                if rid != current:
-                    if current is not None:
-                        rids.append(current)
-                        totals.append(total)
-                    current, state, total = rid, Transducer.START, 0
-                state, added = machine.run(state, head)
-                total += added
-                if inner is not None:
-                    state, added = machine.run(Transducer.START, tail)
-                    total += inner + added
-            yield _totals(rids, totals)
-        if current is not None:
-            yield _totals([current], [total])
-
-    return scan
-
-
-def _totals(rids: list[int], totals: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"rid": pa.array(rids, pa.int64()), "n_tokens": pa.array(totals, pa.int64())}
-    )
+        for rid, _, whole in _runs(batches, machine, fan):
+            yield pa.RecordBatch.from_pydict(
+                {"rid": pa.array([rid], pa.int64()), "n_tokens": pa.array([machine.total(whole)], pa.int64())}
+            )
+
+    return total
+
+
+def _long_counts(large: DataFrame, model: str, chunk: int, fan: int) -> DataFrame:
+    """(rid, n_tokens) of the different texts of (rid, text): maps of chunks, composed in rounds."""
+    chunks = large.select("rid", "text").mapInArrow(_cutter(chunk), "rid long, k long, chunk string")
+    maps = chunks.repartition("rid", "k").mapInArrow(_mapper(model), _MAP)
+    most = -(-LONGEST_TEXT // chunk)
+    while True:
+        block = F.floor(F.col("k") / fan)
+        near = maps.repartition(F.col("rid"), block).sortWithinPartitions("rid", "k")
+        if most <= fan:
+            return near.mapInArrow(_totals(model, fan), "rid long, n_tokens long")
+        maps = near.mapInArrow(_composer(model, fan), _MAP)
+        most = -(-most // fan)
 
 
 def token_counts(
-    documents: DataFrame, model: str, chunk: int = CHUNK, many: int = MANY_TOKENS
+    documents: DataFrame, model: str, chunk: int = CHUNK, many: int = MANY_TOKENS, fan: int = FAN
 ) -> DataFrame:
     """One row per row of `documents`: doc_id, n_bytes, n_tokens, over_limit (more than `many`).
 
     `model` is the path of a sentencepiece model on every executor. Counts are those of the model's
     library without begin, end or added tokens; names of special tokens in a text are plain text. A
-    null text is an empty one, of no tokens. Null ids and repeated rows are counted like any other.
-    Other columns of the input are not read.
+    null text is an empty one, of no tokens. Null ids and repeated rows are counted like any other, and
+    an empty table has no counts. Texts over `chunk` bytes, up to the longest that a row can hold, are
+    counted in chunks, whose maps become one `fan` at a time. Other columns of the input are not read.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    is_long = F.col("n_bytes") > chunk
     short = rows.filter(~is_long).mapInArrow(
         _counter(model), f"doc_id {id_type}, n_bytes long, n_tokens long"
     )
     large = rows.filter(is_long).withColumn("rid", row_id())
-    starts = F.sequence(F.lit(0), F.ceil(F.length("text") / chunk) - 1)
-    chunks = large.select("rid", "text", F.explode(starts).alias("k")).select(
-        "rid", "k", F.substring("text", F.col("k").cast("int") * chunk + 1, F.lit(chunk)).alias("chunk")
-    )
-    maps = chunks.repartition("rid", "k").mapInArrow(
-        _mapper(model), "rid long, k long, head string, inner long, tail string"
-    )
-    counted = (
-        maps.dropDuplicates(["rid", "k"])
-        .repartition("rid")
-        .sortWithinPartitions("rid", "k")
-        .mapInArrow(_scanner(model), "rid long, n_tokens long")
-    )
+    counted = _long_counts(large, model, chunk, fan)
     long_rows = large.select("doc_id", "rid", "n_bytes").join(counted, "rid")
     return short.unionByName(long_rows.select("doc_id", "n_bytes", "n_tokens")).withColumn(
         "over_limit", F.col("n_tokens") > many
