@@ -6,7 +6,7 @@ also shows that documents are written and read back whole.
 
 from __future__ import annotations
 
-from cohortry.operators.personas import ACTIONS, PERSONAS
+from cohortry.operators.personas import ACTION_COLUMNS, ACTIONS, PERSONA_COLUMNS, PERSONAS
 
 MONEY = "CAST(FLOOR(l_extendedprice * (1 - l_discount) * 100 + 0.5) AS BIGINT)"
 
@@ -480,15 +480,15 @@ FINAL = {
     "score_distribution": "SELECT r_score, f_score, m_score, count(*) AS user_cnt FROM segment GROUP BY ALL",
     "top_main_artists": TOP_ARTISTS.format(avg=_avg("m_raw"), table="segment"),
     "total_users": "SELECT count(*) AS total_users FROM segment",
-    "persona_scorecard": "SELECT p.dimension_label, persona, description, "
+    "persona_scorecard": "SELECT p.*, "
     "coalesce(user_cnt, 0) AS user_cnt, "
     f"coalesce({_pct('user_cnt', '(SELECT count(*) FROM segment)')}, 0) AS pct, "
     "avg_rfm, avg_gmv, avg_days_since_login "
-    f"FROM (VALUES {_values(PERSONAS)}) AS p(dimension_label, persona, description) "
+    f"FROM (VALUES {_values(PERSONAS)}) AS p({', '.join(PERSONA_COLUMNS)}) "
     f"LEFT JOIN ({SUMMARY}) s ON s.dimension_label = p.dimension_label",
-    "persona_actions": "SELECT a.dimension_label, CAST(action_no AS BIGINT) AS action_no, action, "
+    "persona_actions": "SELECT a.* REPLACE (CAST(action_no AS BIGINT) AS action_no), "
     "coalesce(user_cnt, 0) AS user_cnt "
-    f"FROM (VALUES {_values(ACTIONS)}) AS a(dimension_label, action_no, action) "
+    f"FROM (VALUES {_values(ACTIONS)}) AS a({', '.join(ACTION_COLUMNS)}) "
     "LEFT JOIN (SELECT dimension_label, count(*) AS user_cnt FROM segment GROUP BY ALL) s "
     "ON s.dimension_label = a.dimension_label",
     "dimension_share": f"SELECT dimension_label, count(*) AS user_cnt, {_avg('rfm_total', 1)} AS avg_rfm, "

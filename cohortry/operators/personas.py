@@ -8,20 +8,27 @@ from cohortry.rules import ALBUM_COLLECTOR, BEGINNER, CHALLENGER, POCA_COLLECTOR
 
 LABELS = (CHALLENGER, ALBUM_COLLECTOR, POCA_COLLECTOR, SHOPPER, BEGINNER)
 
-# label, persona, description
-PERSONAS = tuple((label, f"Persona of {label}", f"Users labelled {label}") for label in LABELS)
+PERSONA_COLUMNS = ("dimension_label", "persona", "description", "trait_1", "trait_2", "trait_3")
+PERSONAS = tuple(
+    (label, f"Persona of {label}", f"Users labelled {label}", *(f"Trait {k} of {label}" for k in (1, 2, 3)))
+    for label in LABELS
+)
 
-# label, number, action
-ACTIONS = tuple((label, k, f"Action {k} for {label}") for label in LABELS for k in (1, 2))
+ACTION_COLUMNS = ("dimension_label", "action_no", "action", "action_description")
+ACTIONS = tuple(
+    (label, k, f"Action {k} for {label}", f"What action {k} does for {label}") for label in LABELS for k in (1, 2)
+)
+
+
+def _schema(columns: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} {'long' if c == 'action_no' else 'string'}" for c in columns)
 
 
 def default_personas(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(PERSONAS), "dimension_label string, persona string, description string"
-    )
+    """A name, a text and three traits for each label."""
+    return spark.createDataFrame(list(PERSONAS), _schema(PERSONA_COLUMNS))
 
 
 def default_actions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(ACTIONS), "dimension_label string, action_no long, action string"
-    )
+    """Numbered actions for each label, with a title and a text."""
+    return spark.createDataFrame(list(ACTIONS), _schema(ACTION_COLUMNS))

@@ -386,30 +386,22 @@ def write_reports(
 ) -> dict[str, DataFrame]:
     """Store the reports on a stored segment and customer table; each replaces the last one.
 
-    Overall totals and the winner rate need the inputs too: they are stored if `job` is given.
+    Each of the two tables is read once for all its reports. Overall totals and the winner rate need
+    the inputs too: they are stored if `job` is given, and the winner rate then reads its label's
+    customers once more.
     """
-    summary = write(reports.segment_summary(segment), "report_summary")
-    tables = {
-        "detail": reports.segment_detail(segment),
-        "score_distribution": reports.score_distribution(segment),
-        "top_artists": reports.top_main_artists(segment),
-        "total_users": reports.total_users(summary),
-        "personas": reports.persona_scorecard(summary, personas),
-        "actions": reports.persona_actions(segment, actions),
-        "rfm_bands": reports.rfm_bands(segment),
-        "recency_bands": reports.recency_bands(segment),
-        "dimension_share": reports.dimension_share(customers),
-        "by_signup_service": reports.by_signup_service(customers),
-        "by_country": reports.by_country(customers),
-        "main_artists": reports.main_artist_top(customers),
-    }
-    tables["segment_check"] = reports.segment_check(customers)
-    if job is None:
-        stored = {name: write(table, f"report_{name}") for name, table in tables.items()}
-        return {"summary": summary, **stored}
     with temporary_stages(segment.sparkSession):
-        tables["kpi_totals"] = job.kpi_totals()
-        tables["winner_rate"] = reports.winner_rate(customers, job.winners)
+        tables = reports.segment_reports(segment)
+        summary = write(tables.pop("summary"), "report_summary")
+        tables |= {
+            "total_users": reports.total_users(summary),
+            "personas": reports.persona_scorecard(summary, personas),
+            "actions": reports.planned_actions(summary, actions),
+            **reports.customer_reports(customers),
+        }
+        if job is not None:
+            tables["kpi_totals"] = job.kpi_totals()
+            tables["winner_rate"] = reports.winner_rate(customers, job.winners)
         stored = {name: write(table, f"report_{name}") for name, table in tables.items()}
     return {"summary": summary, **stored}
 

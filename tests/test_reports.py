@@ -70,3 +70,54 @@ def test_customer_reports(frame):
     assert tuple(reports.winner_rate(crm, won).first()) == (1, 1, 100.0)
     nobody = reports.winner_rate(crm.filter("false"), won)
     assert tuple(nobody.first()) == (0, 0, None)
+
+
+def test_all_reports_of_a_table_in_one_scan(spark, tmp_path, frame, monkeypatch):
+    """The same rows as one by one; the table is scanned once, and null keys are no totals."""
+    data = [
+        ("Challenger", 5, 5, 5, 15, 1, 2.0, 100, "x", "APP", None, 90.0),
+        ("Challenger", 4, 5, 5, 14, 4, 1.5, 101, "y", None, "KR", 91.0),
+        ("Beginner", 1, 1, 1, 3, 300, 0.0, 5, None, "WEB", "JP", 5.0),
+        (None, 5, 1, 1, 7, 2, 0.5, 6, "x", "WEB", "KR", 6.0),
+        ("Beginner", None, None, None, None, None, None, None, None, "WEB", None, 0.0),
+    ]
+    schema = f"{SEGMENT}, created_from string, country_code string, total_gmv double"
+    frame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/table")
+    table = spark.read.parquet(f"{tmp_path}/table")
+    plans, keep = [], reports.stage
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(reports, "stage", noted)
+    together = reports.segment_reports(table) | reports.customer_reports(table)
+    assert [plan.count("FileScan parquet") for plan in plans] == [1, 1]
+    alone = {
+        "summary": reports.segment_summary,
+        "detail": reports.segment_detail,
+        "score_distribution": reports.score_distribution,
+        "top_artists": reports.top_main_artists,
+        "rfm_bands": reports.rfm_bands,
+        "recency_bands": reports.recency_bands,
+        "segment_check": reports.segment_check,
+        "dimension_share": reports.dimension_share,
+        "by_signup_service": reports.by_signup_service,
+        "by_country": reports.by_country,
+        "main_artists": reports.main_artist_top,
+    }
+    assert alone.keys() == together.keys()
+    for name, report in alone.items():
+        assert together[name].columns == report(table).columns
+        assert rows(together[name]) == rows(report(table)), name
+        assert not any(f.startswith(f"file:{tmp_path}") for f in together[name].inputFiles())
+    summary = together["summary"]
+    assert rows(reports.planned_actions(summary, default_actions(spark))) == rows(
+        reports.persona_actions(table, default_actions(spark))
+    )
+
+
+def test_reports_of_empty_tables(frame):
+    empty = frame([], f"{SEGMENT}, created_from string, country_code string, total_gmv double")
+    for report in (reports.segment_reports(empty) | reports.customer_reports(empty)).values():
+        assert report.count() == 0
