@@ -41,6 +41,8 @@ PASSES = 4
 SWEEPS = 2
 #: Words gathered before they are counted and sent on.
 GATHERED = 1 << 21
+#: Numbers of a batch that are worked on at a time.
+AT_ONCE = 1 << 18
 #: Words numbered by count.
 FREQUENT = 1 << 16
 #: Neighbours of a word that are dealt to one bucket, and tokens for each bucket.
@@ -248,6 +250,16 @@ def _sequences(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray,
     return ids, before, bounds
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with at most `AT_ONCE` numbers together, or one row with more."""
+    _, bounds = _flat(batch.column("low"), "<u2")
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + AT_ONCE, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 PARTS = f"bucket int, keys binary, counts binary, {NUMBERS}"
 LISTS = f"frequent boolean, keys binary, sizes binary, counts binary, {NUMBERS}"
 
@@ -306,12 +318,10 @@ def _lister(end: int, buckets: int):
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, before, _ = _sequences(batch, end)
-            for a in range(0, len(ids), GATHERED):
-                held.append((ids[a : a + GATHERED], before[a : a + GATHERED]))
+        for part in (part for batch in batches for part in _parts(batch)):
+            ids, before, _ = _sequences(part, end)
+            for a in range(0, len(ids), AT_ONCE):
+                held.append((ids[a : a + AT_ONCE], before[a : a + AT_ONCE]))
                 total += len(held[-1][0])
                 if total >= GATHERED:
                     yield dealt(*map(np.concatenate, zip(*held)))
@@ -418,6 +428,10 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def _rise(base: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return _xlogx(base + n) - _xlogx(base)
+
+
 def exchange(neighbours: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     """Class of each word from the table of neighbours; the last two rows keep classes of their own.
 
@@ -568,26 +582,38 @@ def best_classes(table: np.ndarray, classes: int, of: np.ndarray, contexts: np.n
     for there, back, matrix in ((to, by, table.T), (by, to, table)):
         i, j = np.nonzero(there)
         n = there[i, j]
-        base = matrix[j, :classes].copy()
+        # Most contexts are alike: their terms differ only in the class that a word is in.
+        _, first, like = np.unique(n * size + j, return_index=True, return_inverse=True)
+        terms = _rise(matrix[j[first], :classes], n[first][:, None])[like]
         mine = np.flatnonzero(of[i] < classes)
-        base[mine, of[i[mine]]] -= n[mine]
+        at = of[i[mine]]
+        terms[mine, at] = _rise(matrix[j[mine], at] - n[mine], n[mine])
         corner = np.flatnonzero(j == of[i])
-        base[corner] -= back[i[corner], :classes]
-        inner = corner[of[i[corner]] < classes]
-        base[inner, of[i[inner]]] -= own[i[inner], 0]
-        terms = _xlogx(base + n[:, None]) - _xlogx(base)
+        base = matrix[j[corner], :classes]
+        inner = np.flatnonzero(of[i[corner]] < classes)
+        at, word = of[i[corner[inner]]], i[corner[inner]]
+        base[inner, at] -= n[corner[inner]]
+        base -= back[i[corner], :classes]
+        base[inner, at] -= own[word, 0]
+        terms[corner] = _rise(base, n[corner][:, None])
         if len(i):
             starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
             gain[i[starts]] += np.add.reduceat(terms, starts, axis=0)
-        margin = np.tile(matrix.sum(axis=0)[:classes], (len(of), 1))
-        whole = there.sum(axis=1, keepdims=True) + own
-        margin[placed, of[placed]] -= whole[placed, 0]
-        gain -= _xlogx(margin + whole) - _xlogx(margin)
+        margin = matrix.sum(axis=0)[:classes]
+        whole = there.sum(axis=1) + own[:, 0]
+        sizes, like = np.unique(whole, return_inverse=True)
+        terms = _rise(margin, sizes[:, None])[like]
+        at = of[placed]
+        terms[placed, at] = _rise(margin[at] - whole[placed], whole[placed])
+        gain -= terms
     corner = np.tile(np.diag(table)[:classes], (len(of), 1))
     at = of[placed]
     corner[placed, at] -= to[placed, at] + by[placed, at] + own[placed, 0]
-    right, left = corner + to[:, :classes], corner + by[:, :classes]
-    gain += _xlogx(right + by[:, :classes] + own) + _xlogx(corner) - _xlogx(right) - _xlogx(left)
+    # Nothing changes where a word has none of these.
+    i, j = np.nonzero((to[:, :classes] != 0) | (by[:, :classes] != 0) | (own != 0))
+    corner, after, before = corner[i, j], to[i, j], by[i, j]
+    right, left = corner + after, corner + before
+    gain[i, j] += _xlogx(right + before + own[i, 0]) + _xlogx(corner) - _xlogx(right) - _xlogx(left)
     best = gain.argmax(axis=1)
     stays = placed[gain[placed, best[placed]] <= gain[placed, at] + 1e-9]
     best[stays] = of[stays]
@@ -631,9 +657,7 @@ def _scorer(of, often, large, transition, of_class, total: int, end: int):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unknown = len(of.value) - 1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for batch in batches for part in _parts(batch)):
             ids, before, bounds = _sequences(batch, end)
             own = of.value[ids]
             n = often.value[ids].astype(np.float64)
