@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 PARTITIONS = "spark.sql.shuffle.partitions"
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-PARTITION_BYTES = 128 << 20
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: Bytes of input files for each partition. Files are packed: in memory, as rows of a sort or a hash
+#: table, they take some twenty times as much.
+PARTITION_BYTES = 16 << 20
+#: Bytes up to which small partitions of a shuffle are merged, packed as well.
+MERGED = "8m"
 
 
 def input_state(spark: SparkSession, root: str) -> Row:
@@ -32,8 +37,12 @@ def input_state(spark: SparkSession, root: str) -> Row:
 def fit_shuffles(spark: SparkSession, input_bytes: int) -> None:
     """Start shuffles of large inputs with enough partitions to fit in memory.
 
-    Adaptive execution merges the ones that turn out small, so only the upper side needs care.
+    Adaptive execution merges the ones that turn out small, by their packed size. Spark's own bound for that
+    lets a task take millions of rows, which it has to spill, so a smaller one is set. A bound that the
+    session has set stays.
     """
+    if spark.conf.get(ADVISORY, None) is None:
+        spark.conf.set(ADVISORY, MERGED)
     wanted = input_bytes // PARTITION_BYTES
     if wanted > int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get(PARTITIONS)):
         spark.conf.set(INITIAL_PARTITIONS, wanted)
@@ -54,13 +63,14 @@ def table_bytes(tables: Iterable[DataFrame]) -> int:
 
 @contextmanager
 def fitted_shuffles(spark: SparkSession, tables: Iterable[DataFrame]) -> Iterator[None]:
-    """`fit_shuffles` for a block of work on some tables; the session's setting comes back after it."""
-    before = spark.conf.get(INITIAL_PARTITIONS, None)
+    """`fit_shuffles` for a block of work on some tables; the session's settings come back after it."""
+    before = {name: spark.conf.get(name, None) for name in (INITIAL_PARTITIONS, ADVISORY)}
     fit_shuffles(spark, table_bytes(tables))
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(INITIAL_PARTITIONS)
-        else:
-            spark.conf.set(INITIAL_PARTITIONS, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
