@@ -70,10 +70,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Stage `df` with the rows of each `key` together.
+def buckets_of(spark: SparkSession) -> int:
+    """How many buckets `stage_by` makes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), _initial_partitions(spark))
 
-    Joins and groupings by `key` of tables staged so need no shuffle: the planner knows the buckets.
+
+def stage_by(df: DataFrame, name: str, *keys: str, dealt: bool = False) -> DataFrame:
+    """Stage `df` with the rows of each key together; `dealt` if its rows already lie so in `buckets_of`
+    partitions, and need not be shuffled once more.
+
+    Joins and groupings by the keys of tables staged so need no shuffle: the planner knows the buckets.
     It learns them from the catalog, where the table stands under a name of its own until it is
     dropped with its files.
     """
@@ -83,11 +89,11 @@ def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     written = _block.get()
     if written is not None:
         written += [path, TABLE + table]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _initial_partitions(spark))
+    buckets = buckets_of(spark)
     with _tidy(spark):
         # Shuffled by the key, every task writes whole buckets.
-        rows = df.repartition(buckets, key)
-        rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        rows = df if dealt else df.repartition(buckets, *keys)
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

@@ -66,11 +66,13 @@ def option_catalog(matches: DataFrame) -> DataFrame:
     )
 
 
-def sku_row_counts(items: DataFrame, skus: DataFrame) -> DataFrame:
-    """How often a line of the option repeats in the older rule sets, which join SKUs to lines."""
+def sku_row_counts(items: DataFrame, skus: DataFrame, partitions: int | None = None) -> DataFrame:
+    """How often a line of the option repeats in the older rule sets, which join SKUs to lines. With
+    `partitions`, rows lie by option in that many."""
     parent = F.col("sku_type").isNull() | (F.col("sku_type") == PARENT_SKU)
+    rows = _sku_rows(items, skus, "left")
     return (
-        _sku_rows(items, skus, "left")
+        (rows if partitions is None else rows.repartition(partitions, *OPTION))
         .groupBy(*OPTION)
         .agg(
             F.count_if(has_variety()).alias("variety_rows"),

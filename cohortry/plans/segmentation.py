@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.inputs import fitted_shuffles
 from cohortry.functions.lookups import Lookups
-from cohortry.functions.staging import stage, stage_by, temporary_stages, without_users
+from cohortry.functions.staging import buckets_of, stage, stage_by, temporary_stages, without_users
 from cohortry.operators import (
     crm,
     exclusions,
@@ -151,7 +151,8 @@ class Segmentation:
         bought = options.option_purchases(self.paid_lines(self.documents))
         if self.excluded is not None:
             bought = without_users(bought, self.excluded)
-        catalog = stage(options.option_catalog(self.sku_matches), "options")
+        # Not staged: it lies by option as it is grouped, so the join moves it no second time.
+        catalog = options.option_catalog(self.sku_matches)
         return stage_by(options.match_options(bought, catalog), "purchases", "user_id")
 
     @cached_property
@@ -212,9 +213,9 @@ class Segmentation:
 
     @cached_property
     def sku_counts(self) -> DataFrame:
-        return stage(
-            options.sku_row_counts(self.sources.items, self.sources.skus), "sku-counts"
-        )
+        items = self.sources.items
+        counts = options.sku_row_counts(items, self.sources.skus, buckets_of(items.sparkSession))
+        return stage_by(counts, "sku-counts", *options.OPTION, dealt=True)
 
     @cached_property
     def mart_purchases(self) -> DataFrame:
