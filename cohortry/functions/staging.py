@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,21 +41,28 @@ def stage_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Delete the shuffle files of the queries in this block as soon as each has ended."""
-    before = spark.conf.get(TIDY, None)
-    spark.conf.set(TIDY, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a block of work; its own come back after it."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(TIDY)
-        else:
-            spark.conf.set(TIDY, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _tidy(spark: SparkSession) -> AbstractContextManager[None]:
+    """Delete the shuffle files of the queries in this block as soon as each has ended."""
+    return settings(spark, {TIDY: "true"})
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and read it back.
+def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write `df` once, with the writer's `options`, and read it back.
 
     Cuts the lineage, survives the loss of executors, fixes the rows for later passes, and gives
     the planner the true size of the table. Nothing needs the shuffle files behind it any more, so
@@ -66,7 +73,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     if written is not None:
         written.append(path)
     with _tidy(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,8 @@
 """Ranked search over an index of documents, with pairs of terms bounding what a document can score.
 
 The index has a row for each block of neighbouring documents: their ids and lengths, and the
-postings of their terms. Nothing of it is shuffled, and a task reads its blocks one by one.
+postings of their terms. Nothing of it is shuffled. Blocks are packed values to Spark, and a task
+holds one at a time, however many it reads: as arrays of a whole file they filled the heap.
 
 A batch of items is answered in three passes over the blocks:
 
@@ -25,19 +26,35 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions.staging import stage
+from cohortry.functions.staging import settings, stage
 from cohortry.llm.text import SLICE_BYTES, Texts, slices
 
 BEST = 20  # documents listed for an item
 BLOCK_WORDS = 1 << 19  # words after which a block of documents is closed
 BATCH_TERMS = 1 << 18  # terms of the items that are answered together
 
+READ_ROWS = 64  # rows that a task's reader holds
+BATCH_BYTES = 1 << 20  # bytes after which a batch of rows goes to Python
+PIECE_BYTES = 1 << 18  # bytes of a piece of a packed value; from half a region on, G1 keeps each array apart
+
+#: Files of blocks: a page for each, in groups of 1 MB. A task's writer and its reader hold one group.
+FILE_OF_BLOCKS = {
+    "compression": "none",
+    "parquet.enable.dictionary": "false",
+    "parquet.page.row.count.limit": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size": str(1 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "1",
+}
+
 #: Every ASCII character that is no digit and no letter.
 BETWEEN = np.zeros(256, dtype=bool)
 BETWEEN[0x00:0x30] = BETWEEN[0x3A:0x41] = BETWEEN[0x5B:0x61] = BETWEEN[0x7B:0x80] = True
@@ -46,6 +63,34 @@ BETWEEN[0x00:0x30] = BETWEEN[0x3A:0x41] = BETWEEN[0x5B:0x61] = BETWEEN[0x7B:0x80
 WEIGHT_SCALE, TF_SCALE, TF_UNIT, LENGTH_UNIT, LENGTH_SHARE = 1000, 10**9, 1000, 12, 25
 
 
+def _held(spark: SparkSession) -> AbstractContextManager[None]:
+    """`READ_ROWS` in a task's reader at once, and `BATCH_BYTES` in what it sends to Python."""
+    return settings(
+        spark,
+        {
+            "spark.sql.parquet.columnarReaderBatchSize": str(READ_ROWS),
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+        },
+    )
+
+
+def _packed(arrays: dict[str, pa.Array]) -> pa.Array:
+    """Arrays as one value, in pieces."""
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays.values()]
+    batch, out = pa.record_batch(lists, list(arrays)), pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+    with pa.ipc.new_stream(out, batch.schema, options=options) as stream:
+        stream.write_batch(batch)
+    value = out.getvalue().to_pybytes()
+    return pa.array([[value[k : k + PIECE_BYTES] for k in range(0, len(value), PIECE_BYTES)]], pa.list_(pa.binary()))
+
+
+def _unpacked(batch: pa.RecordBatch, name: str, i: int) -> dict[str, pa.Array]:
+    options = pa.ipc.IpcReadOptions(use_threads=False)
+    lists = pa.ipc.open_stream(b"".join(batch.column(name)[i].as_py()), options=options).read_next_batch()
+    return {c: lists.column(c)[0].values for c in lists.schema.names}
+
+
 def _short(texts: Texts) -> Iterator[Texts]:
     """The same text in parts that end between words, if it is a long one."""
     data, at, size = texts.data, 0, len(texts.data)
@@ -96,17 +141,15 @@ class _Block:
     def row(self) -> pa.RecordBatch:
         term, doc, times = self.summed()
         first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])[: len(term)])
-        lists = {
+        terms = {"terms": pa.array(term[first]), "starts": pa.array(np.append(first, len(term)).astype(np.int32))}
+        postings = {
             "doc_ids": pa.array(self.ids, pa.int64()),
             "lengths": pa.array(self.lengths, pa.int64()),
-            "terms": pa.array(term[first].view(np.int64)),
-            "starts": pa.array(np.append(first, len(term)).astype(np.int32)),
             "docs": pa.array(doc.astype(np.int32)),
             "times": pa.array(times.astype(np.int32)),
         }
-        columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists.values()]
         sizes = [pa.array([sum(x > 0 for x in self.lengths)], pa.int64()), pa.array([sum(self.lengths)], pa.int64())]
-        return pa.record_batch(columns + sizes, [*lists, "n_docs", "n_words"])
+        return pa.record_batch([_packed(terms), _packed(postings), *sizes], ["terms", "postings", "n_docs", "n_words"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +165,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(documents: DataFrame) -> DataFrame:
-    """A row for each block of documents: doc_ids, lengths, the different terms by hash, where the
-    postings of each begin, the postings (document of the block, times), and the block's numbers of
-    documents with terms and of words."""
-    return stage(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _blocks,
-            "doc_ids array<long>, lengths array<long>, terms array<long>, starts array<int>, "
-            "docs array<int>, times array<int>, n_docs long, n_words long",
-        ),
-        "search-index",
-    )
+    """A row for each block of documents: its different terms by hash and where the postings of each
+    begin (packed), doc_ids, lengths and the postings, document of the block and times (packed), and
+    the block's numbers of documents with terms and of words."""
+    with _held(documents.sparkSession):
+        return stage(
+            documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+                _blocks, "terms array<binary>, postings array<binary>, n_docs long, n_words long"
+            ),
+            "search-index",
+            FILE_OF_BLOCKS,
+        )
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +208,6 @@ def _batches(items: Iterator[Row]) -> Iterator[list[Row]]:
         yield batch
 
 
-def _column(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-
-
 class Query:
     """Some items with the weights of their terms. Small enough to be sent to every task."""
 
@@ -254,7 +293,8 @@ def _counter(terms: np.ndarray) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own, sizes = _column(batch, "terms", i).view(np.uint64), np.diff(_column(batch, "starts", i))
+                listed = _unpacked(batch, "terms", i)
+                own, sizes = listed["terms"].to_numpy(), np.diff(listed["starts"].to_numpy())
                 at = np.minimum(np.searchsorted(own, terms), max(len(own) - 1, 0))
                 here = own[at] == terms if len(own) else np.zeros(len(terms), dtype=bool)
                 yield pa.record_batch([pa.array(terms[here].view(np.int64)), pa.array(sizes[at[here]].astype(np.int64))], ["term", "df"])
@@ -268,7 +308,8 @@ def _viewer(query: Query, best: int) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own, starts = _column(batch, "terms", i).view(np.uint64), _column(batch, "starts", i)
+                listed, postings = _unpacked(batch, "terms", i), _unpacked(batch, "postings", i)
+                own, starts = listed["terms"].to_numpy(), listed["starts"].to_numpy()
                 at = np.searchsorted(own, query.terms)
                 here = at < len(own)
                 here[here] = own[at[here]] == query.terms[here]
@@ -278,10 +319,10 @@ def _viewer(query: Query, best: int) -> Callable:
                 begin = np.zeros(len(sizes), dtype=np.int64)
                 begin[here] = starts[at[here]]
                 picked = np.repeat(begin - new[:-1], sizes) + np.arange(new[-1])
-                docs = _column(batch, "docs", i)[picked]
-                lengths = _column(batch, "lengths", i)
+                docs = postings["docs"].to_numpy()[picked]
+                lengths = postings["lengths"].to_numpy()
                 term = np.repeat(np.arange(len(sizes)), sizes)
-                impacts = query.impacts(term, _column(batch, "times", i)[picked].astype(np.int64), lengths[docs])
+                impacts = query.impacts(term, postings["times"].to_numpy()[picked].astype(np.int64), lengths[docs])
                 view = _View(query, new, docs, impacts, len(lengths))
                 joint, heads = np.zeros(len(query.pairs), dtype=np.int64), {}
                 for k, pair in enumerate(query.pairs):
@@ -298,18 +339,15 @@ def _viewer(query: Query, best: int) -> Callable:
                         got = got[_best(got, best)]
                         items += [item] * len(got)
                         scores += got.tolist()
-                row = {
-                    "doc_ids": batch.column("doc_ids")[i].values,
+                arrays = {
+                    "doc_ids": postings["doc_ids"],
                     "starts": pa.array(new),
                     "docs": pa.array(docs),
                     "impacts": pa.array(impacts),
                     "joint": pa.array(joint),
-                    "items": pa.array(items, pa.int32()),
-                    "scores": pa.array(scores, pa.int64()),
                 }
-                yield pa.record_batch(
-                    [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row.values()], list(row)
-                )
+                reached = [pa.array([items], pa.list_(pa.int32())), pa.array([scores], pa.list_(pa.int64()))]
+                yield pa.record_batch([_packed(arrays), *reached], ["view", "items", "scores"])
 
     return make
 
@@ -360,9 +398,9 @@ def _searcher(query: Query, thresholds: dict[int, int], best: int) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = batch.column("doc_ids")[i].values
-                view = _View(query, *(_column(batch, c, i) for c in ("starts", "docs", "impacts")), len(ids))
-                joint = _column(batch, "joint", i)
+                arrays = _unpacked(batch, "view", i)
+                ids, joint = arrays["doc_ids"], arrays["joint"].to_numpy()
+                view = _View(query, *(arrays[c].to_numpy() for c in ("starts", "docs", "impacts")), len(ids))
                 keys = ids.fill_null((1 << 63) - 1).to_numpy()
                 items, docs, scores = [], [], []
                 for item, name in enumerate(query.items):
@@ -383,24 +421,25 @@ def _searcher(query: Query, thresholds: dict[int, int], best: int) -> Callable:
 def _answers(index: DataFrame, batch: list[Row], n_docs: int, n_words: int, best: int) -> DataFrame:
     """(item, doc_id, score): each block's best documents for the items of a batch."""
     terms = np.unique(np.array([t for r in batch for t in r["terms"]], dtype=np.int64).view(np.uint64))
-    counted = index.select("terms", "starts").mapInArrow(_counter(terms), "term long, df long")
-    found = {r["term"]: r["df"] for r in counted.groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    query = Query(batch, n_docs, n_words, found)
-    views = stage(
-        index.select("doc_ids", "lengths", "terms", "starts", "docs", "times").mapInArrow(
-            _viewer(query, best),
-            "doc_ids array<long>, starts array<long>, docs array<int>, impacts array<long>, "
-            "joint array<long>, items array<int>, scores array<long>",
-        ),
-        "search-views",
-    )
-    reached = views.select(F.explode(F.arrays_zip("items", "scores")).alias("x")).select("x.items", "x.scores")
-    ranked = F.row_number().over(Window.partitionBy("items").orderBy(F.desc("scores")))
-    lowest = reached.withColumn("place", ranked).filter(F.col("place") <= best).filter(F.col("place") == best)
-    thresholds = {r["items"]: r["scores"] for r in lowest.collect()}
-    return views.select("doc_ids", "starts", "docs", "impacts", "joint").mapInArrow(
-        _searcher(query, thresholds, best), "item long, doc_id long, score long"
-    )
+    with _held(index.sparkSession):
+        counted = index.select("terms").mapInArrow(_counter(terms), "term long, df long")
+        found = {r["term"]: r["df"] for r in counted.groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        query = Query(batch, n_docs, n_words, found)
+        views = stage(
+            index.select("terms", "postings").mapInArrow(
+                _viewer(query, best), "view array<binary>, items array<int>, scores array<long>"
+            ),
+            "search-views",
+            FILE_OF_BLOCKS,
+        )
+        reached = views.select(F.explode(F.arrays_zip("items", "scores")).alias("x")).select("x.items", "x.scores")
+        ranked = F.row_number().over(Window.partitionBy("items").orderBy(F.desc("scores")))
+        lowest = reached.withColumn("place", ranked).filter(F.col("place") <= best).filter(F.col("place") == best)
+        thresholds = {r["items"]: r["scores"] for r in lowest.collect()}
+        return stage(
+            views.select("view").mapInArrow(_searcher(query, thresholds, best), "item long, doc_id long, score long"),
+            "answers",
+        )
 
 
 def search(documents: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
@@ -421,7 +460,7 @@ def search(documents: DataFrame, items: DataFrame, best: int = BEST) -> DataFram
     known = stage(asked.select("item", "text").mapInArrow(_item_terms, "item long, terms array<long>, times array<long>"), "item-terms")
     answers = None
     for batch in _batches(known.toLocalIterator()):
-        own = stage(_answers(index, batch, numbers["n_docs"], numbers["n_words"], best), "answers")
+        own = _answers(index, batch, numbers["n_docs"], numbers["n_words"], best)
         answers = own if answers is None else answers.unionByName(own)
     if answers is None:
         answers = items.sparkSession.createDataFrame([], "item long, doc_id long, score long")

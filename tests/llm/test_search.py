@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from cohortry.llm import queries, search
 
@@ -79,6 +80,33 @@ def test_long_text_is_read_in_parts(spark, monkeypatch):
     held(spark, [(1, " ".join(random_texts(3, 30))), (2, "w1 " + "z" * 500 + " w2")], [(1, "w1 w2 w9"), (2, "z" * 500)], 3)
 
 
+def test_a_task_holds_one_block(spark, monkeypatch):
+    """However many blocks a task reads, they come to it one at a time, and documents few at a time."""
+
+    def alone(made):
+        def checked(batches):
+            for batch in batches:
+                assert batch.num_rows == 1
+                yield batch
+
+        return lambda *given: lambda batches: made(*given)(checked(batches))
+
+    for name in ("_counter", "_viewer", "_searcher"):
+        monkeypatch.setattr(search, name, alone(getattr(search, name)))
+    blocks = search._blocks
+    monkeypatch.setattr(search, "_blocks", alone(lambda: blocks)())
+    monkeypatch.setattr(search, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(search, "PIECE_BYTES", 100, raising=False)
+    monkeypatch.setattr(search, "BATCH_BYTES", 1, raising=False)
+    docs = list(enumerate(random_texts(5, 60)))
+    cloudpickle.register_pickle_by_value(search)  # else the tasks have the module as it is on disk
+    try:
+        held(spark, docs, [(k, t) for k, t in enumerate(random_texts(6, 8))], 5)
+    finally:
+        cloudpickle.unregister_pickle_by_value(search)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "the")], "item_id long, text string")
